@@ -23,19 +23,19 @@ from . import common
 
 KEY = "quire-surrogates"
 ATTEMPTS = 64
-#: Kinds in the order in which the pattern tries them.
+#: Kinds in the order in which the pattern tries them; none starts inside a word.
 KINDS = {
-    "email": r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]+@[\p{L}\p{N}-]+(?:\.[\p{L}\p{N}-]+)+",
-    "secret": r"(?:(?<![\p{L}\p{N}])(?i:password|passwd|pwd|token|secret|api[_-]?key|access[_-]?key)\s{0,3}[:=]\s{0,3}[\"']?)(?=[A-Za-z0-9_+/-]*[0-9])[A-Za-z0-9_+/-]{6,}",
-    "key": r"(?<![\p{L}\p{N}])(?:AKIA|ASIA)[0-9A-Z]{16}(?![\p{L}\p{N}])|(?<![\p{L}\p{N}])(?:gh[pousr]_[A-Za-z0-9]{30,}|sk-[A-Za-z0-9]{20,})",
-    "ip": r"(?<![\p{N}.])(?:(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])\.){3}(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])(?![\p{N}]|\.[0-9])",
-    "iban": r"(?<![\p{L}\p{N}])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![\p{L}\p{N}])",
-    "card": r"(?<![\p{L}\p{N}])[3-6][0-9]{3}(?:[ -]?[0-9]{4}){2}[ -]?[0-9]{3,4}(?![\p{L}\p{N}])",
-    "ssn": r"(?<![\p{L}\p{N}-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![\p{L}\p{N}-])",
-    "phone": r"(?<![\p{L}\p{N}])(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{2,4}\)[ .-]?)[0-9]{3,4}[ .-]?[0-9]{3,4}(?![\p{L}\p{N}])|(?<![\p{L}\p{N}])\+[0-9]{1,3}(?:[ .-]?[0-9]{2,4}){2,5}(?![\p{L}\p{N}])|(?<![\p{L}\p{N}.-])[0-9]{3}[ .-][0-9]{3}[ .-][0-9]{4}(?![\p{L}\p{N}])",
-    "name": r"(?<![\p{L}])(?:Mr|Mister|Mrs|Ms|Miss|Herr|Herrn|Frau|Monsieur|Madame|Mademoiselle|Señor|Señora|Señorita|Г-н|Г-жа)\.? \p{Lu}\p{L}+(?: \p{Lu}\p{L}+)?",
+    "email": r"[\p{L}\p{N}._%+-]++@[\p{L}\p{N}-]+(?:\.[\p{L}\p{N}-]+)+",
+    "secret": r"(?i:pass(?:word|wd)|pwd|token|secret|a(?:pi|ccess)[_-]?key)\s{0,3}[:=]\s{0,3}[\"']?(?=[A-Za-z0-9_+/-]*[0-9])[A-Za-z0-9_+/-]{6,}",
+    "key": r"A[KS]IA[0-9A-Z]{16}(?![\p{L}\p{N}])|gh[pousr]_[A-Za-z0-9]{30,}|sk-[A-Za-z0-9]{20,}",
+    "ip": r"(?<!\.)(?:(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])\.){3}(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])(?![\p{N}]|\.[0-9])",
+    "iban": r"[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![\p{L}\p{N}])",
+    "card": r"[3-6][0-9]{3}(?:[ -]?[0-9]{4}){2}[ -]?[0-9]{3,4}(?![\p{L}\p{N}])",
+    "ssn": r"(?<!-)[0-9]{3}-[0-9]{2}-[0-9]{4}(?![\p{L}\p{N}-])",
+    "phone": r"(?:\+[0-9]{1,3}[ .-]?)?\([0-9]{2,4}\)[ .-]?[0-9]{3,4}[ .-]?[0-9]{3,4}(?![\p{L}\p{N}])|\+[0-9]{1,3}(?:[ .-]?[0-9]{2,4}){2,5}(?![\p{L}\p{N}])|(?<![.-])[0-9]{3}[ .-][0-9]{3}[ .-][0-9]{4}(?![\p{L}\p{N}])",
+    "name": r"(?:M(?:r|ister|rs|s|iss|onsieur|adame|ademoiselle)|Herrn?|Frau|Señor(?:a|ita)?|Г-(?:н|жа))\.? \p{Lu}\p{L}+(?: \p{Lu}\p{L}+)?",
 }
-PATTERN = "|".join(f"(?:{p})" for p in KINDS.values())
+PATTERN = r"(?<![\p{L}\p{N}])(?:" + "|".join(KINDS.values()) + ")"
 #: What may follow the fixed head of an entity; the head stays.
 HEAD = r"^(?:(?i:password|passwd|pwd|token|secret|api[_-]?key|access[_-]?key)\s{0,3}[:=]\s{0,3}[\"']?|AKIA|ASIA|gh[pousr]_|sk-|\+[0-9]{1,3}|(?:Mr|Mister|Mrs|Ms|Miss|Herrn?|Frau|Monsieur|Madame|Mademoiselle|Señor(?:a|ita)?|Г-н|Г-жа)\.? )"
 FEMALE = r"^(?:Mrs|Ms|Miss|Frau|Madame|Mademoiselle|Señora|Señorita|Г-жа)"
@@ -140,36 +140,30 @@ def attempts(entities: DataFrame, key: str = KEY, replace=with_surrogates, limit
     raise ValueError(f"no replacement of its own for some entity after {limit} attempts")
 
 
-def replacements(docs: DataFrame, key: str = KEY) -> DataFrame:
-    """(entity as written, kind, s): every entity of the corpus with its replacement, saved."""
-    found = docs.select(F.explode(_entities(F.col("text").cast("string"))).alias("entity")).distinct()
-    forms = common.save(found.withColumn("kind", kind_of(F.col("entity"))), "forms")
-    forms = common.save(forms.withColumn("canon", canonical(F.col("kind"), F.col("entity"))), "canons")
-    entities = common.save(forms.groupBy("kind", "canon").agg(F.min("entity").alias("entity")), "entities")
-    settled = attempts(entities, key).select("kind", "canon", "attempt")
-    return common.save(with_surrogates(forms.join(settled, ["kind", "canon"]), key).select("entity", "kind", "s"), "replacements")
-
-
 def anonymise(docs: DataFrame, key: str = KEY) -> DataFrame:
     """docs with text replaced, and n_replaced (int): how many entities it held."""
     text = F.col("text").cast("string")
-    table = replacements(docs, key).select(F.col("entity").alias("e"), "s")
-    rows = docs.withColumn("_e", _entities(text))
-    # only texts with entities meet their replacements, by a hash of the text
-    held = rows.where(F.size("_e") > 0).select(F.xxhash64(text).alias("_t"), F.explode(F.array_distinct("_e")).alias("entity")).distinct()
-    held = held.join(common.sized(table, 128), F.col("entity") == F.col("e")).groupBy("_t").agg(F.map_from_entries(F.collect_set(F.struct("entity", "s"))).alias("_map"))
-    held = common.save(held, "held")
-    near = held.count() * 512 <= common.BROADCAST_BYTES
+    # one look for entities; a text is known by its hash from here on, and a hot text is one row
+    hits = docs.select(F.xxhash64(text).alias("t"), _entities(text).alias("e")).where(F.size("e") > 0)
+    hits = common.save(hits.groupBy("t").agg(F.first("e").alias("e")), "hits")
+    forms = common.save(hits.select(F.explode("e").alias("entity")).distinct().withColumn("kind", kind_of(F.col("entity"))), "forms")
+    forms = common.save(forms.withColumn("canon", canonical(F.col("kind"), F.col("entity"))), "canons")
+    entities = common.save(forms.groupBy("kind", "canon").agg(F.min("entity").alias("entity")), "entities")
+    settled = attempts(entities, key).select("kind", "canon", "attempt")
+    table = common.save(with_surrogates(forms.join(settled, ["kind", "canon"]), key).select(F.col("entity").alias("form"), "s"), "replacements")
+    spread = hits.select("t", F.posexplode("e").alias("at", "entity")).join(common.sized(table, 128), F.col("entity") == F.col("form"))
+    lists = spread.groupBy("t").agg(F.sort_array(F.collect_list(F.struct("at", "s"))).alias("_s"))
+    lists = common.save(lists.select("t", F.col("_s.s").alias("_s")), "lists")
     gaps = F.split(text, PATTERN, -1)
-    swapped = F.zip_with(F.slice(gaps, 1, F.size("_e")), F.transform("_e", lambda e: F.element_at("_map", e)), lambda g, s: F.concat(g, s))
+    swapped = F.zip_with(F.slice(gaps, 1, F.size("_s")), F.col("_s"), lambda g, s: F.concat(g, s))
     whole = F.concat(F.array_join(swapped, ""), F.element_at(gaps, -1))
 
-    def swap(r: DataFrame, small: DataFrame) -> DataFrame:
-        out = r.join(small, F.xxhash64(text) == F.col("_t"), "left").withColumn("text", F.when(F.size("_e") > 0, whole).otherwise(text))
-        return out.select(*docs.columns, F.coalesce(F.size("_e"), F.lit(0)).alias("n_replaced"))
+    def swap(rows: DataFrame, lists: DataFrame) -> DataFrame:
+        out = rows.join(lists, F.xxhash64(text) == F.col("t"), "left").withColumn("n_replaced", F.when(F.col("_s").isNull(), 0).otherwise(F.size("_s")))
+        return out.withColumn("text", F.when(F.col("n_replaced") > 0, whole).otherwise(text)).select(*docs.columns, "n_replaced")
 
-    if near:
-        return swap(rows, F.broadcast(held))
+    if lists.count() * 512 <= common.BROADCAST_BYTES:
+        return swap(docs, F.broadcast(lists))
     # a second look at the texts costs less than a shuffle of all of them
-    clean = rows.where("_e is null or size(_e) = 0").select(*docs.columns, F.lit(0).alias("n_replaced"))
-    return swap(rows.where(F.size("_e") > 0), held).unionByName(clean)
+    has = F.coalesce(text.rlike(PATTERN), F.lit(False))
+    return swap(docs.where(has), lists).unionByName(docs.where(~has).withColumn("n_replaced", F.lit(0)))

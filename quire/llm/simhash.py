@@ -368,5 +368,5 @@ def near_links(docs: DataFrame, width: int = 5, similarity: float = 0.8, recall:
 
 def deduplicate(docs: DataFrame, width: int = 5, similarity: float = 0.8) -> DataFrame:
     """docs, with the least doc_id of each group of near-duplicates, in docs' own columns."""
-    dropped = common.components(near_links(docs, width, similarity)).where("node <> root").select("node")
+    dropped = common.components(near_links(docs, width, similarity)).where("node <> root").select(F.col("node").alias("doc_id"))
     return common.drop_ids(docs, common.save(dropped, "dropped"))
