@@ -1,13 +1,399 @@
-"""Registry of the engine's own queries and their SQL."""
+"""The engine's queries over books packed from the driver's tables, each with the SQL that gives the same rows.
+
+Round trips show that packing and reading agree; that reading follows the format is shown by the vectors in tests/.
+"""
+
+from __future__ import annotations
+
+import struct
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from quire.functions import columns, uri
+from quire.operators import container, metadata, text
+from quire.operators.library import Library, open_books, open_headers, resolve_uris, section_at
+from quire.pack import encode as e
+from quire.sources.files import tune
+
+from .packed import packed
+
+
+def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    tune(spark)
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def _docs(spark, sf_dir) -> DataFrame:
+    return _t(spark, sf_dir, "documents").select("doc_id", "text")
+
+
+def _raw(r: dict) -> bytes:
+    return (r["text"] or "").encode()
+
+
+def _id(df: DataFrame) -> DataFrame:
+    return df.withColumn("doc_id", F.col("path").cast("long"))
+
+
+def _digest(files: DataFrame) -> DataFrame:
+    return _id(open_books(files)).select("doc_id", "status", F.octet_length("raw").cast("long").alias("raw_len"), F.sha2("raw", 256).alias("raw_sha256"))
+
+
+_DIGEST = "SELECT doc_id, 'OK' AS status, strlen(coalesce(text, '')) AS raw_len, sha256(coalesce(text, '')) AS raw_sha256 FROM documents"
+
+
+def records_scan(spark, sf_dir):
+    """Uncompressed books; how many records, which text."""
+    books = _id(open_books(packed(_docs(spark, sf_dir), lambda r: e.mobi6(_raw(r)), "doc_id")))
+    return books.select("doc_id", F.col("h.text_records").alias("text_records"), (F.col("num_records") - 2).cast("long").alias("body_records"), F.sha2("raw", 256).alias("raw_sha256"))
+
+
+def record_magic(spark, sf_dir):
+    """Magic of every record by its number."""
+    files = packed(_docs(spark, sf_dir), lambda r: e.container([b"A", b"BC", _raw(r)]), "doc_id")
+    got = container.records(container.containers(files))
+    return _id(got).select("doc_id", F.col("rec_no").cast("long").alias("rec_no"), F.hex("magic").alias("magic_hex"), F.octet_length("data").cast("long").alias("bytes"))
+
+
+def palmdoc_roundtrip(spark, sf_dir):
+    """T4"""
+    return _digest(packed(_docs(spark, sf_dir), lambda r: e.mobi6(_raw(r), e.PALMDOC), "doc_id"))
+
+
+def huffcdic_roundtrip(spark, sf_dir):
+    """T5-T8, with a nested phrase in every dictionary"""
+    return _digest(packed(_docs(spark, sf_dir), lambda r: e.mobi6(_raw(r), e.HUFFCDIC, nested=True), "doc_id"))
+
+
+_FLAGS = (1, 2, 6, 0x0E, 0b1011, 0xFFFF)
+
+
+def trailing_strip(spark, sf_dir):
+    """Six kinds of trailing entries, by doc_id"""
+    return _digest(packed(_docs(spark, sf_dir), lambda r: e.mobi6(_raw(r), e.PALMDOC if r["doc_id"] % 2 else e.NONE, _FLAGS[r["doc_id"] % 6]), "doc_id"))
+
+
+def cp1252_text(spark, sf_dir):
+    """Text through the older code page; characters outside it were replaced when packing"""
+    docs = _docs(spark, sf_dir).withColumn("text", F.regexp_replace(F.coalesce("text", F.lit("")), "[^\\x00-\\x7E\\u00A0-\\u00FF]", "~"))
+    books = _id(open_books(packed(docs, lambda r: e.mobi6(r["text"].encode("cp1252"), e.PALMDOC, codepage=1252), "doc_id")))
+    return books.select("doc_id", F.sha2(columns.decoded(F.col("raw"), F.col("h.codepage")), 256).alias("text_sha256"))
+
+
+def sections_split(spark, sf_dir):
+    """Pages cut at their paragraph tags"""
+    pages = _t(spark, sf_dir, "pages").select("page_id", "html")
+    books = open_books(packed(pages, lambda r: e.mobi6((r["html"] or "").encode(), e.PALMDOC), "page_id"))
+    s = text.text_sections(books, r"(?i)<p>")
+    return s.select(F.col("path").cast("long").alias("page_id"), F.col("ord").cast("long").alias("ord"), "start", "end", F.sha2("content", 256).alias("sha256"))
+
+
+def pagebreak_sections(spark, sf_dir):
+    """Whole texts behind page breaks of three spellings"""
+    tags = (b"<mbp:pagebreak/>", b"<mbp:pagebreak>", b"<PAGEBREAK foo=1>")
+    files = packed(_docs(spark, sf_dir), lambda r: e.mobi6(b"head" + tags[r["doc_id"] % 3] + _raw(r).replace(b"<", b"(") + tags[(r["doc_id"] + 1) % 3]), "doc_id")
+    s = Library(files).sections
+    return _id(s).select("doc_id", F.col("ord").cast("long").alias("ord"), "start", "end", F.sha2("text", 256).alias("sha256"))
+
+
+def filepos_targets(spark, sf_dir):
+    """Links to positions, each once, ascending"""
+    lines = _t(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.sort_array(F.collect_list(F.col("l_partkey"))).alias("parts"))
+    files = packed(lines, lambda r: e.mobi6(b"".join(b"<a filepos=%s%09d%s>x</a>" % (q, p, q) for p in r["parts"] for q in (b'"', b"'"))), "l_orderkey")
+    got = Library(files).filepos
+    return got.select(F.col("path").cast("long").alias("l_orderkey"), "filepos")
+
+
+def _exth_books(spark, sf_dir) -> DataFrame:
+    events = _t(spark, sf_dir, "events").groupBy("user_id").agg(F.sort_array(F.collect_list(F.struct("event_id", "event_type"))).alias("e"))
+    kind = {"click": 100, "view": 105, "purchase": 108, "signup": 101, "logout": 103, "login": 104}
+
+    def build(r):
+        entries = [(kind.get(x["event_type"], 106), b"%d" % x["event_id"]) for x in r["e"]]
+        return e.mobi6(b"text", exth=entries)
+
+    return packed(events, build, "user_id")
+
+
+_KIND = "CASE event_type WHEN 'click' THEN 100 WHEN 'view' THEN 105 WHEN 'purchase' THEN 108 WHEN 'signup' THEN 101 WHEN 'logout' THEN 103 WHEN 'login' THEN 104 ELSE 106 END"
+
+
+def exth_last(spark, sf_dir):
+    """Last value of a type"""
+    got = metadata.exth(open_headers(_exth_books(spark, sf_dir)))
+    return got.groupBy(F.col("path").cast("long").alias("user_id"), F.col("type").alias("kind")).agg(F.max_by(F.col("data").cast("string").cast("long"), "ord").alias("last"))
+
+
+def exth_all(spark, sf_dir):
+    """Values of a type in file order"""
+    got = metadata.exth(open_headers(_exth_books(spark, sf_dir)))
+    lists = got.groupBy(F.col("path").cast("long").alias("user_id"), F.col("type").alias("kind")).agg(F.sort_array(F.collect_list(F.struct("ord", F.col("data").cast("string").alias("v")))).alias("l"))
+    return lists.select("user_id", "kind", F.array_join(F.col("l.v"), ",").alias("values"))
+
+
+def metadata_fallback(spark, sf_dir):
+    """Metadata before header title; escaped characters; several authors"""
+    customers = _t(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_mktsegment", "c_nationkey")
+
+    def build(r):
+        entries = [(100, r["c_mktsegment"].encode()), (100, b"B &amp; C"), (101, b"first"), (101, r["c_mktsegment"].encode())]
+        if r["c_custkey"] % 3 == 0:
+            entries.append((503, b"&lt;" + r["c_name"].encode() + b"&gt;"))
+        return e.mobi6(b"x", title=r["c_name"].encode(), exth=entries if r["c_custkey"] % 5 else None, language=9, region=4)
+
+    m = Library(packed(customers, build, "c_custkey")).metadata
+    return m.select(F.col("path").cast("long").alias("c_custkey"), "title", F.array_join("authors", "|").alias("authors"), "publisher", "language")
+
+
+def locale_lookup(spark, sf_dir):
+    """Language and region bytes to tags"""
+    orders = _t(spark, sf_dir, "orders").select("o_orderkey", F.pmod("o_orderkey", F.lit(14)).cast("int").alias("language"), F.pmod("o_custkey", F.lit(256)).cast("int").alias("region"))
+    return metadata.with_locale(orders, F.col("language"), F.col("region")).select("o_orderkey", "locale")
+
+
+def base32_uri(spark, sf_dir):
+    """Positions to references and back"""
+    lines = _t(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", (F.col("l_partkey") * 1000 + F.col("l_linenumber")).alias("off")).where("l_linenumber = 1")
+    t = lines.withColumn("uri", uri.place_uri(F.col("l_orderkey"), F.col("off"))).withColumn("u", uri.parse_uri(F.col("uri")))
+    return t.select("l_orderkey", "uri", "u.kind", "u.fid", "u.off")
+
+
+def _cut(doc: bytes) -> list[tuple[int, int]]:
+    """Two ranges of a document, the second right behind the first where it is long enough."""
+    n = len(doc)
+    return [(n // 4, n // 2), (n // 2, n // 2 + n // 8)] if n >= 16 else []
+
+
+def _kf8_books(spark, sf_dir) -> DataFrame:
+    def build(r):
+        raw = _raw(r)
+        half = len(raw) // 2
+        docs = [(raw[:half], _cut(raw[:half])), (raw[half:], _cut(raw[half:]))]
+        return e.kf8(docs, [b"p{}", raw[:10]], compression=e.PALMDOC, resources=[b"\x89PNG\r\n\x1a\n" + raw[:4]], spreads={1: "page-spread-right"})
+
+    return packed(_docs(spark, sf_dir), build, "doc_id")
+
+
+def kf8_assembly(spark, sf_dir):
+    """Documents cut into skeletons and fragments, put together again"""
+    s = Library(_kf8_books(spark, sf_dir)).kf8_sections
+    return _id(s).select("doc_id", F.col("ord").cast("long").alias("ord"), "size_bytes", "linear", "page_spread", F.sha2("content", 256).alias("sha256"))
+
+
+def kf8_flows(spark, sf_dir):
+    """K2, K3"""
+    f = Library(_kf8_books(spark, sf_dir)).flows
+    return _id(f).where("ord > 0").select("doc_id", F.col("ord").cast("long").alias("ord"), F.sha2("content", 256).alias("sha256"))
+
+
+def pos_resolve(spark, sf_dir):
+    """References into fragments and beyond"""
+    books = open_books(_kf8_books(spark, sf_dir))
+    asked = _docs(spark, sf_dir).select(F.col("doc_id").cast("string").alias("path"), F.explode(F.array(F.lit("kindle:pos:fid:0001:off:0000000001"), F.lit("kindle:flow:0002"), F.lit("kindle:flow:0003"), F.lit("kindle:embed:0001?mime=image/png"), F.lit("kindle:embed:0009"))).alias("uri"))
+    got = resolve_uris(books, asked)
+    return _id(got).select("doc_id", "uri", "status", "section", "offset")
+
+
+def toc_tree(spark, sf_dir):
+    """Regions and nations as contents with parents"""
+    nation, region = _t(spark, sf_dir, "nation"), _t(spark, sf_dir, "region")
+    one = nation.join(region, F.col("n_regionkey") == F.col("r_regionkey")).groupBy().agg(F.sort_array(F.collect_list(F.struct("r_regionkey", "r_name", "n_nationkey", "n_name"))).alias("l"))  # 25 rows
+    one = one.withColumn("book", F.lit("world"))
+
+    def build(r):
+        regions = sorted({(x["r_regionkey"], x["r_name"]) for x in r["l"]})
+        nodes = [{"label": n, "start": 1000 * k, "level": 0} for k, n in regions]
+        number = {k: i for i, (k, _) in enumerate(regions)}
+        nodes += [{"label": x["n_name"], "start": x["n_nationkey"], "level": 1, "parent": number[x["r_regionkey"]]} for x in r["l"]]
+        return e.mobi6(b"text", ncx=e.ncx(nodes))
+
+    t = Library(packed(one, build, "book")).toc
+    up = t.select(F.col("node").alias("p"), F.col("label").alias("parent_label"))
+    return t.join(up, F.col("parent") == F.col("p"), "left").select("label", F.coalesce("parent_label", F.lit("")).alias("parent_label"), F.col("depth").cast("long").alias("depth"), "start_byte")
+
+
+def legacy_toc(spark, sf_dir):
+    """Turns of a conversation as marked-up contents, each below the one before it"""
+    turns = _t(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", "role"))).alias("l"))
+
+    def build(r):
+        points = "".join(f'<tocpoint filepos="{10 * k:05d}" tocdepth={min(k, 3)}>{x["role"]} &amp; {k}</tocpoint>' for k, x in enumerate(r["l"]))
+        return e.mobi6(f"<html><toc>{points}</toc></html>".encode())
+
+    t = Library(packed(turns, build, "conv_id")).toc
+    return t.select(F.col("path").cast("long").alias("conv_id"), F.col("node").cast("long").alias("node"), F.col("parent").cast("long").alias("parent"), F.col("depth").cast("long").alias("depth"), "label", "start_byte")
+
+
+def legacy_guide(spark, sf_dir):
+    """N7"""
+    turns = _t(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", "role"))).alias("l"))
+
+    def build(r):
+        refs = "".join(f'<reference type="{x["role"]}" title="Turn &lt;{k}&gt;" filepos={k:010d} />' for k, x in enumerate(r["l"]))
+        return e.mobi6(f"<guide>{refs}</guide>".encode())
+
+    g = Library(packed(turns, build, "conv_id")).guide
+    return g.select(F.col("path").cast("long").alias("conv_id"), F.col("ord").cast("long").alias("ord"), "label", "type", "href", "filepos")
+
+
+def kf8_guide(spark, sf_dir):
+    """N5, N6, N8"""
+    parts = _t(spark, sf_dir, "part").select("p_partkey", "p_type", "p_name")
+    files = packed(parts, lambda r: e.kf8([(b"<p/>", [])], guide=[(b"toc other", r["p_name"], (r["p_partkey"], 256)), (b"cover", "C", (1, 0))]), "p_partkey")
+    g = Library(files).guide
+    return g.select(F.col("path").cast("long").alias("p_partkey"), F.col("ord").cast("long").alias("ord"), "label", "type", "href", "filepos")
+
+
+_HEADS = (b"GIF87a", b"GIF89a", b"\xff\xd8\xff", b"\x89PNG\r\n\x1a\n", b"BM", b"VIDE", b"other")
+
+
+def resource_sniff(spark, sf_dir):
+    """Three resources a book"""
+    files = packed(_docs(spark, sf_dir), lambda r: e.mobi6(b"t", resources=[_HEADS[(r["doc_id"] + k) % 7] + bytes(12) for k in range(3)], ncx=e.ncx([{"label": "x", "start": 0}])), "doc_id")
+    got = Library(files).resources
+    return _id(got).select("doc_id", F.col("ord").cast("long").alias("ord"), "mime", F.octet_length("data").cast("long").alias("bytes"))
+
+
+def cover_pick(spark, sf_dir):
+    """Cover, thumbnail, neither, or a number out of range"""
+
+    def build(r):
+        k, none = r["doc_id"] % 5, struct.pack(">I", e.ABSENT)
+        entries = [[(201, b"\0\0\0\1")], [(202, b"\0\0\0\0")], [(201, none), (202, b"\0\0\0\1")], [(100, b"A")], [(201, b"\0\0\0\x63")]][k]
+        return e.mobi6(b"t", exth=entries, resources=[b"GIF89a0", b"BM1"])
+
+    got = Library(packed(_docs(spark, sf_dir), build, "doc_id")).cover
+    return _id(got).select("doc_id", "status", F.coalesce("mime", F.lit("")).alias("mime"))
+
+
+def font_decode(spark, sf_dir):
+    """Texts as masked, squeezed fonts"""
+    files = packed(_docs(spark, sf_dir), lambda r: e.mobi6(b"t", resources=[e.font(_raw(r), bytes(range(1, 17 if r["doc_id"] % 2 else 6)))]), "doc_id")
+    got = Library(files).resources
+    return _id(got).where("ord = 0").select("doc_id", "status", F.sha2("data", 256).alias("sha256"))
+
+
+def open_status(spark, sf_dir):
+    """H1-H8, S3: the first broken rule of damaged files"""
+
+    def build(r):
+        k, raw = r["doc_id"] % 10, b"some text of a book"
+        whole = e.mobi6(raw)
+        return [
+            whole,
+            e.mobi6(raw, encryption=1),
+            e.mobi6(raw, drm_offset=5, drm_count=1, codepage=7),
+            e.mobi6(raw, codepage=7),
+            e.container([e.record0(3, 1, compression=3), b"abc"]),
+            b"short",
+            whole[:60] + b"JUNKJUNK" + whole[68:],
+            whole[: len(whole) * 2 // 5],
+            e.container([e.record0(9, 3), b"abc"]),
+            e.kf8([(b"<p/>", [])], drop=("skel",)),
+        ][k]
+
+    got = open_books(packed(_docs(spark, sf_dir), build, "doc_id"))
+    return _id(got).select("doc_id", "status")
+
+
+def combo_halves(spark, sf_dir):
+    """Two books in one file"""
+
+    def build(r):
+        raw = _raw(r)
+        old = e.mobi6_records(b"old " + raw, resources=[b"GIF89a"])
+        texts = -(-len(b"old " + raw) // e.RECORD)
+        return e.combo(old, e.kf8_records([(raw, _cut(raw))]), {"text_length": len(raw) + 4, "text_records": texts, "first_image": 1 + texts})
+
+    s = Library(packed(_docs(spark, sf_dir), build, "doc_id")).sections
+    return _id(s).groupBy("doc_id", "half").agg(F.count("*").alias("sections"), F.sum("end").alias("last_end"), F.min(F.when(F.col("ord") == 0, F.sha2("text", 256))).alias("first_sha256"))
+
+
+def half_relative_position(spark, sf_dir):
+    """Positions joined to the sections that hold them"""
+    files = packed(_docs(spark, sf_dir), lambda r: e.mobi6(b"<a filepos=3><mbp:pagebreak/>" + _raw(r).replace(b"<", b"(")), "doc_id")
+    lib = Library(files)
+    got = section_at(lib.sections, lib.filepos.drop("half"))
+    return _id(got).select("doc_id", "filepos", F.col("ord").cast("long").alias("ord"))
+
+
+
+SQL = {
+    "records_scan": "SELECT doc_id, ceil(strlen(coalesce(text, '')) / 4096.0)::BIGINT AS text_records, ceil(strlen(coalesce(text, '')) / 4096.0)::BIGINT AS body_records, sha256(coalesce(text, '')) AS raw_sha256 FROM documents",
+    "record_magic": "SELECT doc_id, rec_no, magic_hex, bytes FROM (SELECT doc_id, unnest([0, 1, 2])::BIGINT AS rec_no, unnest(['41000000', '42430000', rpad(hex(encode(coalesce(text, ''))[1:4]), 8, '0')]) AS magic_hex, unnest([1, 2, strlen(coalesce(text, ''))]) AS bytes FROM documents)",
+    "palmdoc_roundtrip": _DIGEST,
+    "huffcdic_roundtrip": _DIGEST,
+    "trailing_strip": _DIGEST,
+    "cp1252_text": "SELECT doc_id, sha256(regexp_replace(coalesce(text, ''), '[^\\x{00}-\\x{7E}\\x{A0}-\\x{FF}]', '~', 'g')) AS text_sha256 FROM documents",
+    "sections_split": """
+WITH p AS (SELECT page_id, string_split(regexp_replace(coalesce(html, ''), '(<p>)', chr(57344) || '\\1', 'gi'), chr(57344)) AS parts FROM pages),
+s AS (SELECT page_id, unnest(parts) AS part, generate_subscripts(parts, 1) - 1 AS ord FROM p)
+SELECT page_id, ord::BIGINT AS ord, (sum(strlen(part)) OVER w - strlen(part))::BIGINT AS start, (sum(strlen(part)) OVER w)::BIGINT AS "end", sha256(part) AS sha256
+FROM s WINDOW w AS (PARTITION BY page_id ORDER BY ord)""",
+    "pagebreak_sections": """
+WITH d AS (SELECT doc_id, replace(coalesce(text, ''), '<', '(') AS t, ['<mbp:pagebreak/>', '<mbp:pagebreak>', '<PAGEBREAK foo=1>'] AS g FROM documents),
+s AS (SELECT doc_id, unnest(['head', g[doc_id % 3 + 1] || t, g[(doc_id + 1) % 3 + 1]]) AS part, unnest([0, 1, 2]) AS ord FROM d)
+SELECT doc_id, ord::BIGINT AS ord, (sum(strlen(part)) OVER w - strlen(part))::BIGINT AS start, (sum(strlen(part)) OVER w)::BIGINT AS "end", sha256(part) AS sha256
+FROM s WINDOW w AS (PARTITION BY doc_id ORDER BY ord)""",
+    "filepos_targets": "SELECT DISTINCT l_orderkey, l_partkey AS filepos FROM lineitem",
+    "exth_last": f"SELECT user_id, {_KIND}::BIGINT AS kind, arg_max(event_id, event_id) AS last FROM events GROUP BY ALL",
+    "exth_all": f"SELECT user_id, {_KIND}::BIGINT AS kind, string_agg(event_id::VARCHAR, ',' ORDER BY event_id) AS \"values\" FROM events GROUP BY ALL",
+    "metadata_fallback": """
+SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 AND c_custkey % 5 <> 0 THEN '<' || c_name || '>' ELSE c_name END AS title,
+       CASE WHEN c_custkey % 5 <> 0 THEN c_mktsegment || '|B & C' ELSE '' END AS authors, CASE WHEN c_custkey % 5 <> 0 THEN c_mktsegment ELSE '' END AS publisher, 'en-US' AS language
+FROM customer""",
+    "locale_lookup": "SELECT o_orderkey, coalesce(v.tag, b.tag, '') AS locale FROM orders LEFT JOIN (VALUES " + ", ".join(f"({n}, {k}, '{t}')" for n, words in metadata.LANGUAGES.items() if n < 14 for k, t in enumerate([w if i == 0 or w.islower() else f"{words.split()[0]}-{w}" for i, w in enumerate(words.split())]) if not t.endswith("-")) + ") v(l, r, tag) ON v.l = o_orderkey % 14 AND v.r = (o_custkey % 256) // 4 LEFT JOIN (VALUES " + ", ".join(f"({n}, '{words.split()[0]}')" for n, words in metadata.LANGUAGES.items() if n < 14) + ") b(l, tag) ON b.l = o_orderkey % 14",
+    "base32_uri": """
+WITH t AS (SELECT l_orderkey, l_partkey * 1000 + l_linenumber AS off, '0123456789ABCDEFGHIJKLMNOPQRSTUV' AS d FROM lineitem WHERE l_linenumber = 1)
+SELECT l_orderkey, 'kindle:pos:fid:' || (SELECT string_agg(substr(d, (l_orderkey // (32 ** (greatest(4, floor(ln(l_orderkey) / ln(32) + 1e-12)::INT + 1) - 1 - i))::BIGINT % 32)::INT + 1, 1), '' ORDER BY i) FROM range(0, greatest(4, floor(ln(l_orderkey) / ln(32) + 1e-12)::INT + 1)) r(i))
+       || ':off:' || (SELECT string_agg(substr(d, (off // (32 ** (9 - i))::BIGINT % 32)::INT + 1, 1), '' ORDER BY i) FROM range(0, 10) r(i)) AS uri,
+       'pos' AS kind, l_orderkey AS fid, off
+FROM t""",
+    "kf8_assembly": """
+WITH d AS (SELECT doc_id, encode(coalesce(text, '')) AS b FROM documents),
+h AS (SELECT doc_id, unnest([0, 1]) AS ord, unnest([b[1:octet_length(b) // 2], b[octet_length(b) // 2 + 1:]]) AS part FROM d)
+SELECT doc_id, ord::BIGINT AS ord, octet_length(part)::BIGINT AS size_bytes, octet_length(part) >= 16 AS linear, CASE ord WHEN 1 THEN 'right' ELSE '' END AS page_spread, sha256(part) AS sha256 FROM h""",
+    "kf8_flows": "SELECT doc_id, unnest([1, 2])::BIGINT AS ord, unnest([sha256('p{}'), sha256(encode(coalesce(text, ''))[1:10])]) AS sha256 FROM documents",
+    "toc_tree": "SELECT r_name AS label, '' AS parent_label, 0::BIGINT AS depth, r_regionkey::BIGINT * 1000 AS start_byte FROM region WHERE r_regionkey IN (SELECT n_regionkey FROM nation) UNION ALL SELECT n_name, r_name, 1, n_nationkey FROM nation JOIN region ON n_regionkey = r_regionkey",
+    "legacy_toc": """
+WITH t AS (SELECT conv_id, role, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role) - 1 AS k FROM conversations)
+SELECT conv_id, k AS node, CASE WHEN k = 0 THEN -1 WHEN k <= 3 THEN k - 1 ELSE 2 END AS parent, least(k, 3) AS depth, role || ' & ' || k AS label, 10 * k AS start_byte FROM t""",
+    "legacy_guide": "SELECT conv_id, k AS ord, 'Turn <' || k || '>' AS label, role AS type, '' AS href, k AS filepos FROM (SELECT conv_id, role, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role) - 1 AS k FROM conversations)",
+    "kf8_guide": """
+WITH t AS (SELECT p_partkey, p_name, '0123456789ABCDEFGHIJKLMNOPQRSTUV' AS d FROM part)
+SELECT p_partkey, 0::BIGINT AS ord, p_name AS label, 'toc' AS type, 'kindle:pos:fid:' || substr(d, (p_partkey // 32768 % 32)::INT + 1, 1) || substr(d, (p_partkey // 1024 % 32)::INT + 1, 1) || substr(d, (p_partkey // 32 % 32)::INT + 1, 1) || substr(d, (p_partkey % 32)::INT + 1, 1) || ':off:0000000080' AS href, -1::BIGINT AS filepos FROM t
+UNION ALL SELECT p_partkey, 1, 'C', 'cover', 'kindle:pos:fid:0001:off:0000000000', -1 FROM t""",
+    "resource_sniff": """
+SELECT doc_id, k::BIGINT AS ord, ['image/gif', 'image/gif', 'image/jpeg', 'image/png', 'image/bmp', 'application/octet-stream', 'application/octet-stream'][(doc_id + k) % 7 + 1] AS mime,
+       [18, 18, 15, 20, 14, 4, 17][(doc_id + k) % 7 + 1]::BIGINT AS bytes
+FROM documents, range(0, 3) r(k)""",
+    "cover_pick": "SELECT doc_id, ['OK', 'OK', 'OK', 'NoCover', 'RecordRange'][doc_id % 5 + 1] AS status, ['image/bmp', 'image/gif', 'image/bmp', '', ''][doc_id % 5 + 1] AS mime FROM documents",
+    "font_decode": "SELECT doc_id, 'OK' AS status, sha256(coalesce(text, '')) AS sha256 FROM documents",
+    "open_status": "SELECT doc_id, ['OK', 'DRM', 'DRM', 'Corrupt', 'UnsupportedCompression', 'NotPalmDB', 'NotPalmDB', 'Corrupt', 'RecordRange', 'Corrupt'][doc_id % 10 + 1] AS status FROM documents",
+    "combo_halves": """
+SELECT doc_id, 'mobi6' AS half, 1::BIGINT AS sections, strlen(coalesce(text, '')) + 4 AS last_end, sha256('old ' || coalesce(text, '')) AS first_sha256 FROM documents
+UNION ALL SELECT doc_id, 'main', 1, strlen(coalesce(text, '')), sha256(coalesce(text, '')) FROM documents""",
+    "half_relative_position": "SELECT doc_id, 3::BIGINT AS filepos, 0::BIGINT AS ord FROM documents",
+    "pos_resolve": """
+WITH d AS (SELECT doc_id, strlen(coalesce(text, '')) // 2 AS a, strlen(coalesce(text, '')) - strlen(coalesce(text, '')) // 2 AS b FROM documents),
+r AS (SELECT *, CASE WHEN a >= 16 THEN 0 WHEN b >= 16 THEN 1 END AS first FROM d),
+q AS (SELECT doc_id, unnest(['kindle:pos:fid:0001:off:0000000001', 'kindle:flow:0002', 'kindle:flow:0003', 'kindle:embed:0001?mime=image/png', 'kindle:embed:0009']) AS uri, first,
+             CASE first WHEN 0 THEN a WHEN 1 THEN b END AS n FROM r)
+SELECT doc_id, uri, CASE WHEN uri LIKE '%pos%' THEN CASE WHEN first IS NULL OR n // 8 < 1 THEN 'Corrupt' ELSE 'OK' END WHEN uri LIKE '%0003' OR uri LIKE '%0009' THEN 'RecordRange' ELSE 'OK' END AS status,
+       CASE WHEN uri LIKE '%pos%' AND first IS NOT NULL THEN first ELSE 0 END::BIGINT AS section, CASE WHEN uri LIKE '%pos%' AND first IS NOT NULL THEN n // 2 + 1 ELSE 0 END::BIGINT AS "offset"
+FROM q""",
+}
 
 
 def queries() -> dict:
-    return {}
+    return {name: globals()[name] for name in SQL}
 
 
-def oracle_sql() -> dict:
-    return {}
+def oracle_sql() -> dict[str, str]:
+    return dict(SQL)
 
 
-def flagship(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id")
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sections of packed books with byte ranges and digests."""
+    return sections_split(spark, sf_dir)
