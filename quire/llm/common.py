@@ -7,9 +7,11 @@ reach; a folder of our own is made only where that setting is missing and the ma
 from __future__ import annotations
 
 import atexit
+import ctypes
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,8 +21,23 @@ BROADCAST_BYTES = 32 << 20
 _runs: dict[str, str] = {}
 
 
+#: Rows and bytes of a batch that travels to Python; whole texts are long rows.
+BATCH_ROWS, BATCH_BYTES = 1000, 8 << 20
+
+
+def trim() -> None:
+    """Gives memory that a Python worker has freed back to the system; workers live on between tasks."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """A folder of this application's own inside the shared checkpoint folder."""
+    """A folder of this application's own inside the shared checkpoint folder. Also bounds the batches for Python."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
     app = spark.sparkContext.applicationId
     if app not in _runs:
         base = spark.sparkContext.getConf().get("spark.checkpoint.dir")

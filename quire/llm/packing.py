@@ -128,6 +128,7 @@ def _pieces(path: str, capacity: int, end_id: int):
                     rows, size = [], 0
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), _PIECE_ARROW, strict=True)], schema=_PIECE_ARROW)
+        common.trim()
 
     return run
 

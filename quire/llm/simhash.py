@@ -243,6 +243,8 @@ def _search(n_words: int, radius: int, nearest: bool):
                 held, n = [(run[cut:], node[cut:], words[cut:])], len(run) - cut
         if held:
             yield links(held)
+        held = []
+        common.trim()
 
     return run_
 
@@ -289,6 +291,7 @@ def _fingerprint(width: int, n_words: int):
             yield pa.RecordBatch.from_arrays(
                 [b.column(0), pa.array([len(h) for h in got], pa.int64()), *(pa.array(np.ascontiguousarray(words[:, w]).view(np.int64)) for w in range(n_words))], ["doc_id", "n", *(f"w{w}" for w in range(n_words))]
             )
+        common.trim()
 
     return run
 
@@ -329,6 +332,7 @@ def _sets(width: int):
         for b in batches:
             sets = [np.unique(shingle_hashes(t or b"", width).astype(np.uint32)).tobytes() for t in b.column(1).cast(pa.binary()).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sets, pa.binary())], ["id", "shingles"])
+        common.trim()
 
     return run
 

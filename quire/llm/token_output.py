@@ -162,6 +162,7 @@ def _shards(path: str, end_id: int, shard_ids: int):
                 held.append(ids)
         if docs:
             yield flush()
+        common.trim()
 
     return run
 

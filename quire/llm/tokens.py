@@ -12,7 +12,7 @@ from functools import lru_cache
 
 import numpy as np
 
-CACHE = 400_000
+CACHE = 150_000
 
 
 class _Odd(Exception):

@@ -156,6 +156,8 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for at in range(0, len(rest), 50_000):
         part = rest[at : at + 50_000]
         yield pa.RecordBatch.from_pydict({"feature": pa.array(part, pa.string()), "yes": pa.array([0] * len(part), pa.int64()), "no": pa.array([no[x] for x in part], pa.int64())})
+    names, rest, yes, no = [], [], None, None
+    common.trim()
 
 
 def _incidence(known: dict[str, int]):
