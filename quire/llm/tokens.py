@@ -2,17 +2,24 @@
 
 A text is cut where the tokenizer itself always cuts: at ASCII white space for the word-end vocabulary, which
 drops white space, and before a single space between two other characters for the byte-level one, where the
-space starts the next piece. The tokenizers library encodes each distinct piece once; ids of the whole text
+space starts the next piece. The tokenizers library encodes each distinct piece; ids of the whole text
 are the pieces' ids joined. Texts with other white space at a cut are given to the library as a whole.
+
+A piece of Latin-1 letters is one pre-token that normalisation at most lower-cases, so it goes to the library's
+model straight away; one more punctuation mark behind it is a pre-token of its own. Pieces are kept for good
+only when they come up again, so that the long tail of words seen once does not push out the common ones.
 """
 
 from __future__ import annotations
 
+import re
 from functools import lru_cache
 
 import numpy as np
 
-CACHE = 150_000
+#: Pieces kept for good, and pieces that wait for their second time.
+CACHE, YOUNG = 400_000, 200_000
+_LETTERS = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?]?)")
 
 
 class _Odd(Exception):
@@ -20,17 +27,33 @@ class _Odd(Exception):
 
 
 class _Cache(dict):
-    """Piece to its ids as little-endian unsigned 32-bit words; emptied when full."""
+    """Piece to its ids as little-endian unsigned 32-bit words; a piece waits in ``young`` until it is asked for again."""
 
-    def __init__(self, encode):
+    def __init__(self, letters, encode, mark):
         super().__init__()
-        self.encode = encode
+        self.letters, self.encode, self.mark, self.young, self.lines = letters, encode, mark, {}, None
 
     def __missing__(self, piece):
-        value = self.encode(piece)
-        if len(self) >= CACHE:
-            self.clear()
-        self[piece] = value
+        text = piece if isinstance(piece, str) else piece.decode("utf-8", "replace")
+        m = _LETTERS.fullmatch(text)
+        if m and m[2]:
+            return self[piece[:-1]] + self.mark(m[2])
+        value = self.young.pop(piece, None)
+        if value is None and self.lines is not None and "\n" in text:
+            # a single line end between other characters is a pre-token, and what follows it starts without a space
+            before, _, after = text.partition("\n")
+            if before and after and not before[-1].isspace() and not after[0].isspace():
+                return self[before] + self.mark("\n") + self.lines[after]
+        if value is None:
+            value = self.letters(text) if m else self.encode(text)
+            if len(self.young) >= YOUNG:
+                self.young.clear()
+            self.young[piece] = value
+            return value
+        if len(self) < CACHE:
+            self[piece] = value
+        else:
+            self.young[piece] = value
         return value
 
 
@@ -38,6 +61,13 @@ def _pack(ids: list[int]) -> bytes:
     return np.array(ids, "<u4").tobytes()
 
 
+def _byte_letters() -> dict[int, str]:
+    """The byte-level alphabet: printable bytes stand for themselves, the others for characters from 256 on, in order."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in set(plain)]
+    return {b: chr(b) for b in plain} | {b: chr(256 + k) for k, b in enumerate(rest)}
+
+
 class Encoder:
     """encode(text as UTF-8 bytes) gives the ids as little-endian unsigned 32-bit words."""
 
@@ -51,13 +81,20 @@ class Encoder:
             spec = json.load(f)
         self.by_space = spec["pre_tokenizer"]["type"] == "ByteLevel"
         self.vocab = self.tokenizer.get_vocab_size()
-        self.first = _Cache(lambda p: _pack(self._ids(self._checked(p))))
-        self.rest = _Cache(lambda p: _pack(self._ids(" " + self._checked(p))))
-        self.words = _Cache(lambda p: _pack(self._ids(p.decode("utf-8", "replace"))))
+        self.alphabet = _byte_letters()
+        self.mark = lru_cache(16)(lambda c: _pack(self._ids(c)))
+        self.first = _Cache(lambda p: self._model(p), lambda p: _pack(self._ids(self._checked(p))), self.mark)
+        self.rest = _Cache(lambda p: self._model(" " + p), lambda p: _pack(self._ids(" " + self._checked(p))), self.mark)
+        self.rest.lines = self.first.lines = self.first
+        self.words = _Cache(lambda p: self._model(p.lower()), lambda p: _pack(self._ids(p)), self.mark)
 
     def _ids(self, text: str) -> list[int]:
         return self.tokenizer.encode(text, add_special_tokens=False).ids
 
+    def _model(self, text: str) -> bytes:
+        plain = text.replace(" ", self.alphabet[32]) if text.isascii() else text.encode().decode("latin-1").translate(self.alphabet)
+        return _pack([t.id for t in self.tokenizer.model.tokenize(plain)])
+
     @staticmethod
     def _checked(piece: str) -> str:
         if not piece or piece[0].isspace() or piece[-1].isspace():
