@@ -102,7 +102,8 @@ def unescaped(text: pa.Array) -> pa.Array:
 
 @F.arrow_udf(T.ArrayType(T.StringType()))
 def unescaped_all(texts: pa.Array) -> pa.Array:
-    return pa.array([None if x is None else [html.unescape(t) for t in x] for x in texts.to_pylist()], pa.list_(pa.string()))
+    lists = texts.cast(pa.list_(pa.binary())).to_pylist()
+    return pa.array([None if x is None else [html.unescape(t.decode("utf-8", "replace")) for t in x] for x in lists], pa.list_(pa.string()))
 
 
 @F.arrow_udf(_struct(data=T.BinaryType()))
