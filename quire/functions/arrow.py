@@ -37,7 +37,7 @@ def _typed(kind: T.DataType) -> pa.DataType:
     return to_arrow_type(kind)
 
 
-_HEADER = _struct(**{name: T.LongType() for name, *_ in HEADER}, title=T.BinaryType(), exth=T.ArrayType(T.StructType([T.StructField("type", T.LongType()), T.StructField("data", T.BinaryType())])))
+_HEADER = _struct(**{name: T.LongType() for name, *_ in HEADER}, edge=T.LongType(), title=T.BinaryType(), exth=T.ArrayType(T.StructType([T.StructField("type", T.LongType()), T.StructField("data", T.BinaryType())])))
 _FLOW = T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())])
 _FRAG = T.StructType([T.StructField(n, T.BinaryType() if n == "selector" else T.LongType()) for n in ("insert_offset", "selector", "file_num", "seq", "offset", "length")])
 _DOC = T.StructType([T.StructField("content", T.BinaryType()), T.StructField("linear", T.BooleanType()), *(T.StructField(n, T.LongType()) for n in ("offset", "first_frag", "end_frag"))])

@@ -87,7 +87,9 @@ _ENCRYPTED, _UNKNOWN_PACKING = "DRM", "UnsupportedCompression"
 
 
 def read_header(record: bytes) -> dict:
-    """Fields, title and metadata entries of a record 0. A field beyond the declared length keeps its default.
+    """Fields, title, metadata entries and edge (the second half's record 0, if any) of a record 0.
+
+    A field beyond the declared length keeps its default.
 
     The order of the checks is the format's readers': a protected book is refused as such before any later damage shows.
     """
@@ -113,7 +115,10 @@ def read_header(record: bytes) -> dict:
     if out["title_length"] and last > len(record):
         raise Damaged
     title = record[out["title_offset"] : last] if out["title_length"] else None
-    return out | {"title": title, "exth": read_exth(record, end) if out["exth_flag"] & 0x40 else None}
+    exth = read_exth(record, end) if out["exth_flag"] & 0x40 else None
+    places = [data for kind, data in exth or () if kind == 121][-1:]
+    edge = int.from_bytes(places[0], "big") if places and len(places[0]) in (1, 2, 4) else 0xFFFFFFFF
+    return out | {"title": title, "exth": exth, "edge": None if edge == 0xFFFFFFFF or out["version"] >= 8 else edge}
 
 
 def read_exth(record: bytes, at: int) -> list[tuple[int, bytes]]:

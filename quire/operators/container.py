@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quire.functions.arrow import header_of
-from quire.functions.columns import ABSENT, ascii_bytes, latin, magic, part, unlatin, unsigned
+from quire.functions.columns import ascii_bytes, latin, magic, part, unlatin, unsigned
 
 TABLE, ENTRY = 78, 8
 
@@ -87,8 +87,7 @@ def halves(files: DataFrame) -> DataFrame:
     other half's images; ``mobi6`` is the other. A file that is refused has one row, with the reason.
     """
     t = containers(files).withColumn("_h0", header_of(F.when(F.col("status") == "OK", record(F.lit(0)))))
-    edge = number_of(F.col("_h0.exth"), 121)
-    t = t.withColumn("_edge", F.when((F.col("_h0.status") == "OK") & (F.col("_h0.version") < 8) & (edge != ABSENT), edge))
+    t = t.withColumn("_edge", F.col("_h0.edge"))
     t = t.withColumn("_h1", header_of(F.when(F.col("_edge").isNotNull(), record(F.col("_edge")))))
     status = (
         F.when(F.col("status") != "OK", F.col("status"))
