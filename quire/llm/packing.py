@@ -126,6 +126,7 @@ def _pieces(path: str, capacity: int, end_id: int):
                 if size > 8 << 20:
                     yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), _PIECE_ARROW, strict=True)], schema=_PIECE_ARROW)
                     rows, size = [], 0
+                    common.trim()
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), _PIECE_ARROW, strict=True)], schema=_PIECE_ARROW)
         common.trim()

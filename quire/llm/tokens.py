@@ -17,8 +17,8 @@ from functools import lru_cache
 
 import numpy as np
 
-#: Pieces kept for good, and pieces that wait for their second time.
-CACHE, YOUNG = 400_000, 200_000
+#: Pieces kept for good, and pieces that wait for their second time: of words, and of pieces with their space.
+WORDS, SPACED = (400_000, 200_000), (300_000, 100_000)
 _LETTERS = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?]?)")
 
 
@@ -29,8 +29,9 @@ class _Odd(Exception):
 class _Cache(dict):
     """Piece to its ids as little-endian unsigned 32-bit words; a piece waits in ``young`` until it is asked for again."""
 
-    def __init__(self, letters, encode, mark):
+    def __init__(self, letters, encode, mark, room):
         super().__init__()
+        self.room, self.young_room = room
         self.letters, self.encode, self.mark, self.young, self.lines = letters, encode, mark, {}, None
 
     def __missing__(self, piece):
@@ -46,11 +47,11 @@ class _Cache(dict):
                 return self[before] + self.mark("\n") + self.lines[after]
         if value is None:
             value = self.letters(text) if m else self.encode(text)
-            if len(self.young) >= YOUNG:
+            if len(self.young) >= self.young_room:
                 self.young.clear()
             self.young[piece] = value
             return value
-        if len(self) < CACHE:
+        if len(self) < self.room:
             self[piece] = value
         else:
             self.young[piece] = value
@@ -83,10 +84,10 @@ class Encoder:
         self.vocab = self.tokenizer.get_vocab_size()
         self.alphabet = _byte_letters()
         self.mark = lru_cache(16)(lambda c: _pack(self._ids(c)))
-        self.first = _Cache(lambda p: self._model(p), lambda p: _pack(self._ids(self._checked(p))), self.mark)
-        self.rest = _Cache(lambda p: self._model(" " + p), lambda p: _pack(self._ids(" " + self._checked(p))), self.mark)
+        self.first = _Cache(lambda p: self._model(p), lambda p: _pack(self._ids(self._checked(p))), self.mark, (50_000, 50_000))
+        self.rest = _Cache(lambda p: self._model(" " + p), lambda p: _pack(self._ids(" " + self._checked(p))), self.mark, SPACED)
         self.rest.lines = self.first.lines = self.first
-        self.words = _Cache(lambda p: self._model(p.lower()), lambda p: _pack(self._ids(p)), self.mark)
+        self.words = _Cache(lambda p: self._model(p.lower()), lambda p: _pack(self._ids(p)), self.mark, WORDS)
 
     def _ids(self, text: str) -> list[int]:
         return self.tokenizer.encode(text, add_special_tokens=False).ids
