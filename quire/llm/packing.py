@@ -80,7 +80,7 @@ def pack_counts(counts: dict[int, int], capacity: int, items: int = ITEMS) -> li
         out[(capacity,)] += n
     left = {length: n for length, n in counts.items() if length < capacity and n}
     while left:
-        g = -(-sum(left.values()) // items)
+        g = min(-(-sum(left.values()) // items), max(left.values()))
         now = {length: n // g for length, n in left.items() if n // g}
         left = {length: n % g for length, n in left.items() if n % g}
         order = [length for length in sorted(now, reverse=True) for _ in range(now[length])]
