@@ -11,8 +11,10 @@ on a spanning star of what it linked, never its pairs. Buckets above ``CHUNK`` d
 split, and every pair of their parts is compared in a task of its own.
 
 ``near_duplicates`` (the pipeline's stage: five-word shingles, similarity 0.8 or more) uses 256 bits and
-random masks, whose number is set from the wanted recall at the threshold; each node passes on its nearest
-node in a bucket, and the Jaccard similarity of both shingle sets decides on the link.
+random masks, whose number is set from the wanted recall at the threshold; the Jaccard similarity of both
+shingle sets decides on the link. Each node's nearest node in a bucket is judged first. Then every further pair
+within the radius is judged inside its bucket, in the first table in which it meets, unless links that held
+already join its nodes; only the links that hold leave the bucket.
 
 Null and empty texts have fingerprint zero and are linked like any other in ``linked``; in
 ``near_duplicates`` a text without words is no near-duplicate. A text of fewer words than a shingle is one
@@ -35,7 +37,7 @@ from . import common
 
 SEED = 42
 CHUNK = 4096
-_LEAF, _FAN, _SMALL, _BATCH = 32, 8, 512, 200_000
+_LEAF, _FAN, _SMALL, _BATCH, _HELD = 32, 8, 512, 200_000, 64 << 20
 
 
 def shingle_hashes(text: bytes, width: int) -> np.ndarray:
@@ -176,8 +178,54 @@ class Nearest:
         return i, self.best[i] & ((1 << 40) - 1)
 
 
-def bucket_links(words: np.ndarray, runs: np.ndarray, radius: int, want) -> tuple[np.ndarray, np.ndarray]:
-    """Links between rows of the same run (rows sorted by run, in a run by Gray rank)."""
+class Open:
+    """Rows with a row of another component within the radius that they meet here first. root: a row's component."""
+
+    def __init__(self, words: np.ndarray, table: np.ndarray, side: np.ndarray, comp: np.ndarray, masks: list[tuple[int, int]]):
+        self.words, self.table, self.side, self.root, self.masks = words, table, side, comp, masks
+        self.open = np.zeros(len(words), bool)
+
+    def new(self, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        # side is -1 in a part of its own; of two parts that meet, only pairs across are new
+        ok = (self.root[i] != self.root[j]) & ((self.side[i] < 0) | (self.side[i] != self.side[j]))
+        i, j = i[ok], j[ok]
+        x, t, ok = self.words[i] ^ self.words[j], self.table[i], np.ones(len(i), bool)
+        for k, (w, mask) in enumerate(self.masks):
+            ok &= (t <= k) | ((x[:, w] & np.uint64(mask)) != 0)
+        return i[ok], j[ok]
+
+    def add(self, i: np.ndarray, j: np.ndarray, d: np.ndarray) -> None:
+        i, j = self.new(i, j)
+        self.open[i] = self.open[j] = True
+
+    def links(self) -> np.ndarray:
+        return np.flatnonzero(self.open)
+
+
+class Judged(Open):
+    """The pairs of such rows whose sets reach the similarity, without those that earlier ones join."""
+
+    def __init__(self, words, table, side, comp, masks, sets: list[np.ndarray], similarity: float):
+        super().__init__(words, table, side, comp, masks)
+        self.sets, self.size, self.similarity, self.found = sets, np.array([len(x) for x in sets]), similarity, []
+
+    def add(self, i: np.ndarray, j: np.ndarray, d: np.ndarray) -> None:
+        i, j = self.new(i, j)
+        ok = np.minimum(self.size[i], self.size[j]) >= self.similarity * np.maximum(self.size[i], self.size[j]) - 1e-6
+        for a, b in zip(i[ok].tolist(), j[ok].tolist(), strict=True):
+            if self.root[a] == self.root[b]:
+                continue
+            s = jaccard(self.sets[a], self.sets[b])
+            if s >= self.similarity:
+                self.found.append((a, b, s))
+                self.root[self.root == self.root[b]] = self.root[a]
+
+    def links(self) -> list[tuple[int, int, float]]:
+        return self.found
+
+
+def bucket_links(words: np.ndarray, runs: np.ndarray, radius: int, want):
+    """What want makes of the pairs: links between rows of the same run (rows sorted by run, in a run by Gray rank)."""
     n = len(runs)
     starts = np.flatnonzero(np.diff(runs, prepend=-1))
     sizes = np.diff(starts, append=n)
@@ -192,13 +240,13 @@ def bucket_links(words: np.ndarray, runs: np.ndarray, radius: int, want) -> tupl
         ok = d <= radius
         keep.add(left[ok], left[ok] + step, d[ok])
     for s, size in zip(starts[sizes > _SMALL], sizes[sizes > _SMALL], strict=True):
-        skip = _joined(keep, s, size) if isinstance(keep, Stars) else None
+        skip = None if isinstance(keep, Nearest) else _joined(keep, s, size)
         for i, j, d in Nodes(words[s : s + size]).pairs(radius, skip):
             keep.add(i + s, j + s, d)
     return keep.links()
 
 
-def _joined(stars: Stars, s: int, size: int) -> Callable:
+def _joined(stars: Stars | Open, s: int, size: int) -> Callable:
     """Whether two leaves' rows are all in one component already."""
     cut = np.arange(0, size, _LEAF)
 
@@ -249,16 +297,81 @@ def _search(n_words: int, radius: int, nearest: bool):
     return run_
 
 
-def _dealt(nodes: DataFrame, n_words: int, keys: list) -> DataFrame:
-    """nodes (saved: node, w0, ...) in each table's bucket, sorted by bucket in every partition."""
-    words = [f"w{k}" for k in range(n_words)]
+def _whole(batches: Iterator[pa.RecordBatch], n_words: int) -> Iterator[tuple[np.ndarray, np.ndarray, pa.Table]]:
+    """Whole buckets out of rows sorted by bucket (t, key, lo, hi): run, words, rows, in each run by Gray rank."""
+
+    def ready(run: np.ndarray, rows: pa.Table):
+        words = np.stack([rows.column(5 + w).to_numpy().view(np.uint64) for w in range(n_words)], 1)
+        order = np.lexsort([gray_rank(words[:, w]) for w in reversed(range(n_words))] + [run])
+        return run[order], words[order], rows.take(pa.array(order))
+
+    held, runs, n, last, at = [], [], 0.0, None, 0
+    weight = lambda b: b.num_rows / _BATCH + b.nbytes / _HELD
+    for b in batches:
+        if not b.num_rows:
+            continue
+        key = np.stack([b.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in range(4)], 1)
+        first = last is not None and not np.array_equal(key[0], last)
+        run = at + int(first) + np.concatenate([[0], np.cumsum(np.any(key[1:] != key[:-1], axis=1))])
+        at, last = int(run[-1]), key[-1]
+        held.append(b)
+        runs.append(run)
+        n += weight(b)
+        if n >= 1 and runs[0][0] != at:
+            # all but the run that may go on
+            run, rows = np.concatenate(runs), pa.Table.from_batches(held)
+            cut = int(np.searchsorted(run, at))
+            yield ready(run[:cut], rows.slice(0, cut))
+            held, runs = rows.slice(cut).to_batches(), [run[cut:]]
+            n = sum(map(weight, held))
+    if held:
+        yield ready(np.concatenate(runs), pa.Table.from_batches(held))
+    held = []
+    common.trim()
+
+
+def _sides(rows: pa.Table, n_words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Table, side and component of each row, for Open."""
+    col = lambda c: rows.column(c).to_numpy().astype(np.int64)
+    comp = np.unique(col(6 + n_words), return_inverse=True)[1]
+    return col(0), np.where(col(2) == col(3), -1, col(5 + n_words)), comp
+
+
+def _unjoined(n_words: int, radius: int, masks: list[tuple[int, int]]):
+    """Rows in buckets (t, key, lo, hi, node, w0, ..., own, comp) in; out those that Open gives, as they are."""
+
+    def run_(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for run, words, rows in _whole(batches, n_words):
+            sink = Open(words, *_sides(rows, n_words), masks)
+            yield from rows.take(pa.array(bucket_links(words, run, radius, lambda n: sink))).to_batches()
+
+    return run_
+
+
+def _judge(n_words: int, radius: int, masks: list[tuple[int, int]], similarity: float):
+    """Such rows with their shingle sets in, links (a, b, similarity) out."""
+
+    def run_(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for run, words, rows in _whole(batches, n_words):
+            sets = [np.frombuffer(x.as_buffer(), np.uint32) for x in rows.column(7 + n_words)]
+            sink = Judged(words, *_sides(rows, n_words), masks, sets, similarity)
+            found, node = bucket_links(words, run, radius, lambda n: sink), rows.column(4).to_numpy()
+            ends = sorted((*sorted((int(node[a]), int(node[b]))), s) for a, b, s in found)
+            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in ends], pa.int64()), pa.array([x[1] for x in ends], pa.int64()), pa.array([x[2] for x in ends], pa.float64())], ["a", "b", "similarity"])
+
+    return run_
+
+
+def _dealt(nodes: DataFrame, n_words: int, keys: list, more: tuple = ()) -> DataFrame:
+    """nodes (saved: node, w0, ...) in each table's bucket, sorted by bucket in every partition; more: further columns, own is a row's part."""
+    words = [f"w{k}" for k in range(n_words)] + [c for c in more if c != "own"]
     rows = nodes.select("node", *words, F.posexplode(F.array(*keys)).alias("t", "key"))
     hot = rows.groupBy("t", "key").agg(F.count("*").alias("n")).where(F.col("n") > CHUNK)
     hot = common.save(hot.select(F.col("t").alias("ht"), F.col("key").alias("hk"), F.ceil(F.col("n") / CHUNK).cast("int").alias("parts")), "hot")
     rows = rows.join(common.sized(hot, 32), (F.col("t") == F.col("ht")) & (F.col("key") == F.col("hk")), "left")
     parts = F.coalesce("parts", F.lit(1))
     rows = rows.withColumn("own", F.pmod(F.xxhash64("node"), parts).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), parts - 1)))
-    rows = rows.select("t", "key", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "node", *words)
+    rows = rows.select("t", "key", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "node", *words[:n_words], *more)
     return rows.repartition("t", "key", "lo", "hi").sortWithinPartitions("t", "key", "lo", "hi")
 
 
@@ -337,13 +450,19 @@ def _sets(width: int):
     return run
 
 
+def jaccard(x: np.ndarray, y: np.ndarray) -> float:
+    """Of two sets, each sorted."""
+    if len(x) < len(y):
+        x, y = y, x
+    if not len(y):
+        return 0.0
+    both = int(np.count_nonzero(x[np.minimum(np.searchsorted(x, y), len(x) - 1)] == y))
+    return both / (len(x) + len(y) - both)
+
+
 def _jaccard(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        out = []
-        for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
-            x, y = np.frombuffer(x, np.uint32), np.frombuffer(y, np.uint32)
-            both = len(np.intersect1d(x, y, assume_unique=True))
-            out.append(both / max(1, len(x) + len(y) - both))
+        out = [jaccard(np.frombuffer(x, np.uint32), np.frombuffer(y, np.uint32)) for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True)]
         yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(out, pa.float64())], ["a", "b", "similarity"])
 
 
@@ -352,21 +471,40 @@ def near_links(docs: DataFrame, width: int = 5, similarity: float = 0.8, recall:
     words = [f"w{k}" for k in range(n_words)]
     fps = common.save(fingerprints(docs, width, n_words).where("n > 0 and doc_id is not null"), "simhash")
     nodes = common.save(fps.groupBy(*words).agg(F.min("doc_id").alias("node")), "nodes")
-    keys = [F.col(f"w{w}").bitwiseAND(F.lit(_signed(m))) for w, m in random_masks(nodes.count(), similarity, recall, n_words)]
+    masks = random_masks(nodes.count(), similarity, recall, n_words)
+    keys = [F.col(f"w{w}").bitwiseAND(F.lit(_signed(m))) for w, m in masks]
     reach = round(64 * n_words * _angle(similarity - 0.2))
     close = _dealt(nodes, n_words, keys).mapInArrow(_search(n_words, reach, True), "a long, b long")
     same = fps.join(nodes, [fps[w].eqNullSafe(nodes[w]) for w in words]).select(F.col("node").alias("a"), F.col("doc_id").alias("b"))
     pairs = close.union(same).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct()
     pairs = common.save(pairs, "pairs")
-    ids = common.save(pairs.select(F.col("a").alias("k")).union(pairs.select("b")).distinct(), "ids")
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    asked = common.sized(ids, 16)
-    sets = common.save(texts.join(asked, texts["doc_id"] == asked["k"], "left_semi").mapInArrow(_sets(width), "id long, shingles binary"), "sets")
+
+    def sets_of(ids: DataFrame) -> DataFrame:
+        ids = common.save(ids.distinct(), "ids")
+        asked = common.sized(ids, 16)
+        out = common.save(texts.join(asked, texts["doc_id"] == asked["k"], "left_semi").mapInArrow(_sets(width), "id long, shingles binary"), "sets")
+        common.discard(ids)
+        return out
+
+    sets = sets_of(pairs.select(F.col("a").alias("k")).union(pairs.select("b")))
     left = sets.select(F.col("id").alias("a"), F.col("shingles").alias("x"))
     right = sets.select(F.col("id").alias("b"), F.col("shingles").alias("y"))
     judged = pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(_jaccard, "a long, b long, similarity double")
-    out = common.save(judged.where(F.col("similarity") >= similarity), "links")
-    common.discard(sets, fps, pairs, ids, nodes)
+    first = common.save(judged.where(F.col("similarity") >= similarity), "links")
+    common.discard(sets, fps, pairs)
+    # the pairs that are left: within the radius, in one bucket, and not joined by the links so far
+    roots = common.save(common.components(first), "roots")
+    named = common.sized(roots.select(F.col("node").alias("k"), "root"), 24)
+    nodes_ = common.save(nodes.join(named, nodes["node"] == named["k"], "left").select("node", *words, F.coalesce("root", "node").alias("comp")), "joined")
+    schema = f"t int, key long, lo int, hi int, node long, {', '.join(f'{w} long' for w in words)}, own int, comp long"
+    left_ = common.save(_dealt(nodes_, n_words, keys, ("own", "comp")).mapInArrow(_unjoined(n_words, reach, masks), schema), "unjoined")
+    sets = sets_of(left_.select(F.col("node").alias("k")))
+    rows = left_.join(sets.select(F.col("id").alias("k"), "shingles"), F.col("node") == F.col("k")).drop("k")
+    rows = rows.repartition("t", "key", "lo", "hi").sortWithinPartitions("t", "key", "lo", "hi")
+    rest = rows.mapInArrow(_judge(n_words, reach, masks, similarity), "a long, b long, similarity double")
+    out = common.save(first.union(rest), "links")
+    common.discard(sets, nodes, nodes_, roots, left_, first)
     return out
 
 

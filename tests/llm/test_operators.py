@@ -215,6 +215,26 @@ def test_near(docs, empty):
     assert simhash.deduplicate(docs).columns == docs.columns and simhash.deduplicate(empty).count() == 0
 
 
+def _near_pairs(rows):
+    """Pairs of (doc_id, text) whose five-word shingle sets reach 0.8, and the roots that near_links gives."""
+    sets = {k: {" ".join(w[p : p + 5]) for p in range(max(1, len(w) - 4))} for k, t in rows for w in [t.lower().split()]}
+    return {(a, b) for a in sets for b in sets if a < b and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])}
+
+
+def test_near_templated_group(spark):
+    """Pairs just above the threshold among many documents of one template just below it."""
+    from quire.llm import common
+
+    rows, template = [], [f"t{k}" for k in range(404)]
+    for k in range(150):
+        body = template + [f"a{k}x{p}" for p in range(57)]
+        rows += [(2 * k, " ".join(body)), (2 * k + 1, " ".join(body[:412] + [f"b{k}x{p}" for p in range(49)]))]
+    want = _near_pairs(rows)
+    assert want == {(2 * k, 2 * k + 1) for k in range(150)}
+    got = {(r["a"], r["b"]) for r in simhash.near_links(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got <= want and len(got) >= 0.9 * len(want)
+
+
 def test_components(spark):
     from quire.llm import common
 
