@@ -18,7 +18,8 @@ already join its nodes; only the links that hold leave the bucket.
 
 Null and empty texts have fingerprint zero and are linked like any other in ``linked``; in
 ``near_duplicates`` a text without words is no near-duplicate. A text of fewer words than a shingle is one
-shingle. A null doc_id is never the least of a component that has another.
+shingle. ``near_links`` takes fingerprints of the distinct shingles, as the similarity does, and its nodes are
+distinct shingle sets, so that unlike sets of one fingerprint are compared like any others. A null doc_id is never the least of a component that has another.
 """
 
 from __future__ import annotations
@@ -415,6 +416,26 @@ def fingerprints(docs: DataFrame, width: int = 3, n_words: int = 1) -> DataFrame
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(_fingerprint(width, n_words), schema)
 
 
+def _set_fingerprint(width: int, n_words: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            got = [np.unique(shingle_hashes(t or b"", width)) for t in b.column(1).cast(pa.binary()).to_pylist()]
+            words = np.stack([simhash(h, n_words) for h in got]) if got else np.zeros((0, n_words), np.uint64)
+            names = [xxhash.xxh128_digest(h.tobytes(), SEED) for h in got]
+            yield pa.RecordBatch.from_arrays(
+                [b.column(0), pa.array([len(h) for h in got], pa.int64()), pa.array(names, pa.binary()), *(pa.array(np.ascontiguousarray(words[:, w]).view(np.int64)) for w in range(n_words))], ["doc_id", "n", "name", *(f"w{w}" for w in range(n_words))]
+            )
+        common.trim()
+
+    return run
+
+
+def set_fingerprints(docs: DataFrame, width: int, n_words: int) -> DataFrame:
+    """A row a document: doc_id, n (distinct shingles), name (128 bits of the set's hash), w0, ... (fingerprint of the distinct shingles)."""
+    schema = "doc_id long, n long, name binary, " + ", ".join(f"w{w} long" for w in range(n_words))
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(_set_fingerprint(width, n_words), schema)
+
+
 def fingerprint_components(docs: DataFrame, width: int = 3, radius: int = 3) -> DataFrame:
     """A row a document: doc_id, fingerprint (16 hex digits), component_id (the least doc_id reachable over links)."""
     fps = common.save(fingerprints(docs, width).select("doc_id", "w0"), "simhash")
@@ -469,14 +490,15 @@ def _jaccard(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def near_links(docs: DataFrame, width: int = 5, similarity: float = 0.8, recall: float = 0.98, n_words: int = 4) -> DataFrame:
     """(a, b, similarity): pairs of doc_ids whose shingle sets (32-bit hashes) reach the similarity."""
     words = [f"w{k}" for k in range(n_words)]
-    fps = common.save(fingerprints(docs, width, n_words).where("n > 0 and doc_id is not null"), "simhash")
-    nodes = common.save(fps.groupBy(*words).agg(F.min("doc_id").alias("node")), "nodes")
+    fps = common.save(set_fingerprints(docs, width, n_words).where("n > 0 and doc_id is not null"), "simhash")
+    nodes = common.save(fps.groupBy("name", *words).agg(F.min("doc_id").alias("node")), "nodes")
     masks = random_masks(nodes.count(), similarity, recall, n_words)
     keys = [F.col(f"w{w}").bitwiseAND(F.lit(_signed(m))) for w, m in masks]
     reach = round(64 * n_words * _angle(similarity - 0.2))
     close = _dealt(nodes, n_words, keys).mapInArrow(_search(n_words, reach, True), "a long, b long")
-    same = fps.join(nodes, [fps[w].eqNullSafe(nodes[w]) for w in words]).select(F.col("node").alias("a"), F.col("doc_id").alias("b"))
-    pairs = close.union(same).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct()
+    led = nodes.select(F.col("name").alias("n_"), "node")
+    same = fps.join(led, F.col("name") == F.col("n_")).where("node <> doc_id").select(F.col("node").alias("a"), F.col("doc_id").alias("b"), F.lit(1.0).alias("similarity")).distinct()
+    pairs = close.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct()
     pairs = common.save(pairs, "pairs")
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
@@ -492,7 +514,7 @@ def near_links(docs: DataFrame, width: int = 5, similarity: float = 0.8, recall:
     right = sets.select(F.col("id").alias("b"), F.col("shingles").alias("y"))
     judged = pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(_jaccard, "a long, b long, similarity double")
     first = common.save(judged.where(F.col("similarity") >= similarity), "links")
-    common.discard(sets, fps, pairs)
+    common.discard(sets, pairs)
     # the pairs that are left: within the radius, in one bucket, and not joined by the links so far
     roots = common.save(common.components(first), "roots")
     named = common.sized(roots.select(F.col("node").alias("k"), "root"), 24)
@@ -503,8 +525,8 @@ def near_links(docs: DataFrame, width: int = 5, similarity: float = 0.8, recall:
     rows = left_.join(sets.select(F.col("id").alias("k"), "shingles"), F.col("node") == F.col("k")).drop("k")
     rows = rows.repartition("t", "key", "lo", "hi").sortWithinPartitions("t", "key", "lo", "hi")
     rest = rows.mapInArrow(_judge(n_words, reach, masks, similarity), "a long, b long, similarity double")
-    out = common.save(first.union(rest), "links")
-    common.discard(sets, nodes, nodes_, roots, left_, first)
+    out = common.save(first.union(rest).union(same), "links")
+    common.discard(sets, fps, nodes, nodes_, roots, left_, first)
     return out
 
 

@@ -235,6 +235,22 @@ def test_near_templated_group(spark):
     assert got <= want and len(got) >= 0.9 * len(want)
 
 
+def test_near_repeats(spark):
+    """Texts that differ in how often a passage repeats, and near copies among texts that one repeated passage rules."""
+    from quire.llm import common
+
+    once, line = " ".join(f"w{k}" for k in range(60)), "over and over it goes "
+    body = {5: [f"x{k}" for k in range(60)], 9: [f"x{k}" for k in range(60)], 1: [f"y{k}" for k in range(60)]}
+    body[9][59] = "changed"
+    rows = [(20, once), (21, once + (" " + " ".join(f"w{k}" for k in range(40, 50))) * 200), (22, once.replace("w3 ", "v3 "))]
+    rows += [(k, "so " * 1000 + " ".join(v)) for k, v in body.items()] + [(30, line * 400), (31, line * 3)]
+    want = _near_pairs(rows)
+    assert (5, 9) in want and (30, 31) in want and (1, 5) not in want
+    links = simhash.near_links(spark.createDataFrame(rows, "doc_id long, text string"))
+    root = {r["node"]: r["root"] for r in common.components(links).collect()}
+    assert {(r["a"], r["b"]) for r in links.collect()} <= want and all(root.get(a, a) == root.get(b, b) for a, b in want)
+
+
 def test_components(spark):
     from quire.llm import common
 
