@@ -56,7 +56,7 @@ def _plan(docs: DataFrame) -> tuple[DataFrame, list[dict]]:
 
 
 def schedule(spark, plan: list[dict], block: int = BLOCK_TOKENS) -> DataFrame:
-    """(source index k, rank r): a row a slot. Slots are dealt by ranges; ranks come from counts a range and source."""
+    """(slot, source index k, rank r): a row a slot. Slots are dealt by ranges; ranks come from counts a range and source."""
     total = sum(p["target"] for p in plan)
     least = min((p["target"] for p in plan if p["target"] > 0), default=0)
     # enough slots that the smallest source has four
@@ -78,7 +78,7 @@ def schedule(spark, plan: list[dict], block: int = BLOCK_TOKENS) -> DataFrame:
     counts = drawn.groupBy("k", "part").count()
     before = counts.select(F.col("k").alias("bk"), F.col("part").alias("bp"), (F.sum("count").over(Window.partitionBy("k").orderBy("part")) - F.col("count")).alias("before"))
     turn = F.row_number().over(Window.partitionBy("k", "part").orderBy("id"))
-    return drawn.withColumn("turn", turn).join(before, (F.col("k") == F.col("bk")) & (F.col("part") == F.col("bp"))).select("k", (F.col("before") + F.col("turn") - 1).alias("r"))
+    return drawn.withColumn("turn", turn).join(before, (F.col("k") == F.col("bk")) & (F.col("part") == F.col("bp"))).select(F.col("id").alias("slot"), "k", (F.col("before") + F.col("turn") - 1).alias("r"))
 
 
 def _line(rows: DataFrame, plan: list[dict]) -> DataFrame:
@@ -124,11 +124,28 @@ def mix(docs: DataFrame) -> DataFrame:
 
 
 def mixed_documents(docs: DataFrame) -> DataFrame:
-    """Whole documents, in docs' own columns: a document is given once for each pass over its source in which its middle word is taken."""
+    """Whole documents in mix order, in docs' own columns.
+
+    A document goes to the block that holds its middle word, once for each pass over its source in which there is
+    one; blocks stand in the order of their slots. The first document of a source whose target ends before that
+    document's middle is given once, so that no source with a target is lost.
+    """
     spark = docs.sparkSession
     columns = docs.columns
     rows, plan = _plan(docs)
-    line = _line(rows, plan).join(_sources(plan, {}, spark), F.col("_k") == F.col("_sk"))
-    middle = F.col("_pos") + F.col("_size") / 2
-    times = sum((F.when(c * F.col("source_size") + middle < F.col("target"), 1).otherwise(0) for c in range(REPEATS)), F.lit(0))
-    return line.withColumn("_times", times).where("_times > 0").withColumn("_turn", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(*columns)
+    slots = common.save(schedule(spark, plan), "schedule")
+    counts = {r["k"]: r["count"] for r in slots.groupBy("k").count().collect()}
+    line = _line(rows, plan).join(_sources(plan, counts, spark), F.col("_k") == F.col("_sk"))
+    line = line.withColumn("_c", F.explode(F.sequence(F.lit(0), F.lit(REPEATS - 1))))
+    line = line.withColumn("_middle", F.col("_c") * F.col("source_size") + F.col("_pos") + F.col("_size") / 2)
+    least = (F.col("_c") == 0) & (F.col("_pos") == 0) & (F.col("_size") > 0) & (F.col("target") > 0)
+    line = line.where((F.col("_middle") < F.col("target")) | least)
+    # the block of the middle word; a quotient may be one off the floors of the edges
+    whole, word = F.greatest(F.floor("target"), F.lit(1)).cast("double"), F.floor("_middle")
+    edge = lambda r: F.floor(r.cast("double") * whole / F.col("slots")).cast("long")
+    line = line.withColumn("_near", F.floor(word * F.col("slots") / whole).cast("long"))
+    block = F.col("_near") + (edge(F.col("_near") + 1) <= word).cast("long") - (edge(F.col("_near")) > word).cast("long")
+    line = line.withColumn("_b", F.greatest(F.lit(0), F.least(F.col("slots") - 1, block)))
+    placed = slots.select(F.col("slot").alias("_slot"), F.col("k").alias("_pk"), F.col("r").alias("_pr"))
+    mixed = line.join(placed, (F.col("_k") == F.col("_pk")) & (F.col("_b") == F.col("_pr")), "left")
+    return mixed.orderBy(F.asc_nulls_last("_slot"), "_middle").select(*columns)

@@ -108,6 +108,16 @@ def test_mix(docs, empty):
     assert max(again.values()) <= 3
 
 
+def test_mixed_documents_follow_the_schedule(spark):
+    """Every stretch of the mix is near the shares, and a source whose one document is too long for its target stays."""
+    rows = [(0, "w " * 10_000, "a")] + [(1 + k, "w " * 50, "bc"[k % 2]) for k in range(200)]
+    got = [r["source"] for r in mixing.mixed_documents(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()]
+    assert got.count("a") == 1
+    rest = [x for x in got if x != "a"]
+    # a block has 16 of these documents; a line by source would be off by 80
+    assert abs(len(rest) - 333) <= 2 and all(abs(rest[:n].count("b") - 0.4 * n) <= 30 for n in range(len(rest)))
+
+
 def test_urls(spark):
     urls = ["https://a.b.org/x", "http://EXAMPLE.org/es/1", "http://www.example.org/en/12?q", "x://example.org/en/2#f", "http://s.com/fr/1", "http://s.com/de/1", "http://s.com", "http://n.net/fr/", None, "no scheme", "a://b?c/d", "http://notexample.org/es/", "http://t.com/it/"]
     df = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
