@@ -90,10 +90,15 @@ def sized(df: DataFrame, row_bytes: int, limit: int = BROADCAST_BYTES) -> DataFr
     return F.broadcast(df) if df.count() * row_bytes <= limit else df
 
 
-def drop_ids(docs: DataFrame, dropped: DataFrame) -> DataFrame:
-    """Rows of docs whose doc_id is not in dropped (a saved one-column table). Null ids never match and stay."""
-    d = sized(dropped.select(F.col("doc_id").alias("_dropped")), 16)
-    return docs.join(d, docs["doc_id"] == d["_dropped"], "left_anti")
+def text_hash(text: str = "text"):
+    """64 bits of a text; with the doc_id they name a row's document, also where ids are null or repeat."""
+    return F.xxhash64(F.coalesce(F.col(text).cast("string"), F.lit("")))
+
+
+def among(docs: DataFrame, keys: DataFrame, how: str) -> DataFrame:
+    """Rows of docs whose document is (how: left_semi) or is not (left_anti) in keys (a saved table: doc_id, raw). Null ids match each other."""
+    d = sized(keys.select(F.col("doc_id").alias("_key_id"), F.col("raw").alias("_key_raw")), 24)
+    return docs.join(d, docs["doc_id"].cast("long").eqNullSafe(d["_key_id"]) & (text_hash() == d["_key_raw"]), how)
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:

@@ -28,9 +28,9 @@ from pyspark.sql import functions as F
 from . import common
 
 SPACE = b" \t\n\x0b\x0c\r"
-_OUT = "kind int, part int, doc_id long, n_chars long, fp long, sha string, owner int, n long, blob binary"
+_OUT = "kind int, part int, doc_id long, raw long, n_chars long, fp long, sha string, owner int, n long, blob binary"
 _ARROW = pa.schema(
-    [("kind", pa.int32()), ("part", pa.int32()), ("doc_id", pa.int64()), ("n_chars", pa.int64()), ("fp", pa.int64()), ("sha", pa.string()), ("owner", pa.int32()), ("n", pa.int64()), ("blob", pa.binary())]
+    [("kind", pa.int32()), ("part", pa.int32()), ("doc_id", pa.int64()), ("raw", pa.int64()), ("n_chars", pa.int64()), ("fp", pa.int64()), ("sha", pa.string()), ("owner", pa.int32()), ("n", pa.int64()), ("blob", pa.binary())]
 )
 
 
@@ -77,7 +77,7 @@ def _fingerprints(owners: int):
             n = len(raw)
             nothing = {"owner": pa.nulls(n, pa.int32()), "n": pa.nulls(n, pa.int64()), "blob": pa.nulls(n, pa.binary())}
             yield pa.RecordBatch.from_pydict(
-                {"kind": np.zeros(n, np.int32), "part": np.full(n, part, np.int32), "doc_id": b.column(0), "n_chars": pc.fill_null(pc.utf8_length(text), 0).cast(pa.int64()), "fp": fps.view(np.int64), "sha": [hashlib.sha256(t).hexdigest() for t in raw]} | nothing,
+                {"kind": np.zeros(n, np.int32), "part": np.full(n, part, np.int32), "doc_id": b.column(0), "raw": b.column(2), "n_chars": pc.fill_null(pc.utf8_length(text), 0).cast(pa.int64()), "fp": fps.view(np.int64), "sha": [hashlib.sha256(t).hexdigest() for t in raw]} | nothing,
                 schema=_ARROW,
             )
         if not seen:
@@ -104,7 +104,7 @@ def _answer(t: pa.Table) -> pa.Table:
     return pa.table({"part": parts, "owner": t.column("owner"), "bitmap": bits}, schema=_REPLY)
 
 
-_MARKED = pa.schema([("doc_id", pa.int64()), ("n_chars", pa.int64()), ("sha", pa.string()), ("suspect", pa.bool_())])
+_MARKED = pa.schema([("doc_id", pa.int64()), ("raw", pa.int64()), ("n_chars", pa.int64()), ("sha", pa.string()), ("suspect", pa.bool_())])
 
 
 def _mark(owners: int):
@@ -116,7 +116,7 @@ def _mark(owners: int):
         for o, bitmap in zip(replies.column("owner").to_pylist(), replies.column("bitmap").to_pylist(), strict=True):
             lo, hi = np.searchsorted(own, [o, o + 1])
             flag[lo:hi] |= np.unpackbits(np.frombuffer(bitmap, np.uint8), count=hi - lo).astype(bool)
-        return pa.table({"doc_id": rows.column("doc_id"), "n_chars": rows.column("n_chars"), "sha": rows.column("sha"), "suspect": flag[at]}, schema=_MARKED)
+        return pa.table({"doc_id": rows.column("doc_id"), "raw": rows.column("raw"), "n_chars": rows.column("n_chars"), "sha": rows.column("sha"), "suspect": flag[at]}, schema=_MARKED)
 
     return run
 
@@ -132,13 +132,19 @@ def _normalise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def duplicates(docs: DataFrame) -> DataFrame:
     """A row a document: doc_id, keep_id, group_size, kept, text_sha256."""
+    return _judged(docs).drop("raw")
+
+
+def _judged(docs: DataFrame) -> DataFrame:
+    """duplicates, and raw, the text's hash as common.text_hash gives it."""
     spark = docs.sparkSession
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    sent = texts.withColumn("raw", common.text_hash())
     owners = max(8, texts.rdd.getNumPartitions())
-    sent = common.save(texts.mapInArrow(_fingerprints(owners), _OUT), "fingerprints")
-    rows = sent.where("kind = 0").select("part", "doc_id", "n_chars", "fp", "sha")
+    sent = common.save(sent.mapInArrow(_fingerprints(owners), _OUT), "fingerprints")
+    rows = sent.where("kind = 0").select("part", "doc_id", "raw", "n_chars", "fp", "sha")
     replies = sent.where("kind = 1").select("part", "owner", "n", "blob").groupBy("owner").applyInArrow(_answer, "part int, owner int, bitmap binary")
-    marked = common.save(rows.groupBy("part").cogroup(replies.groupBy("part")).applyInArrow(_mark(owners), "doc_id long, n_chars long, sha string, suspect boolean"), "marked")
+    marked = common.save(rows.groupBy("part").cogroup(replies.groupBy("part")).applyInArrow(_mark(owners), "doc_id long, raw long, n_chars long, sha string, suspect boolean"), "marked")
     common.discard(sent)
 
     ids = common.save(marked.where("suspect").select(F.col("doc_id").alias("s")).distinct(), "suspects")
@@ -149,7 +155,7 @@ def duplicates(docs: DataFrame) -> DataFrame:
     groups = classes.groupBy("sha").agg(F.count("*").alias("texts"), F.first("size").alias("size"), F.first("k.doc_id").alias("keep"))
     groups = groups.select(F.col("sha").alias("g"), F.when(F.col("texts") > 1, F.raise_error(F.concat(F.lit("two texts share SHA-256 "), "sha"))).otherwise(F.col("size")).alias("size"), "keep")
     groups = common.sized(common.save(groups, "groups"), 120)
-    w = Window.partitionBy("sha", "doc_id").orderBy(F.desc("n_chars"))
+    w = Window.partitionBy("sha", "doc_id").orderBy(F.desc("n_chars"), "raw")
     whole = marked.withColumn("turn", F.row_number().over(w)).join(groups, F.col("sha") == F.col("g"), "left")
     alone = F.col("g").isNull()
     keep = F.when(alone, F.col("doc_id")).otherwise(F.col("keep"))
@@ -159,13 +165,17 @@ def duplicates(docs: DataFrame) -> DataFrame:
         F.when(alone, F.lit(1)).otherwise(F.col("size")).cast("long").alias("group_size"),
         (F.col("doc_id").eqNullSafe(keep) & (F.col("turn") == 1)).alias("kept"),
         F.col("sha").alias("text_sha256"),
+        "raw",
     )
 
 
 def deduplicate(docs: DataFrame) -> DataFrame:
     """docs, with one document of each group of equal texts, in docs' own columns."""
-    found = common.save(duplicates(docs), "found")
-    n = found.agg(F.count("*").alias("n"), F.count_distinct(F.coalesce(F.col("doc_id"), F.lit(-1))).alias("d")).first()
-    out = common.drop_ids(docs, common.save(found.groupBy("doc_id").agg(F.max("kept").alias("k")).where("not k").select("doc_id"), "dropped"))
-    # ids that repeat need a look at the texts; where ids are unique (the rule) no text moves
-    return out if n["n"] == n["d"] else out.dropDuplicates(["doc_id"])
+    # a row is known by its id and text, so that null and repeated ids with other texts are documents of their own
+    found = common.save(_judged(docs).groupBy("doc_id", "raw").agg(F.max("kept").alias("k"), F.count("*").alias("n")).where("not k or n > 1"), "found")
+    out = common.among(docs, found, "left_anti")
+    twice = found.where("k")
+    if not twice.limit(1).count():
+        return out
+    once = common.among(docs, twice, "left_semi").withColumn("_raw", common.text_hash()).dropDuplicates(["doc_id", "_raw"])
+    return out.unionByName(once.select(*docs.columns))

@@ -422,8 +422,10 @@ def _set_fingerprint(width: int, n_words: int):
             got = [np.unique(shingle_hashes(t or b"", width)) for t in b.column(1).cast(pa.binary()).to_pylist()]
             words = np.stack([simhash(h, n_words) for h in got]) if got else np.zeros((0, n_words), np.uint64)
             names = [xxhash.xxh128_digest(h.tobytes(), SEED) for h in got]
+            nodes = pa.array([int.from_bytes(x[:8], "little", signed=True) for x in names], pa.int64())
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array([len(h) for h in got], pa.int64()), pa.array(names, pa.binary()), *(pa.array(np.ascontiguousarray(words[:, w]).view(np.int64)) for w in range(n_words))], ["doc_id", "n", "name", *(f"w{w}" for w in range(n_words))]
+                [b.column(0), b.column(2), nodes, pa.array([len(h) for h in got], pa.int64()), pa.array(names, pa.binary()), *(pa.array(np.ascontiguousarray(words[:, w]).view(np.int64)) for w in range(n_words))],
+                ["doc_id", "raw", "node", "n", "name", *(f"w{w}" for w in range(n_words))],
             )
         common.trim()
 
@@ -431,9 +433,9 @@ def _set_fingerprint(width: int, n_words: int):
 
 
 def set_fingerprints(docs: DataFrame, width: int, n_words: int) -> DataFrame:
-    """A row a document: doc_id, n (distinct shingles), name (128 bits of the set's hash), w0, ... (fingerprint of the distinct shingles)."""
-    schema = "doc_id long, n long, name binary, " + ", ".join(f"w{w} long" for w in range(n_words))
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(_set_fingerprint(width, n_words), schema)
+    """A row a document: doc_id, raw (the text's hash), node and name (64 and 128 bits of the set's hash), n (distinct shingles), w0, ... (their fingerprint)."""
+    schema = "doc_id long, raw long, node long, n long, name binary, " + ", ".join(f"w{w} long" for w in range(n_words))
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), common.text_hash().alias("raw")).mapInArrow(_set_fingerprint(width, n_words), schema)
 
 
 def fingerprint_components(docs: DataFrame, width: int = 3, radius: int = 3) -> DataFrame:
@@ -488,25 +490,36 @@ def _jaccard(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def near_links(docs: DataFrame, width: int = 5, similarity: float = 0.8, recall: float = 0.98, n_words: int = 4) -> DataFrame:
-    """(a, b, similarity): pairs of doc_ids whose shingle sets (32-bit hashes) reach the similarity."""
+    """(a, b, similarity): pairs of doc_ids whose shingle sets (32-bit hashes) reach the similarity. Null ids have no pair here."""
+    keyed, links = near_nodes(docs, width, similarity, recall, n_words)
+    led = common.save(keyed.groupBy("node").agg(F.min("doc_id").alias("lead")).where("lead is not null"), "leads")
+    a, b = (led.select(F.col("node").alias(c), F.col("lead").alias(f"l{c}")) for c in "ab")
+    far = links.join(a, "a").join(b, "b").select(F.least("la", "lb").alias("a"), F.greatest("la", "lb").alias("b"), "similarity")
+    same = keyed.join(led, "node").select(F.col("lead").alias("a"), F.col("doc_id").alias("b"), F.lit(1.0).alias("similarity"))
+    return far.union(same).where("a <> b").distinct()
+
+
+def near_nodes(docs: DataFrame, width: int = 5, similarity: float = 0.8, recall: float = 0.98, n_words: int = 4) -> tuple[DataFrame, DataFrame]:
+    """Two tables. (node, doc_id, raw, z): each document with the node of its shingle set. (a, b, similarity): pairs of nodes that reach the similarity."""
     words = [f"w{k}" for k in range(n_words)]
-    fps = common.save(set_fingerprints(docs, width, n_words).where("n > 0 and doc_id is not null"), "simhash")
-    nodes = common.save(fps.groupBy("name", *words).agg(F.min("doc_id").alias("node")), "nodes")
+    fps = common.save(set_fingerprints(docs, width, n_words).where("n > 0"), "simhash")
+    one = F.when(F.min("name") == F.max("name"), F.min(F.struct("doc_id", "raw"))).otherwise(F.raise_error("two shingle sets share 64 bits of their hash"))
+    nodes = common.save(fps.groupBy("node").agg(one.alias("rep"), *(F.min(w).alias(w) for w in words)), "nodes")
     masks = random_masks(nodes.count(), similarity, recall, n_words)
     keys = [F.col(f"w{w}").bitwiseAND(F.lit(_signed(m))) for w, m in masks]
     reach = round(64 * n_words * _angle(similarity - 0.2))
     close = _dealt(nodes, n_words, keys).mapInArrow(_search(n_words, reach, True), "a long, b long")
-    led = nodes.select(F.col("name").alias("n_"), "node")
-    same = fps.join(led, F.col("name") == F.col("n_")).where("node <> doc_id").select(F.col("node").alias("a"), F.col("doc_id").alias("b"), F.lit(1.0).alias("similarity")).distinct()
     pairs = close.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct()
     pairs = common.save(pairs, "pairs")
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), common.text_hash().alias("raw"))
 
     def sets_of(ids: DataFrame) -> DataFrame:
-        ids = common.save(ids.distinct(), "ids")
-        asked = common.sized(ids, 16)
-        out = common.save(texts.join(asked, texts["doc_id"] == asked["k"], "left_semi").mapInArrow(_sets(width), "id long, shingles binary"), "sets")
-        common.discard(ids)
+        # one document's text a node
+        reps = common.save(nodes.join(ids.distinct(), nodes["node"] == F.col("k")).select("node", F.col("rep.doc_id").alias("i"), F.col("rep.raw").alias("h")), "ids")
+        asked = common.sized(reps, 24)
+        found = texts.join(asked, texts["doc_id"].eqNullSafe(asked["i"]) & (texts["raw"] == asked["h"])).select("node", "text")
+        out = common.save(found.mapInArrow(_sets(width), "id long, shingles binary").dropDuplicates(["id"]), "sets")
+        common.discard(reps)
         return out
 
     sets = sets_of(pairs.select(F.col("a").alias("k")).union(pairs.select("b")))
@@ -525,12 +538,21 @@ def near_links(docs: DataFrame, width: int = 5, similarity: float = 0.8, recall:
     rows = left_.join(sets.select(F.col("id").alias("k"), "shingles"), F.col("node") == F.col("k")).drop("k")
     rows = rows.repartition("t", "key", "lo", "hi").sortWithinPartitions("t", "key", "lo", "hi")
     rest = rows.mapInArrow(_judge(n_words, reach, masks, similarity), "a long, b long, similarity double")
-    out = common.save(first.union(rest).union(same), "links")
-    common.discard(sets, fps, nodes, nodes_, roots, left_, first)
-    return out
+    out = common.save(first.union(rest), "links")
+    common.discard(sets, nodes, nodes_, roots, left_, first)
+    return fps.select("node", "doc_id", "raw", F.col("doc_id").isNull().alias("z")), out
 
 
 def deduplicate(docs: DataFrame, width: int = 5, similarity: float = 0.8) -> DataFrame:
-    """docs, with the least doc_id of each group of near-duplicates, in docs' own columns."""
-    dropped = common.components(near_links(docs, width, similarity)).where("node <> root").select(F.col("node").alias("doc_id"))
-    return common.drop_ids(docs, common.save(dropped, "dropped"))
+    """docs, with the least doc_id of each group of near-duplicates (null last, then the text's hash), in docs' own columns.
+
+    Rows of one id and text are one document here, which stays or goes as a whole.
+    """
+    keyed, links = near_nodes(docs, width, similarity)
+    heads = common.save(keyed.groupBy("node").agg(F.min(F.struct("z", "doc_id", "raw")).alias("head")), "heads")
+    roots = common.save(common.components(links).select(F.col("node").alias("rn"), "root"), "roots")
+    tops = common.save(heads.join(common.sized(roots, 24), F.col("node") == F.col("rn")).groupBy("root").agg(F.min("head").alias("top")).withColumnRenamed("root", "r"), "tops")
+    named = roots.join(common.sized(tops, 48), F.col("root") == F.col("r")).select(F.col("rn").alias("k"), "top")
+    keeper = common.save(heads.join(named, F.col("node") == F.col("k"), "left").select(F.col("node").alias("k"), F.coalesce("top", "head").alias("keep")), "keepers")
+    judged = keyed.join(common.sized(keeper, 48), F.col("node") == F.col("k")).where(~F.struct("z", "doc_id", "raw").eqNullSafe(F.col("keep")))
+    return common.among(docs, common.save(judged.select("doc_id", "raw").distinct(), "dropped"), "left_anti")

@@ -259,7 +259,8 @@ def _score(items: tuple, weights: list[float]):
         for b in batches:
             x = np.array([g.features(t or "") for t in b.column("text").to_pylist()]).reshape(b.num_rows, len(CLASSES))
             z = np.log1p(x) @ w[:-1] + w[-1]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(1 / (1 + np.exp(-np.clip(z, -500, 500))))], ["doc_id", "score"])
+            names = [c for c in b.schema.names if c != "text"]
+            yield pa.RecordBatch.from_arrays([*map(b.column, names), pa.array(1 / (1 + np.exp(-np.clip(z, -500, 500))))], [*names, "score"])
 
     return run
 
@@ -272,5 +273,8 @@ def score(docs: DataFrame, model: dict) -> DataFrame:
 
 def reject(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> DataFrame:
     """docs without the toxic ones, in docs' own columns."""
-    bad = common.save(score(docs, train(docs, labels)).where(F.col("score") >= threshold).select("doc_id").distinct(), "toxic")
-    return common.drop_ids(docs, bad)
+    model = train(docs, labels)
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), common.text_hash().alias("raw"), F.col("text").cast("string").alias("text"))
+    scored = texts.mapInArrow(_score(tuple(sorted(model["lexicon"].items())), model["weights"]), "doc_id long, raw long, score double")
+    bad = common.save(scored.where(F.col("score") >= threshold).select("doc_id", "raw").distinct(), "toxic")
+    return common.among(docs, bad, "left_anti")

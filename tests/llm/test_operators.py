@@ -66,6 +66,25 @@ def test_exact_repeated_rows(spark):
     assert sorted(r["doc_id"] for r in exact_dedup.deduplicate(df.where("doc_id is not null")).collect()) == [2, 3]
 
 
+def test_null_and_repeated_ids(spark):
+    """Rows are dropped by id and text: other texts of a null or repeated id stay or go by themselves."""
+    one, two, other = (" ".join(f"{c}{k}" for k in range(60)) for c in "abc")
+    near = one.replace("a59", "changed")
+    rows = [(7, one), (7, two), (None, other), (None, near), (None, "null"), (8, one), (9, "x"), (9, "x"), (9, "y")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    left = sorted(map(str, map(tuple, exact_dedup.deduplicate(df).collect())))
+    assert left == sorted(map(str, [(7, one), (7, two), (None, other), (None, near), (None, "null"), (9, "x"), (9, "y")]))
+    left = Counter(map(tuple, simhash.deduplicate(df).collect()))
+    assert left == Counter([(7, one), (7, two), (None, other), (None, "null"), (9, "x"), (9, "x"), (9, "y")])
+    bad = [(1000 + k, f"plain words here {w} and more number{k} of them", 1) for k, w in enumerate(["moron", "scum", "idiot"] * 40)]
+    good = [(2000 + k, f"plain words here and more number{k} of them", 0) for k in range(200)]
+    odd = [(i, f"plain words here {w}and more number{n} of them") for i, w, n in [(None, "moron ", 500), (None, "", 501), (5, "scum ", 502), (5, "", 503)]]
+    labels = spark.createDataFrame([(k, y) for k, _, y in bad + good], "doc_id long, toxic int")
+    df = spark.createDataFrame([(k, t) for k, t, _ in bad + good] + odd, "doc_id long, text string")
+    left = {tuple(r) for r in toxicity.reject(df, labels).collect()}
+    assert [r in left for r in odd] == [False, True, False, True] and len(left) == len(good) + 2
+
+
 def test_ann(spark):
     rng = np.random.default_rng(1)
     x = rng.normal(size=(400, 8)).astype(np.float32)
