@@ -1,19 +1,24 @@
 """Token ids in Re-Pair-compressed shard files.
 
-Documents are range-partitioned by doc_id; each partition's ids, in ascending doc_id order, fill shards of at
-most ``SHARD_IDS`` ids (a longer document has a shard of its own). In a shard the most frequent id pairs are
-replaced by nonterminals, round after round; pairs of one round are replaced at once, from left to right where
-they overlap. A file holds the rules, their expansion lengths and the remaining symbols, so any range of ids
+Documents are range-partitioned by doc_id and text hash; each partition's ids, in ascending doc_id order, fill shards
+of at most ``SHARD_IDS`` ids (a longer document has a shard of its own). In a shard frequent id pairs are replaced
+by nonterminals until no pair occurs ``LEAST`` times: a rule and its length cost about what so many places save. Each
+step takes the pairs that are at least ``STEP`` times as frequent as the most frequent one; where places overlap,
+every other one from the left goes. Counts are kept as pairs come and go, so a step costs what it replaces.
+
+A file holds the distinct ids, the rules, their expansion lengths and the remaining symbols, so any range of ids
 is decoded from the symbols that cover it alone. Files are the binary payloads of a Parquet folder, which any
 store that Spark writes to can hold.
 
 Null text is empty: its ids are the end id alone. A null doc_id sorts first. Rows that repeat a doc_id follow
-each other in the order of their text. An empty table gives a folder without shards.
-
-File: magic ``QRP1``; unsigned 32-bit vocabulary, rules, symbols, documents; then doc_ids (signed 64-bit), a
-byte each that tells a null doc_id, ends of documents (unsigned 64-bit ids from the shard's start), rules (two
-symbols each), lengths (unsigned 32-bit), symbols. Symbols have two bytes while vocabulary and rules stay
-below 65,536, else four. All little-endian.
+each other in the order of their text's hash. Columns but doc_id and text are ignored. An empty table gives a folder
+without shards.
+
+File: magic ``QRP2``; unsigned 32-bit numbers of distinct ids, rules, symbols, documents; then doc_ids (signed 64-bit), a
+byte each that tells a null doc_id, ends of documents (unsigned 64-bit ids from the shard's start), the distinct ids
+(unsigned 32-bit, ascending), rules (two symbols each), lengths (unsigned 32-bit), symbols. A symbol below the number of
+distinct ids stands for that id, others for rules. Symbols have two bytes while there are at most 65,536 of them, else
+four. All little-endian.
 """
 
 from __future__ import annotations
@@ -30,58 +35,115 @@ from pyspark.sql import functions as F
 from . import common
 from .tokens import encoder
 
-SHARD_IDS, ROUNDS, PER_ROUND, LEAST = 1 << 20, 12, 512, 8
-_MAGIC, _HEAD, _BUCKETS = b"QRP1", struct.Struct("<4s4I"), 1 << 18
-
-
-def repair(ids: np.ndarray, vocab: int, rounds: int = ROUNDS, per_round: int = PER_ROUND, least: int = LEAST) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(symbols, rules, lengths): rule k is nonterminal vocab + k and only has symbols below it."""
-    s = ids.astype(np.uint32)
-    rules, lengths = [], []
-    size = lambda x: np.where(x < vocab, 1, np.array(lengths or [0])[np.maximum(x.astype(np.int64) - vocab, 0)])
-    for _ in range(rounds):
-        if len(s) < 2:
-            break
-        a, b = s[:-1], s[1:]
-        bucket = ((a * np.uint32(0x9E3779B1)) ^ (b * np.uint32(0x85EBCA6B))) >> np.uint32(14)
-        count = np.bincount(bucket, minlength=_BUCKETS)
-        # only places whose bucket is among the fullest can hold one of this round's pairs
-        bar = max(least, int(np.partition(count, -per_round)[-per_round]))
-        at = np.flatnonzero(count[bucket] >= bar)
-        key = (a[at].astype(np.uint64) << np.uint64(32)) | b[at]
-        pairs, n = np.unique(key, return_counts=True)
-        top = np.sort(pairs[n >= bar])
-        if not len(top):
-            break
-        where = np.searchsorted(top, key)
-        ok = top[np.minimum(where, len(top) - 1)] == key
-        at, where = at[ok], where[ok]
-        # of places one apart, every other one from the left
-        lead = np.flatnonzero(np.diff(at, prepend=-2) != 1)
+SHARD_IDS, LEAST, STEP = 1 << 20, 8, 0.7
+_MAGIC, _HEAD = b"QRP2", struct.Struct("<4s4I")
+
+
+class _Pairs:
+    """The frequent pairs: how often each occurs, and where it stood when it came up. Counts only fall from then on."""
+
+    def __init__(self, least: int):
+        self.least = least
+        self.left = self.right = self.count = self.begin = self.size = self.live = np.zeros(0, np.int64)
+        self.at = np.zeros(0, np.int32)
+
+    def add(self, a: np.ndarray, b: np.ndarray, places: np.ndarray) -> np.ndarray:
+        """Pair numbers of the places (-1: not frequent); none of these pairs was seen before."""
+        number = np.full(len(a), -1, np.int32)
+        key = (a.astype(np.uint64) << np.uint64(32)) | b.astype(np.uint64)
+        # only places whose hash is frequent can hold a frequent pair
+        bits = max(8, len(a).bit_length() + 1)
+        bucket = ((key * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - bits)).astype(np.int32)
+        maybe = np.flatnonzero(np.bincount(bucket, minlength=1 << bits)[bucket] >= self.least)
+        if not len(maybe):
+            return number
+        key = key[maybe]
+        order = np.argsort(key)
+        key = key[order]
+        lead = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+        size = np.diff(lead, append=len(key))
+        often = size >= self.least
+        keep, size, key = maybe[order[np.repeat(often, size)]], size[often], key[lead[often]]
+        number[keep] = np.repeat(len(self.count) + np.arange(len(size), dtype=np.int32), size)
+        new = {"left": (key >> np.uint64(32)).astype(np.int64), "right": (key & np.uint64(0xFFFFFFFF)).astype(np.int64), "count": size, "size": size, "begin": len(self.at) + np.cumsum(size) - size, "live": len(self.count) + np.arange(len(size)), "at": places[keep]}
+        for name, more in new.items():
+            setattr(self, name, np.concatenate([getattr(self, name), more]))
+        return number
+
+    def take(self, step: float) -> np.ndarray:
+        """The pairs of this step, the most frequent first."""
+        self.live = self.live[self.count[self.live] >= self.least]
+        if not len(self.live):
+            return self.live
+        n = self.count[self.live]
+        top = self.live[n >= max(self.least, int(step * n.max()))]
+        return top[np.argsort(-self.count[top], kind="stable")]
+
+    def places(self, pairs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(places, turn of the pair in pairs), as stored."""
+        size = self.size[pairs]
+        upto = np.cumsum(size)
+        return self.at[np.arange(upto[-1]) + np.repeat(self.begin[pairs] - (upto - size), size)], np.repeat(np.arange(len(pairs), dtype=np.int32), size)
+
+
+def repair(ids: np.ndarray, terminals: int, least: int = LEAST, step: float = STEP) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(symbols, rules, lengths): rule k is nonterminal terminals + k and only has symbols below it. No pair is left ``least`` times."""
+    n = len(ids)
+    s, rules, size = ids.astype(np.int32), [], np.ones(terminals, np.int64)
+    if n < 2:
+        return s.astype(np.uint32), np.zeros((0, 2), np.uint32), np.zeros(0, np.uint32)
+    # places in a row: what follows a place, what comes before it (n and -1: none), and its pair (-1: no frequent one)
+    after, before = np.arange(1, n + 1, dtype=np.int32), np.arange(-1, n - 1, dtype=np.int32)
+    pairs, alive = _Pairs(least), np.ones(n, bool)
+    pair = np.append(pairs.add(s[:-1], s[1:], np.arange(n - 1, dtype=np.int32)), np.int32(-1))
+    while len(top := pairs.take(step)):
+        at, which = pairs.places(top)
+        ok = pair[at] == top[which]
+        at, which = at[ok], which[ok]
+        order = np.argsort(at)
+        at, which = at[order], which[order]
+        # of places that overlap, every other one from the left
+        lead = np.flatnonzero(np.concatenate([[True], after[at[:-1]] != at[1:]]))
         turn = np.arange(len(at)) - np.repeat(lead, np.diff(lead, append=len(at)))
-        at, where = at[turn % 2 == 0], where[turn % 2 == 0]
-        left, right = (top >> np.uint64(32)).astype(np.uint32), (top & np.uint64(0xFFFFFFFF)).astype(np.uint32)
-        first = vocab + len(rules)
-        lengths_new = (size(left) + size(right)).tolist()
-        rules += list(zip(left.tolist(), right.tolist(), strict=True))
-        lengths += lengths_new
-        s = s.copy()
-        s[at] = first + where
-        keep = np.ones(len(s), bool)
-        keep[at + 1] = False
-        s = s[keep]
-    return s, np.array(rules, np.uint32).reshape(-1, 2), np.array(lengths, np.uint32)
-
-
-def write_shard(doc_ids: list[int | None], ends: list[int], ids: np.ndarray, vocab: int) -> bytes:
-    symbols, rules, lengths = repair(ids, vocab)
-    kind = "<u2" if vocab + len(rules) < 1 << 16 else "<u4"
+        at, which = at[turn % 2 == 0], which[turn % 2 == 0]
+        gone, prior = after[at], before[at]
+        prior = prior[(prior >= 0) & (prior != np.concatenate([[-1], gone[:-1]]))]
+        old = np.concatenate([pair[prior], pair[at], pair[gone]])
+        pairs.count -= np.bincount(old[old >= 0], minlength=len(pairs.count))
+        pair[prior], pair[at], pair[gone], alive[gone] = -1, -1, -1, False
+        # the new symbols, and the chain without the places that are gone
+        first = terminals + len(rules)
+        left, right = pairs.left[top], pairs.right[top]
+        rules += zip(left.tolist(), right.tolist(), strict=True)
+        size = np.concatenate([size, size[left] + size[right]])
+        s[at] = first + which
+        follow = after[gone]
+        after[at] = follow
+        back = follow < n
+        before[follow[back]] = at[back]
+        prior = before[at]
+        new = np.concatenate([at[back], prior[(prior >= 0) & (prior != np.concatenate([[-1], at[:-1]]))]])
+        if len(new):
+            pair[new] = pairs.add(s[new], s[after[new]], new)
+    return s[alive].astype(np.uint32), np.array(rules, np.uint32).reshape(-1, 2), size[terminals:].astype(np.uint32)
+
+
+def _kind(symbols: int) -> np.dtype:
+    return np.dtype("<u2" if symbols <= 1 << 16 else "<u4")
+
+
+def write_shard(doc_ids: list[int | None], ends: list[int], ids: np.ndarray) -> bytes:
+    used = np.bincount(ids) > 0 if len(ids) else np.zeros(0, bool)
+    distinct = np.flatnonzero(used)
+    symbols, rules, lengths = repair((np.cumsum(used) - 1)[ids] if len(ids) else ids, len(distinct))
+    kind = _kind(len(distinct) + len(rules))
     return b"".join(
         [
-            _HEAD.pack(_MAGIC, vocab, len(rules), len(symbols), len(doc_ids)),
+            _HEAD.pack(_MAGIC, len(distinct), len(rules), len(symbols), len(doc_ids)),
             np.array([d or 0 for d in doc_ids], "<i8").tobytes(),
             bytes(d is None for d in doc_ids),
             np.array(ends, "<u8").tobytes(),
+            distinct.astype("<u4").tobytes(),
             rules.astype(kind).tobytes(),
             lengths.astype("<u4").tobytes(),
             symbols.astype(kind).tobytes(),
@@ -93,32 +155,34 @@ class Shard:
     """A shard file opened for reading."""
 
     def __init__(self, blob: bytes):
-        magic, self.vocab, n_rules, n_symbols, n_docs = _HEAD.unpack_from(blob)
+        magic, n, n_rules, n_symbols, n_docs = _HEAD.unpack_from(blob)
         if magic != _MAGIC:
             raise ValueError("not a shard file")
-        kind = np.dtype("<u2" if self.vocab + n_rules < 1 << 16 else "<u4")
-        at = _HEAD.size
+        kind, at = _kind(n + n_rules), _HEAD.size
 
-        def take(dtype, n):
+        def take(dtype, count):
             nonlocal at
-            out = np.frombuffer(blob, dtype, n, at)
+            out = np.frombuffer(blob, dtype, count, at)
             at += out.nbytes
             return out
 
         ids, nulls = take("<i8", n_docs), take("u1", n_docs)
         self.doc_ids = [None if z else int(d) for d, z in zip(ids, nulls, strict=True)]
         self.ends = take("<u8", n_docs).astype(np.int64)
+        distinct = take("<u4", n)
         self.rules = take(kind, 2 * n_rules).reshape(-1, 2)
-        lengths = take("<u4", n_rules)
+        lengths = take("<u4", n_rules).astype(np.int64)
         self.symbols = take(kind, n_symbols)
-        self.size = np.concatenate([np.ones(self.vocab, np.int64), lengths.astype(np.int64)])
+        self.size = np.concatenate([np.ones(n, np.int64), lengths])
         self.reach = np.cumsum(self.size[self.symbols])
-        flat, self.begin = [np.arange(self.vocab, dtype=np.uint32)], np.concatenate([np.arange(self.vocab), self.vocab + np.cumsum(lengths.astype(np.int64)) - lengths])
-        text = np.concatenate([flat[0], np.zeros(int(lengths.sum()), np.uint32)])
-        for k, (a, b) in enumerate(self.rules.tolist()):
-            p, q = int(self.begin[self.vocab + k]), int(self.size[a])
-            text[p : p + q] = text[self.begin[a] : self.begin[a] + q]
-            text[p + q : p + q + int(self.size[b])] = text[self.begin[b] : self.begin[b] + int(self.size[b])]
+        # the expansions of all symbols, one after another; a rule's halves stand before it
+        self.begin = np.cumsum(self.size) - self.size
+        text = np.concatenate([distinct.astype(np.uint32), np.zeros(int(lengths.sum()), np.uint32)])
+        begin, size = self.begin.tolist(), self.size.tolist()
+        for k, (a, b) in enumerate(self.rules.tolist(), n):
+            p, q = begin[k], size[a]
+            text[p : p + q] = text[begin[a] : begin[a] + q]
+            text[p + q : p + size[k]] = text[begin[b] : begin[b] + size[b]]
         self.text = text
 
     def read(self, start: int, end: int) -> np.ndarray:
@@ -141,25 +205,28 @@ def _shards(path: str, end_id: int, shard_ids: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        enc, part, tail = encoder(path), TaskContext.get().partitionId(), np.array([end_id], "<u4").tobytes()
+        enc, part = encoder(path), TaskContext.get().partitionId()
         docs, ends, held, n, before, shard = [], [], [], 0, 0, 0
 
         def flush():
             nonlocal docs, ends, held, n, before, shard
-            blob = write_shard(docs, ends, np.frombuffer(b"".join(held), "<u4"), enc.vocab)
+            blob = write_shard(docs, ends, np.concatenate(held))
             out = pa.RecordBatch.from_pylist([{"part": part, "shard": shard, "before": before, "n_ids": n, "payload": blob}], schema=_FILE)
             before, shard, docs, ends, held, n = before + n, shard + 1, [], [], [], 0
             return out
 
         for b in batches:
-            for doc, text in zip(b.column(0).to_pylist(), b.column(1).cast(pa.binary()).to_pylist(), strict=True):
-                ids = enc.encode(text or b"") + tail
-                if n and n + len(ids) // 4 > shard_ids:
+            ids, upto = enc.column(b.column(1))
+            ids, upto = np.insert(ids, upto, end_id), upto + np.arange(1, len(upto) + 1)
+            start = 0
+            for doc, end in zip(b.column(0).to_pylist(), upto.tolist(), strict=True):
+                if n and n + end - start > shard_ids:
                     yield flush()
-                n += len(ids) // 4
+                n += end - start
                 docs.append(doc)
                 ends.append(n)
-                held.append(ids)
+                held.append(ids[start:end])
+                start = end
         if docs:
             yield flush()
         common.trim()
@@ -169,9 +236,10 @@ def _shards(path: str, end_id: int, shard_ids: int):
 
 def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = 1, shard_ids: int = SHARD_IDS) -> None:
     """Writes docs' ids to shard files under path."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    rows = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
-    rows.mapInArrow(_shards(tokenizer, end_id, shard_ids), "part int, shard int, before long, n_ids long, payload binary").write.option("compression", "none").parquet(path)
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), common.text_hash().alias("h"))
+    # texts of one (or no) doc_id are dealt by their hash
+    rows = rows.repartitionByRange("doc_id", "h").sortWithinPartitions("doc_id", "h")
+    rows.drop("h").mapInArrow(_shards(tokenizer, end_id, shard_ids), "part int, shard int, before long, n_ids long, payload binary").write.option("compression", "none").parquet(path)
 
 
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
