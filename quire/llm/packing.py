@@ -2,15 +2,21 @@
 
 A document is its token ids and an end id; one longer than the capacity is cut so that all its pieces but
 the first are full. Which lengths share a sequence depends on the counts of lengths alone, and of those there
-are at most as many as the capacity. So the executors count, the driver packs the counts (each item goes where
-the squared counts of open sequences per residual gap become smallest), and the executors give the n-th
-piece of a length the n-th place that the packing holds for that length. Token ids are never shuffled.
+are at most as many as the capacity. So the executors count, the driver packs the counts, and the executors give the
+n-th piece of a length the n-th place that the packing holds for that length.
 
-Counts above ``ITEMS`` are packed in multiples: one packing of the counts divided by g stands for g equal
-ones, and the remainders are packed after it, so the driver's work is bounded.
+Pieces are placed from the longest on. Each goes to the open sequence that makes the sum, over residual gaps, of the
+squared counts of open sequences smallest (of several, the one with the smallest gap); a sequence is opened only where
+none has room. Every place is chosen by that rule.
 
-Null texts are empty: their sequence is the end id alone. An empty table gives an empty result. Rows that
-repeat a doc_id are packed each on its own.
+Counts above ``ITEMS`` are packed in multiples: one packing of the counts divided by g stands for g equal ones, and
+the remainders are packed after it. So the driver's work is bounded, every piece is placed, and a larger table
+is packed as densely as one of ``ITEMS`` pieces, but for a few sequences of remainders.
+
+Ids are not shuffled: they are read from the files that the encoding wrote, ``WAVE`` parts a job where there are more;
+only (part, length, count) rows are. Null texts are empty: their
+sequence is the end id alone. An empty table gives an empty result. Rows that repeat a doc_id, or have none, are
+packed each on its own. Columns but doc_id and text are ignored.
 """
 
 from __future__ import annotations
@@ -27,23 +33,26 @@ from . import common
 from .tokens import encoder
 
 ITEMS = 1 << 18
+#: Parts (tasks of the encoding) whose ranks are broadcast at once: up to 24 bytes for each of the capacity's lengths.
+WAVE = 1024
 _PIECE = "doc_id long, piece int, start long, length long, ids binary, part int, turn long"
 _PIECE_ARROW = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids", pa.binary()), ("part", pa.int32()), ("turn", pa.int64())])
 
 
 def sum_of_squares(lengths: list[int], capacity: int) -> list[list[int]]:
-    """Bins of lengths below the capacity. gaps[h] counts open bins with h left; a full bin is no longer counted."""
+    """Bins of lengths up to the capacity. gaps[h] counts open bins with h left; a full bin is no longer counted."""
     gaps = np.zeros(capacity, np.int64)
     open_: list[list[list[int]]] = [[] for _ in range(capacity)]
-    full = []
-    far = np.iinfo(np.int64).max
+    full, far = [], np.iinfo(np.int64).max
     for s in lengths:
         here, then = gaps[s:], gaps[: capacity - s]
+        # what the sum of squares changes by where a bin with gap s + k takes the item
         change = 2 * (then - here) + 2
-        change[0] = 1 - 2 * here[0]
-        change[here == 0] = far
-        k = int(change.argmin())
-        if change[k] <= 2 * gaps[capacity - s] + 1 and change[k] < far:
+        if len(change):
+            change[0] = 1 - 2 * here[0]
+            change[here == 0] = far
+        k = int(change.argmin()) if len(change) else 0
+        if len(change) and change[k] < far:
             h = s + k
             bin_ = open_[h].pop()
             gaps[h] -= 1
@@ -58,21 +67,6 @@ def sum_of_squares(lengths: list[int], capacity: int) -> list[list[int]]:
     return full + [b for bins in open_ for b in bins]
 
 
-def best_fit(lengths: list[int], capacity: int) -> list[list[int]]:
-    """Refills poorly filled bins: each item into the fullest bin that has room."""
-    open_: dict[int, list] = defaultdict(list)
-    room = np.zeros(capacity + 1, np.int64)
-    for s in lengths:
-        fits = np.flatnonzero(room[s:])
-        h = s + int(fits[0]) if len(fits) else capacity
-        bin_ = open_[h].pop() if len(fits) else []
-        room[h] -= 1 if len(fits) else 0
-        bin_.append(s)
-        open_[h - s].append(bin_)
-        room[h - s] += 1
-    return [b for bins in open_.values() for b in bins]
-
-
 def pack_counts(counts: dict[int, int], capacity: int, items: int = ITEMS) -> list[tuple[tuple[int, ...], int]]:
     """(lengths in a sequence, how many such sequences) for counts of lengths."""
     out: Counter = Counter()
@@ -83,12 +77,8 @@ def pack_counts(counts: dict[int, int], capacity: int, items: int = ITEMS) -> li
         g = min(-(-sum(left.values()) // items), max(left.values()))
         now = {length: n // g for length, n in left.items() if n // g}
         left = {length: n % g for length, n in left.items() if n % g}
-        order = [length for length in sorted(now, reverse=True) for _ in range(now[length])]
-        bins = sum_of_squares(order, capacity)
-        # what the rule left with gaps is packed once more
-        loose = sorted((s for b in bins if sum(b) < capacity for s in b), reverse=True)
-        for b in [b for b in bins if sum(b) == capacity] + best_fit(loose, capacity):
-            out[tuple(sorted(b, reverse=True))] += g
+        for b in sum_of_squares([length for length in sorted(now, reverse=True) for _ in range(now[length])], capacity):
+            out[tuple(b)] += g
     return sorted(out.items())
 
 
@@ -109,31 +99,33 @@ def _pieces(path: str, capacity: int, end_id: int):
         from pyspark import TaskContext
 
         enc, part, turns = encoder(path), TaskContext.get().partitionId(), Counter()
-        tail = np.array([end_id], "<u4").tobytes()
         for b in batches:
-            rows, size = [], 0
-            for doc, text in zip(b.column(0).to_pylist(), b.column(1).cast(pa.binary()).to_pylist(), strict=True):
-                ids = enc.encode(text or b"") + tail
-                n = len(ids) // 4
-                cut = n if n <= capacity else n % capacity or capacity
-                at = 0
-                for k in range(1 + -(-(n - cut) // capacity)):
-                    upto = cut + k * capacity
-                    rows.append((doc, k, at, upto - at, ids[4 * at : 4 * upto], part, turns[upto - at]))
-                    turns[upto - at] += 1
-                    at = upto
-                size += len(ids)
-                if size > 8 << 20:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), _PIECE_ARROW, strict=True)], schema=_PIECE_ARROW)
+            ids, ends = enc.column(b.column(1))
+            ids, ends = np.insert(ids, ends, end_id).astype("<u4"), (ends + np.arange(1, len(ends) + 1)).tolist()
+            rows, size, first = [], 0, 0
+            for doc, end in zip(b.column(0).to_pylist(), ends, strict=True):
+                n = end - first
+                at, cut, k = 0, n if n <= capacity else n % capacity or capacity, 0
+                while at < n:
+                    length = cut - at
+                    rows.append((doc, k, at, length, ids[first + at : first + cut].tobytes(), part, turns[length]))
+                    turns[length] += 1
+                    at, cut, k = cut, cut + capacity, k + 1
+                size, first = size + n, end
+                if size > 2 << 20:
+                    yield _batch(rows)
                     rows, size = [], 0
-                    common.trim()
             if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), _PIECE_ARROW, strict=True)], schema=_PIECE_ARROW)
+                yield _batch(rows)
         common.trim()
 
     return run
 
 
+def _batch(rows: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), _PIECE_ARROW, strict=True)], schema=_PIECE_ARROW)
+
+
 def _place(table):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found = table.value
@@ -150,7 +142,7 @@ def _place(table):
     return run
 
 
-def pack(docs: DataFrame, tokenizer: str, capacity: int = 1024, end_id: int = 2) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, capacity: int = 1024, end_id: int = 2, wave: int = WAVE) -> DataFrame:
     """A row a piece: doc_id, piece, start, length, ids (unsigned 32-bit, little-endian), sequence_id, offset."""
     spark = docs.sparkSession
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
@@ -160,6 +152,18 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = 1024, end_id: int = 2)
     table = spark.sparkContext.broadcast(places(pack_counts(counts, capacity)))  # at most ITEMS places a level
     before = F.sum("n").over(Window.partitionBy("length").orderBy("part")) - F.col("n")
     base = common.save(per.select(F.col("part").alias("p"), F.col("length").alias("l"), before.alias("before")), "ranks")
-    ranked = pieces.join(common.sized(base, 24), (F.col("part") == F.col("p")) & (F.col("length") == F.col("l")))
-    ranked = ranked.select("doc_id", "piece", "start", "length", "ids", (F.col("before") + F.col("turn")).alias("rank"))
-    return ranked.mapInArrow(_place(table), "doc_id long, piece int, start long, length long, ids binary, sequence_id long, offset long")
+
+    def placed(low: int, high: int) -> DataFrame:
+        # a piece file has one part, so the range reads its own files alone; at most WAVE * capacity rows are broadcast
+        mine = F.broadcast(base.where(F.col("p").between(low, high)))
+        ranked = pieces.where(F.col("part").between(low, high)).join(mine, (F.col("part") == F.col("p")) & (F.col("length") == F.col("l")))
+        ranked = ranked.select("doc_id", "piece", "start", "length", "ids", (F.col("before") + F.col("turn")).alias("rank"))
+        return ranked.mapInArrow(_place(table), "doc_id long, piece int, start long, length long, ids binary, sequence_id long, offset long")
+
+    last = base.agg(F.max("p")).first()[0] or 0
+    if last < wave:
+        return placed(0, last)
+    path = common.new_path(spark, "placed")
+    for low in range(0, last + 1, wave):
+        placed(low, low + wave - 1).write.mode("append").option("compression", "zstd").parquet(path)
+    return spark.read.parquet(path)
