@@ -90,6 +90,17 @@ def sized(df: DataFrame, row_bytes: int, limit: int = BROADCAST_BYTES) -> DataFr
     return F.broadcast(df) if df.count() * row_bytes <= limit else df
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """Names for work columns that df has none of (Spark's names have no case)."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        name = f"_{name}"
+        while name in taken:
+            name = f"_{name}"
+        out.append(name)
+    return out
+
+
 def text_hash(text: str = "text"):
     """64 bits of a text; with the doc_id they name a row's document, also where ids are null or repeat."""
     return F.xxhash64(F.coalesce(F.col(text).cast("string"), F.lit("")))
