@@ -6,22 +6,34 @@ shuffled by a keyed hash and laid end to end, over and over; that line is cut in
 tokens as the source has slots, and the slot of rank r takes block r. The words that a source gives are
 then its target to within a word a block, and no document is taken more than three times.
 
+There is a slot a block of words, and a source that is drawn fewer than ``FEW`` times gets ``FEW`` more at the end, so
+slots never outgrow the words, however small a source is. Texts are counted once; what is shuffled after that are
+rows of hashes and sizes. A source's line is made in buckets of about ``BUCKET_ROWS`` rows by hash, and rows that
+repeat are counted before they are dealt, so neither a hot source nor a hot document is in one task.
+
 Targets: the sources by code point (null last) weigh 1, 2, 3, repeating, and share the total size; a target
 above three times its source's size stops there, and the excess goes to the others by weight until none is
 above. Null texts have size 0. Rows that repeat a doc_id are documents of their own. A source without words
-has target 0. An empty table gives an empty result. The same rows give the same mix.
+has target 0. An empty table gives an empty result. The same rows give the same mix, however they are stored. Columns but
+doc_id, text and source are ignored by ``mix`` and kept by ``mixed_documents``.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import common
 
-REPEATS, BLOCK_TOKENS, BUCKET_ROWS, SEED = 3, 1024, 20_000, 11
-#: The golden ratio's fraction times 2 ** 64, and the bits of a slot number that are multiplied at once.
-GOLDEN, LOW = 0x9E3779B97F4A7C15, 20
+REPEATS, BLOCK_TOKENS, BUCKET_ROWS, FEW, SEED = 3, 1024, 2_000, 4, 11
+#: The golden ratio's fraction times 2 ** 64.
+GOLDEN = 0x9E3779B97F4A7C15
+#: Slots that a task draws.
+_DRAWS = 1 << 20
 
 
 def targets(sizes: list[tuple[str | None, int]], repeats: int = REPEATS) -> dict[str | None, float]:
@@ -46,81 +58,115 @@ def words_of(text):
     return F.coalesce(F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
 
 
-def _plan(docs: DataFrame) -> tuple[DataFrame, list[dict]]:
-    """docs with _size; a dict a source: source, size, target, slots. Sources are counted, not their documents."""
-    rows = docs.withColumn("_size", words_of(F.col("text").cast("string")))
-    per = rows.groupBy(F.col("source").cast("string").alias("source")).agg(F.sum("_size").alias("size"), F.count("*").alias("rows")).collect()
+def _entries(docs: DataFrame) -> tuple[DataFrame, list[dict]]:
+    """(saved rows source, doc_id, h, size, m: m rows that are alike; a dict a source: source, size, rows, target)."""
+    rows = docs.select(F.col("source").cast("string").alias("source"), F.col("doc_id").cast("long").alias("doc_id"), common.text_hash().alias("h"), words_of(F.col("text").cast("string")).alias("size"))
+    rows = common.save(rows.groupBy("source", "doc_id", "h", "size").agg(F.count("*").alias("m")), "entries")
+    per = rows.groupBy("source").agg(F.sum(F.col("size") * F.col("m")).alias("size"), F.sum("m").alias("rows")).collect()  # a row a source
     goal = targets([(r["source"], r["size"]) for r in per])
     plan = [{"source": r["source"], "size": r["size"], "rows": r["rows"], "target": goal[r["source"]]} for r in sorted(per, key=lambda r: (r["source"] is None, r["source"] or ""))]
     return rows, plan
 
 
-def schedule(spark, plan: list[dict], block: int = BLOCK_TOKENS) -> DataFrame:
-    """(slot, source index k, rank r): a row a slot. Slots are dealt by ranges; ranks come from counts a range and source."""
-    total = sum(p["target"] for p in plan)
-    least = min((p["target"] for p in plan if p["target"] > 0), default=0)
-    # enough slots that the smallest source has four
-    slots = 0 if not total else max(int(total / block) + 1, int(4 * total / least) + 1)
-    edges, run = [], 0.0
+def _small(spark: SparkSession, rows: list[tuple], schema: str, row_bytes: int) -> DataFrame:
+    """A driver's table, marked for broadcast if it is small."""
+    out = spark.createDataFrame(rows, schema)
+    return F.broadcast(out) if len(rows) * row_bytes <= common.BROADCAST_BYTES else out
+
+
+def _draw(numbers: list[int], edges: list[float]):
+    """(slot, k, part, turn) of slot numbers that come in ascending order; turn counts a part's slots of one source."""
+    k_of, upto = np.array(numbers, np.int32), np.array(edges)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        part, turns = TaskContext.get().partitionId(), np.zeros(len(k_of), np.int64)
+        for b in batches:
+            slot = b.column(0).to_numpy()
+            point = (slot.astype(np.uint64) * np.uint64(GOLDEN)).astype(np.float64) / 2.0**64
+            pick = np.minimum(np.searchsorted(upto, point, "right"), len(k_of) - 1)
+            order = np.argsort(pick, kind="stable")
+            source, lead, count = np.unique(pick[order], return_index=True, return_counts=True)
+            turn = np.empty(len(slot), np.int64)
+            turn[order] = np.arange(len(slot)) - np.repeat(lead, count) + np.repeat(turns[source], count)
+            turns[source] += count
+            yield pa.RecordBatch.from_arrays([pa.array(slot), pa.array(k_of[pick]), pa.array(np.full(len(slot), part, np.int32)), pa.array(turn)], ["slot", "k", "part", "turn"])
+
+    return run
+
+
+def schedule(spark: SparkSession, plan: list[dict], block: int = BLOCK_TOKENS) -> tuple[DataFrame, dict[int, int]]:
+    """(saved slots: slot, source index k, rank r; slots of each k)."""
+    total, run, numbers, edges = sum(p["target"] for p in plan), 0.0, [], []
     for k, p in enumerate(plan):
         run += p["target"]
         if p["target"] > 0:
-            edges.append((k, run / total if total else 0.0))
-    # frac(id * phi), the upper and lower bits of id apart so that no product loses its fraction
-    upper, lower = F.shiftright("id", LOW), F.col("id").bitwiseAND(F.lit((1 << LOW) - 1))
-    point = upper * F.lit((GOLDEN << LOW) % (1 << 64) / (1 << 64)) + lower * F.lit(GOLDEN / (1 << 64))
-    point = point - F.floor(point)
-    pick = F.lit(edges[-1][0] if edges else None).cast("int")
-    for k, upto in reversed(edges[:-1]):
-        pick = F.when(point < upto, F.lit(k)).otherwise(pick)
-    numbers = spark.range(0, slots, 1, max(1, min(4096, slots // 200_000 + 1))).withColumn("part", F.spark_partition_id())
-    drawn = numbers.select("id", "part", pick.alias("k"))
-    counts = drawn.groupBy("k", "part").count()
-    before = counts.select(F.col("k").alias("bk"), F.col("part").alias("bp"), (F.sum("count").over(Window.partitionBy("k").orderBy("part")) - F.col("count")).alias("before"))
-    turn = F.row_number().over(Window.partitionBy("k", "part").orderBy("id"))
-    return drawn.withColumn("turn", turn).join(before, (F.col("k") == F.col("bk")) & (F.col("part") == F.col("bp"))).select(F.col("id").alias("slot"), "k", (F.col("before") + F.col("turn") - 1).alias("r"))
-
-
-def _line(rows: DataFrame, plan: list[dict]) -> DataFrame:
-    """rows with _k (source index) and _pos, the words before it in its source's shuffled line."""
+            numbers.append(k)
+            edges.append(run / total)
+    slots = int(total / block) + 1 if numbers else 0
+    drawn = spark.range(0, slots, 1, max(1, -(-slots // _DRAWS))).mapInArrow(_draw(numbers, edges), "slot long, k int, part int, turn long")
+    drawn = common.save(drawn, "drawn")
+    counts = common.save(drawn.groupBy("k", "part").count(), "counts")
+    before = F.sum("count").over(Window.partitionBy("k").orderBy("part")) - F.col("count")
+    base = common.save(counts.select(F.col("k").alias("bk"), F.col("part").alias("bp"), before.alias("before")), "before")
+    out = drawn.join(common.sized(base, 32), (F.col("k") == F.col("bk")) & (F.col("part") == F.col("bp"))).select("slot", "k", (F.col("before") + F.col("turn")).alias("r"))
+    held = {r["k"]: r["n"] for r in counts.groupBy("k").agg(F.sum("count").alias("n")).collect()}
+    more = [(slots + i, k, held.get(k, 0) + t) for i, (k, t) in enumerate((k, t) for k in numbers if held.get(k, 0) < FEW for t in range(FEW))]
+    if more:
+        out = out.unionByName(spark.createDataFrame(more, "slot long, k int, r long"))
+    return common.save(out, "schedule"), {k: held.get(k, 0) + (FEW if held.get(k, 0) < FEW else 0) for k in numbers}
+
+
+def _line(rows: DataFrame, plan: list[dict], slots: dict[int, int]) -> DataFrame:
+    """A saved row a document: row, k, source, doc_id, h, size, source_size, target, slots, and pos, the words before it in its source's shuffled line."""
     spark = rows.sparkSession
-    about = spark.createDataFrame([(k, p["source"], max(1, -(-p["rows"] // BUCKET_ROWS))) for k, p in enumerate(plan)], "_k int, _s string, _buckets long")
-    rows = rows.join(F.broadcast(about), F.col("source").cast("string").eqNullSafe(F.col("_s"))).drop("_s")  # a row a source
+    about = _small(spark, [(k, p["source"], max(1, -(-p["rows"] // BUCKET_ROWS)), int(p["size"]), float(p["target"]), slots.get(k, 0)) for k, p in enumerate(plan)], "k int, s string, buckets long, source_size long, target double, slots long", 256)
+    rows = rows.join(about, F.col("source").eqNullSafe(F.col("s"))).withColumn("turn", F.explode(F.sequence(F.lit(1).cast("long"), F.col("m"))))
     # buckets split a hot source; their order and that inside them are the shuffle
-    rows = rows.withColumn("_h", F.xxhash64("doc_id", F.lit(SEED))).withColumn("_bucket", F.pmod(F.shiftright("_h", 20), F.col("_buckets")).cast("long"))
-    sums = common.save(rows.groupBy("_k", "_bucket").agg(F.sum("_size").alias("w")), "buckets")
-    start = sums.select(F.col("_k").alias("bk"), F.col("_bucket").alias("bb"), (F.sum("w").over(Window.partitionBy("_k").orderBy("_bucket")) - F.col("w")).alias("_start"))
-    inside = Window.partitionBy("_k", "_bucket").orderBy("_h", "doc_id", "_size").rowsBetween(Window.unboundedPreceding, -1)
-    rows = rows.withColumn("_in", F.coalesce(F.sum("_size").over(inside), F.lit(0)))
-    return rows.join(start, (F.col("_k") == F.col("bk")) & (F.col("_bucket") == F.col("bb"))).withColumn("_pos", F.col("_start") + F.col("_in")).drop("bk", "bb", "_start", "_in", "_h", "_bucket", "_buckets")
+    rows = rows.withColumn("at", F.xxhash64("doc_id", "h", "turn", F.lit(SEED))).withColumn("bucket", F.pmod(F.shiftright("at", 20), F.col("buckets")))
+    sums = common.save(rows.groupBy("k", "bucket").agg(F.sum("size").alias("w")), "buckets")
+    first = F.sum("w").over(Window.partitionBy("k").orderBy("bucket")) - F.col("w")
+    start = common.save(sums.select(F.col("k").alias("bk"), F.col("bucket").alias("bb"), first.alias("start")), "starts")
+    inside = Window.partitionBy("k", "bucket").orderBy("at", "doc_id", "h", "turn").rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumn("inside", F.coalesce(F.sum("size").over(inside), F.lit(0)))
+    rows = rows.join(common.sized(start, 32), (F.col("k") == F.col("bk")) & (F.col("bucket") == F.col("bb")))
+    rows = rows.select(F.monotonically_increasing_id().alias("row"), "k", "source", "doc_id", "h", "size", "source_size", "target", "slots", (F.col("start") + F.col("inside")).alias("pos"))
+    return common.save(rows, "line")
 
 
-def _sources(plan: list[dict], counts: dict[int, int], spark) -> DataFrame:
-    rows = [(k, int(p["size"]), float(p["target"]), counts.get(k, 0)) for k, p in enumerate(plan)]
-    return F.broadcast(spark.createDataFrame(rows, "_sk int, source_size long, target double, slots long"))  # a row a source
+def _edge(r, whole):
+    """First word of block r of a line of whole words: floor(r * whole / slots)."""
+    return F.floor(r.cast("double") * whole / F.col("slots")).cast("long")
 
 
-def mix(docs: DataFrame) -> DataFrame:
-    """A row a document: doc_id, size, source_size, target, taken."""
-    spark = docs.sparkSession
-    rows, plan = _plan(docs)
-    slots = common.save(schedule(spark, plan), "schedule")
-    counts = {r["k"]: r["count"] for r in slots.groupBy("k").count().collect()}
-    line = _line(rows.select("doc_id", "source", "_size"), plan)
-    line = line.join(_sources(plan, counts, spark), F.col("_k") == F.col("_sk")).withColumn("_row", F.monotonically_increasing_id())
-    line = common.save(line.select("_row", "doc_id", F.col("_size").alias("size"), "_k", "_pos", "source_size", "target", "slots"), "line")
-    # block r of a source: words [edge(r), edge(r + 1)) of its endless line, edge(r) = floor(r * floor(target) / slots)
+def _blocks(line: DataFrame, slots: DataFrame) -> DataFrame:
+    """The mix, a row a piece of a document in a block: slot, row, doc_id, first (its first word in the document), words."""
     whole = F.floor("target").cast("double")
-    edge = lambda r: F.floor(r.cast("double") * whole / F.col("slots")).cast("long")
     passes = line.where("size > 0 and slots > 0").withColumn("c", F.explode(F.sequence(F.lit(0), F.lit(REPEATS - 1))))
-    passes = passes.withColumn("lo", F.col("c") * F.col("source_size") + F.col("_pos")).withColumn("hi", F.least(F.col("lo") + F.col("size"), whole.cast("long"))).where("lo < hi")
+    passes = passes.withColumn("lo", F.col("c") * F.col("source_size") + F.col("pos")).withColumn("hi", F.least(F.col("lo") + F.col("size"), whole.cast("long"))).where("lo < hi")
     first = F.greatest(F.lit(0), F.floor(F.col("lo") * F.col("slots") / whole).cast("long") - 1)
     last = F.least(F.col("slots") - 1, F.floor(F.col("hi") * F.col("slots") / whole).cast("long") + 1)
     touched = passes.withColumn("b", F.explode(F.sequence(first, last)))
-    part = F.least("hi", edge(F.col("b") + 1)) - F.greatest("lo", edge(F.col("b")))
-    touched = touched.select("_row", "_k", "b", part.alias("words")).where("words > 0")
-    got = touched.join(slots, (F.col("_k") == F.col("k")) & (F.col("b") == F.col("r"))).groupBy(F.col("_row").alias("g")).agg(F.sum("words").alias("taken"))
-    return line.join(got, F.col("_row") == F.col("g"), "left").select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
+    begin = F.greatest("lo", _edge(F.col("b"), whole))
+    touched = touched.select("row", "doc_id", F.col("k").alias("tk"), "b", (begin - F.col("lo")).alias("first"), (F.least("hi", _edge(F.col("b") + 1, whole)) - begin).alias("words")).where("words > 0")
+    return touched.join(slots, (F.col("tk") == F.col("k")) & (F.col("b") == F.col("r"))).select("slot", "row", "doc_id", "first", "words")
+
+
+def blocks(docs: DataFrame) -> DataFrame:
+    """The mix in order: slot, doc_id, first (word of the document), words."""
+    rows, plan = _entries(docs)
+    slots, counts = schedule(docs.sparkSession, plan)
+    return _blocks(_line(rows, plan, counts), slots).orderBy("slot", "row", "first").drop("row")
+
+
+def mix(docs: DataFrame) -> DataFrame:
+    """A row a document: doc_id, size, source_size, target, taken."""
+    rows, plan = _entries(docs)
+    slots, counts = schedule(docs.sparkSession, plan)
+    line = _line(rows, plan, counts)
+    got = _blocks(line, slots).groupBy(F.col("row").alias("g")).agg(F.sum("words").alias("taken"))
+    return line.join(got, F.col("row") == F.col("g"), "left").select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
 
 
 def mixed_documents(docs: DataFrame) -> DataFrame:
@@ -128,24 +174,27 @@ def mixed_documents(docs: DataFrame) -> DataFrame:
 
     A document goes to the block that holds its middle word, once for each pass over its source in which there is
     one; blocks stand in the order of their slots. The first document of a source whose target ends before that
-    document's middle is given once, so that no source with a target is lost.
+    document's middle is given once, so that no source with a target is lost. Rows of one doc_id, text and source are
+    alike here: each of them that is given has the other columns of one of them.
     """
-    spark = docs.sparkSession
     columns = docs.columns
-    rows, plan = _plan(docs)
-    slots = common.save(schedule(spark, plan), "schedule")
-    counts = {r["k"]: r["count"] for r in slots.groupBy("k").count().collect()}
-    line = _line(rows, plan).join(_sources(plan, counts, spark), F.col("_k") == F.col("_sk"))
-    line = line.withColumn("_c", F.explode(F.sequence(F.lit(0), F.lit(REPEATS - 1))))
-    line = line.withColumn("_middle", F.col("_c") * F.col("source_size") + F.col("_pos") + F.col("_size") / 2)
-    least = (F.col("_c") == 0) & (F.col("_pos") == 0) & (F.col("_size") > 0) & (F.col("target") > 0)
-    line = line.where((F.col("_middle") < F.col("target")) | least)
+    rows, plan = _entries(docs)
+    slots, counts = schedule(docs.sparkSession, plan)
+    line = _line(rows, plan, counts).withColumn("c", F.explode(F.sequence(F.lit(0), F.lit(REPEATS - 1))))
+    line = line.withColumn("middle", F.col("c") * F.col("source_size") + F.col("pos") + F.col("size") / 2)
+    least = (F.col("c") == 0) & (F.col("pos") == 0) & (F.col("size") > 0) & (F.col("target") > 0)
+    line = line.where((F.col("middle") < F.col("target")) | least)
     # the block of the middle word; a quotient may be one off the floors of the edges
-    whole, word = F.greatest(F.floor("target"), F.lit(1)).cast("double"), F.floor("_middle")
-    edge = lambda r: F.floor(r.cast("double") * whole / F.col("slots")).cast("long")
-    line = line.withColumn("_near", F.floor(word * F.col("slots") / whole).cast("long"))
-    block = F.col("_near") + (edge(F.col("_near") + 1) <= word).cast("long") - (edge(F.col("_near")) > word).cast("long")
-    line = line.withColumn("_b", F.greatest(F.lit(0), F.least(F.col("slots") - 1, block)))
-    placed = slots.select(F.col("slot").alias("_slot"), F.col("k").alias("_pk"), F.col("r").alias("_pr"))
-    mixed = line.join(placed, (F.col("_k") == F.col("_pk")) & (F.col("_b") == F.col("_pr")), "left")
-    return mixed.orderBy(F.asc_nulls_last("_slot"), "_middle").select(*columns)
+    whole, word = F.greatest(F.floor("target"), F.lit(1)).cast("double"), F.floor("middle")
+    line = line.withColumn("near", F.floor(word * F.col("slots") / whole).cast("long"))
+    block = F.col("near") + (_edge(F.col("near") + 1, whole) <= word).cast("long") - (_edge(F.col("near"), whole) > word).cast("long")
+    line = line.withColumn("b", F.greatest(F.lit(0), F.least(F.col("slots") - 1, block))).withColumnRenamed("k", "lk")
+    placed = line.join(slots, (F.col("lk") == F.col("k")) & (F.col("b") == F.col("r")), "left")
+    d, h, s, slot, middle, own, key = common.fresh(docs, "d", "h", "s", "slot", "middle", "own", "key")
+    placed = common.save(placed.select(F.col("doc_id").alias(d), F.col("h").alias(h), F.col("source").alias(s), F.col("slot").alias(slot), F.col("middle").alias(middle)), "placed")
+    texts = docs.withColumn(own, common.text_hash()).withColumn(key, F.col("source").cast("string"))
+    if not rows.where("m > 1").isEmpty():
+        texts = texts.dropDuplicates(["doc_id", own, key])
+    asked = common.sized(placed, 96)
+    same = F.col("doc_id").cast("long").eqNullSafe(asked[d]) & (F.col(own) == asked[h]) & F.col(key).eqNullSafe(asked[s])
+    return texts.join(asked, same).orderBy(F.asc_nulls_last(slot), middle).select(*(F.col(f"`{c}`") for c in columns))

@@ -127,6 +127,33 @@ def test_mix(docs, empty):
     assert max(again.values()) <= 3
 
 
+def test_mix_one_word_source(spark):
+    """A tiny source needs no finer schedule: slots stay near a slot a block, and every source has its share."""
+    plan = [{"source": "a", "size": 10**9, "rows": 10, "target": 10**9 - 2.0}, {"source": "b", "size": 1, "rows": 1, "target": 3.0}]
+    plan[0]["target"] = 3 * 2.0**20
+    slots, counts = mixing.schedule(spark, plan)
+    assert counts[1] == 4 and slots.count() <= 3 * 2**10 + 6
+    got = {r["k"]: (r["n"], r["top"]) for r in slots.groupBy("k").agg(F.count_distinct("r").alias("n"), F.max("r").alias("top")).collect()}
+    assert got == {k: (n, n - 1) for k, n in counts.items()} and slots.select("slot").distinct().count() == slots.count()
+    # the golden-ratio points themselves
+    drawn = {r["slot"]: r["k"] for r in slots.where("slot < 3000").collect()}
+    share = plan[0]["target"] / (plan[0]["target"] + 3)
+    assert all(k == int(((n * mixing.GOLDEN) % 2**64) / 2**64 >= share) for n, k in drawn.items())
+    rows = [(0, "w " * 9000, "a"), (1, "one", "b"), (2, "", "c"), (3, None, None)] + [(4, "x y z", "a")] * 50 + [(None, "x y z", "a")] * 50
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = mixing.mix(df).collect()
+    assert Counter(r["doc_id"] for r in got) == Counter(r[0] for r in rows) and all(r["taken"] <= 3 * r["size"] for r in got)
+    taken = Counter()
+    for r in got:
+        taken[r["target"]] += r["taken"]
+    assert all(abs(taken[t] - t) <= 1 for t in taken)
+    assert sum(r["words"] for r in mixing.blocks(df).collect()) == sum(taken.values())
+    whole = mixing.mixed_documents(df.withColumn("_h", F.lit(1)))
+    assert whole.columns == ["doc_id", "text", "source", "_h"]
+    given = Counter((r["doc_id"], r["text"]) for r in whole.collect())
+    assert given[(1, "one")] == 3 and given[(2, "")] == 0 and all(n <= 3 * rows.count((d, t, "a" if d != 1 else "b")) for (d, t), n in given.items())
+
+
 def test_mixed_documents_follow_the_schedule(spark):
     """Every stretch of the mix is near the shares, and a source whose one document is too long for its target stays."""
     rows = [(0, "w " * 10_000, "a")] + [(1 + k, "w " * 50, "bc"[k % 2]) for k in range(200)]
