@@ -23,23 +23,54 @@ def test_shards(docs, empty):
     got = sharding.shard_digest(docs).collect()
     src = texts(docs)
     assert sorted(r["doc_id"] for r in got) == sorted(src)
-    slots, load = defaultdict(list), Counter()
+    slots = defaultdict(list)
     for r in got:
         raw = src[r["doc_id"]].encode()
         assert (r["size"], r["text_crc32"], r["law"], r["grown_shard"]) == (len(raw) + 8, zlib.crc32(raw), "bytes", None)
         slots[r["shard"]].append(r["slot"])
-        load[r["shard"]] += r["size"]
-    assert all(sorted(s) == list(range(len(s))) for s in slots.values())
-    assert set(load) <= set(range(24))
+    assert all(sorted(s) == list(range(len(s))) for s in slots.values()) and set(slots) <= set(range(24))
     assert sharding.shard_digest(empty).count() == 0
 
 
-def test_shards_affected_only(spark, docs, tmp_path):
-    assigned = sharding.reshard(docs.select("doc_id", "text"), F.lit(0), 1, 3).cache()
-    moved = sharding.affected(assigned)
-    assert moved == [0, 1, 2]
-    sharding.write_shards(assigned, str(tmp_path / "s"), only=[1])
-    assert spark.read.parquet(str(tmp_path / "s")).select("shard").distinct().count() == 1
+def _old_sizes(df, shards):
+    return Counter({r["o"]: r["b"] for r in df.groupBy(sharding.hashed_shard(F.col("doc_id"), shards).alias("o")).agg(F.sum(sharding.size_of(F.col("text"))).alias("b")).collect()})
+
+
+@pytest.mark.parametrize("hot", ["none", "id", "text", "null"])
+def test_reshard_moves_least_and_evens_out(spark, tmp_path, hot):
+    """Sizes differ by no more than the largest row, moved bytes are the least but for the cut rows, kept files are not written again."""
+    import random
+
+    rng = random.Random(4)
+    rows = [(k, "x" * rng.randrange(200), k) for k in range(6000)]
+    if hot != "none":
+        rows[::3] = [{"id": (5, t, p), "text": (k, "y" * 90, p), "null": (None, t, p)}[hot] for k, t, p in rows[::3]]
+    df = spark.createDataFrame(rows, "doc_id long, text string, _old long").repartition(9)
+    layout = sharding.lay_out(df, sharding.hashed_shard(F.col("doc_id"), 4), 4, str(tmp_path / "old"))
+    got = sharding.reshard(layout, 6, str(tmp_path / "new"), "_shard", "shard")
+    out = got.rows().collect()
+    assert Counter((r["doc_id"], r["text"], r["_old"]) for r in out) == Counter(rows)
+    load, slots = Counter(), defaultdict(list)
+    for r in out:
+        load[r["_shard"]] += len(r["text"]) + 8
+        slots[r["_shard"]].append(r["shard"])
+    assert len(load) == 6 and max(load.values()) - min(load.values()) <= 207
+    assert all(sorted(s) == list(range(len(s))) for s in slots.values())
+    old, total = _old_sizes(df, 4), sum(load.values())
+    least = sum(max(0, b - -(-total // 6)) for b in old.values())
+    assert least <= got.moved_bytes <= least + 50 * 208 and got.moved_bytes <= got.rewritten_bytes < total
+    kept = got.kept.select("_old").collect()
+    assert kept and not {r[0] for r in kept} & {r[0] for r in spark.read.parquet(str(tmp_path / "new")).select("_old").collect()}
+    assert sum(len(r["text"]) + 8 for r in got.written.collect()) == got.rewritten_bytes
+
+
+def test_shards_of_the_query_are_even(spark):
+    """The registered query's parameters: 24 shards within the largest row of each other."""
+    df = spark.createDataFrame([(k, "ab " * (k % 50)) for k in range(20_000)], "doc_id long, text string").repartition(8)
+    load = Counter()
+    for r in sharding.shard_digest(df).select("shard", "size").collect():
+        load[r["shard"]] += r["size"]
+    assert len(load) == 24 and max(load.values()) - min(load.values()) <= 155
 
 
 def test_exact(docs, empty):
