@@ -6,14 +6,15 @@ batches, a greedy beam search from the medoid proposes each one's neighbours, an
 Queries travel to every shard in blocks, a beam search answers them there, and the shards' answers are merged.
 
 Inner product becomes Euclidean distance by one more coordinate, sqrt(M^2 - |x|^2) with M the largest norm,
-so the nearest by distance is the one with the largest product. Scores are computed in double precision from
-the original vectors. Equal vectors are one point of the graph with its least ``k + 1`` ids, which is all that
+so the nearest by distance is the one with the largest product. The graph is built in single precision; scores are
+computed in double precision from the original vectors. A query for which a shard's graph reaches fewer points than the
+beam holds, though there are more, is compared with all points of that shard. Equal vectors are one point of the graph with its least ``k + 1`` ids, which is all that
 ties to smaller ids can need; they are counted down in two salted steps, so a vector that a third of all rows
 share is in no single task.
 
 Vectors that are null, all zero, of another length than most, or hold null or non-finite components take no
-part, nor do rows with a null vec_id. Rows that repeat a vec_id with an equal vector are one. An empty table
-gives an empty result.
+part, nor do rows with a null vec_id. Rows that repeat a vec_id with an equal vector are one. Columns but vec_id and
+embedding are ignored. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -123,31 +124,32 @@ def build_graph(points: np.ndarray, degree: int = DEGREE, beam: int = BEAM, alph
 
 
 def _link_back(points: np.ndarray, edges: np.ndarray, new: np.ndarray, degree: int, alpha: float) -> None:
-    """Adds the edges' reverse, and prunes where that makes too many."""
+    """Adds the edges' reverse, and prunes where that makes too many. All of them take part, however many a point gets."""
     src = np.repeat(new, degree)
     dst = edges[new].ravel()
     src, dst = src[dst >= 0], dst[dst >= 0]
     order = np.argsort(dst, kind="stable")
     src, dst = src[order], dst[order]
     who, lead, count = np.unique(dst, return_index=True, return_counts=True)
-    extra = np.full((len(who), min(int(count.max(initial=0)), 4 * degree)), -1, np.int64)
-    place = np.arange(len(dst)) - np.repeat(lead, count)
-    fits = place < extra.shape[1]
-    extra[np.repeat(np.arange(len(who)), count)[fits], place[fits]] = src[fits]
-    have = edges[who]
-    free = (have < 0).sum(1) >= count
-    if free.any():
-        f = np.flatnonzero(free)
-        both = np.hstack([have[f], extra[f]])
-        both = np.take_along_axis(both, np.argsort(both < 0, axis=1, kind="stable"), 1)[:, :degree]
-        edges[who[f]] = both
-    for part in np.array_split(np.flatnonzero(~free), max(1, -(-int((~free).sum()) // 256))):
-        if len(part):
-            edges[who[part]] = robust_prune(points, who[part], np.hstack([have[part], extra[part]]), degree, alpha)
-
-
-_INDEX = pa.schema([("shard", pa.int32()), ("kind", pa.int32()), ("block", pa.int64()), ("n", pa.int64()), ("vectors", pa.binary()), ("ids", pa.binary()), ("edges", pa.binary()), ("start", pa.int64()), ("top", pa.float64())])
-_INDEX_SQL = "shard int, kind int, block long, n long, vectors binary, ids binary, edges binary, start long, top double"
+    # points with about as many new edges go together
+    by_count = np.argsort(count, kind="stable")
+    for part in np.array_split(by_count, max(1, -(-len(who) // 256))):
+        if not len(part):
+            continue
+        n, have = count[part], edges[who[part]]
+        extra = np.full((len(part), int(n.max())), -1, np.int64)
+        row = np.repeat(np.arange(len(part)), n)
+        place = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
+        extra[row, place] = src[lead[part][row] + place]
+        both = np.hstack([have, extra])
+        free = (have < 0).sum(1) >= n
+        edges[who[part[free]]] = np.take_along_axis(both[free], np.argsort(both[free] < 0, axis=1, kind="stable"), 1)[:, :degree]
+        if not free.all():
+            edges[who[part[~free]]] = robust_prune(points, who[part[~free]], both[~free], degree, alpha)
+
+
+_INDEX = pa.schema([("shard", pa.int32()), ("kind", pa.int32()), ("block", pa.int64()), ("n", pa.int64()), ("vectors", pa.binary()), ("ids", pa.binary()), ("edges", pa.binary()), ("start", pa.int64()), ("scale", pa.float64()), ("top", pa.float64())])
+_INDEX_SQL = "shard int, kind int, block long, n long, vectors binary, ids binary, edges binary, start long, scale double, top double"
 
 
 def _lift(vectors: np.ndarray, top: float) -> np.ndarray:
@@ -158,7 +160,7 @@ def _lift(vectors: np.ndarray, top: float) -> np.ndarray:
 
 def _vectors(column: pa.ChunkedArray | pa.Array, n: int) -> np.ndarray:
     c = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
-    return c.flatten().to_numpy(zero_copy_only=False).astype(np.float32).reshape(n, -1)
+    return c.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(n, -1)
 
 
 def _index(t: pa.Table) -> pa.Table:
@@ -169,38 +171,48 @@ def _index(t: pa.Table) -> pa.Table:
     ids = np.full((n, max(map(len, lists))), -1, np.int64)
     for k, x in enumerate(lists):
         ids[k, : len(x)] = x
-    top = t.column("top")[0].as_py()
-    edges, start = build_graph(_lift(vectors, top).astype(np.float32))
-    return pa.Table.from_pylist([{"shard": t.column("shard")[0].as_py(), "kind": 0, "block": 0, "n": n, "vectors": vectors.tobytes(), "ids": ids.tobytes(), "edges": edges.astype(np.int32).tobytes(), "start": start, "top": top}], schema=_INDEX)
+    shard, scale, top = (t.column(c)[0].as_py() for c in ("shard", "scale", "top"))
+    edges, start = build_graph(_lift(vectors / scale, top).astype(np.float32))
+    return pa.Table.from_pylist([{"shard": shard, "kind": 0, "block": 0, "n": n, "vectors": vectors.tobytes(), "ids": ids.tobytes(), "edges": edges.astype(np.int32).tobytes(), "start": start, "scale": scale, "top": top}], schema=_INDEX)
 
 
 def _block(t: pa.Table) -> pa.Table:
     n = t.num_rows
-    return pa.Table.from_pylist([{"shard": None, "kind": 1, "block": t.column("block")[0].as_py(), "n": n, "vectors": _vectors(t.column("v"), n).tobytes(), "ids": t.column("vec_id").to_numpy().astype(np.int64).tobytes(), "edges": None, "start": None, "top": None}], schema=_INDEX)
+    return pa.Table.from_pylist([{"shard": None, "kind": 1, "block": t.column("block")[0].as_py(), "n": n, "vectors": _vectors(t.column("v"), n).tobytes(), "ids": t.column("vec_id").to_numpy().astype(np.int64).tobytes(), "edges": None, "start": None, "scale": None, "top": None}], schema=_INDEX)
 
 
 _HIT = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())])
 
 
+def _points(base: np.ndarray, lifted: np.ndarray, edges: np.ndarray, start: int, queries: np.ndarray, scaled: np.ndarray, width: int) -> np.ndarray:
+    """Each query's ``width`` nearest points found (-1: none). Queries for which the graph reaches too few points are compared with all."""
+    width = min(width, len(base))
+    found, _ = beam_search(lifted, edges, start, np.hstack([scaled, np.zeros((len(scaled), 1))]), width)
+    for q in np.flatnonzero((found >= 0).sum(1) < width):
+        product = base @ queries[q]
+        found[q] = np.argpartition(-product, width - 1)[:width]
+    return found
+
+
 def _answer(k: int, beam: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         graph = None
         for b in batches:
             for r in b.to_pylist():
                 n = r["n"]
-                vectors = np.frombuffer(r["vectors"], np.float32).reshape(n, -1)
+                vectors = np.frombuffer(r["vectors"], np.float64).reshape(n, -1)
                 if r["kind"] == 0:
                     ids = np.frombuffer(r["ids"], np.int64).reshape(n, -1)
-                    graph = r["shard"], vectors, _lift(vectors, r["top"]), ids, np.frombuffer(r["edges"], np.int32).reshape(n, -1).astype(np.int64), r["start"]
+                    graph = r["shard"], vectors, _lift(vectors / r["scale"], r["top"]), ids, np.frombuffer(r["edges"], np.int32).reshape(n, -1).astype(np.int64), r["start"]
                     continue
                 if graph is None or graph[0] != r["shard"]:
                     continue
                 _, base, points, ids, edges, start = graph
                 own = np.frombuffer(r["ids"], np.int64)
-                found, _ = beam_search(points, edges, start, np.hstack([vectors.astype(np.float64), np.zeros((n, 1))]), max(beam, k + 1))
+                found = _points(base, points, edges, start, vectors, vectors / np.abs(vectors).max(1, keepdims=True), max(beam, k + 1))
                 row, at = np.nonzero(found >= 0)
                 hit = found[row, at]
-                score = np.einsum("ij,ij->i", base[hit].astype(np.float64), vectors[row].astype(np.float64))
+                score = np.einsum("ij,ij->i", base[hit], vectors[row])
                 # every id of a point that a query can need, but its own
                 many = ids[hit]
                 ok = (many >= 0) & (many != own[row][:, None])
@@ -216,8 +228,8 @@ def _answer(k: int, beam: int):
 
 
 def usable(rows: DataFrame) -> DataFrame:
-    """(vec_id, v): rows that take part, vectors of the commonest length."""
-    v = F.col("embedding").cast("array<float>")
+    """(vec_id, v): rows that take part, vectors of the commonest length, in double precision."""
+    v = F.col("embedding").cast("array<double>")
     good = rows.select(F.col("vec_id").cast("long").alias("vec_id"), v.alias("v")).where(
         F.col("vec_id").isNotNull() & F.col("v").isNotNull() & F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("v", lambda x: x != 0)
     )
@@ -233,16 +245,18 @@ def build_index(vectors: DataFrame, k: int, shard: int = SHARD) -> tuple[DataFra
     salted = salted.withColumn("turn", few("h", "v", "salt")).where(F.col("turn") <= k + 1)
     least = salted.withColumn("turn", few("h", "v")).where(F.col("turn") <= k + 1)
     points = common.save(least.groupBy("h", "v").agg(F.sort_array(F.collect_list("vec_id")).alias("ids")), "points")
-    norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")))
+    # vectors are scaled before they are squared, so that no finite number is too large
+    scale = float(points.agg(F.max(F.array_max(F.transform("v", F.abs))).alias("x")).first()["x"] or 1.0)
+    norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + (x / scale) * (x / scale)))
     row = points.agg(F.count("*").alias("n"), F.max(norm).alias("top")).first()
     shards = max(1, -(-row["n"] // shard))
-    dealt = points.select(F.pmod(F.xxhash64("h"), F.lit(shards)).cast("int").alias("shard"), "v", "ids", F.lit(float(row["top"] or 0.0)).alias("top"))
+    dealt = points.select(F.pmod(F.xxhash64("h"), F.lit(shards)).cast("int").alias("shard"), "v", "ids", F.lit(scale).alias("scale"), F.lit(float(row["top"] or 0.0)).alias("top"))
     return common.save(dealt.groupBy("shard").applyInArrow(_index, _INDEX_SQL), "index"), shards
 
 
 def search(index: DataFrame, shards: int, queries: DataFrame, k: int = 20, beam: int = BEAM) -> DataFrame:
     """(query_id, rank, vec_id, score): each query's k nearest, its own row left out. queries: vec_id, v."""
-    blocks = queries.distinct().withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(max(1, -(-queries.count() // BLOCK)))))
+    blocks = queries.distinct().withColumn("block", F.pmod(F.xxhash64("vec_id", "v"), F.lit(max(1, -(-queries.count() // BLOCK)))))
     blocks = blocks.groupBy("block").applyInArrow(_block, _INDEX_SQL)
     sent = blocks.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
     # a shard's graph first, then the blocks: the graph is held once and blocks stream past it
@@ -252,8 +266,8 @@ def search(index: DataFrame, shards: int, queries: DataFrame, k: int = 20, beam:
     return hits.withColumn("rank", rank.cast("int")).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
-def neighbours(rows: DataFrame, k: int = 20, every: int = 20) -> DataFrame:
+def neighbours(rows: DataFrame, k: int = 20, every: int = 20, shard: int = SHARD) -> DataFrame:
     """Queries: rows whose vec_id is divisible by ``every``; candidates: all rows."""
     vectors = common.save(usable(rows), "vectors")
-    index, shards = build_index(vectors, k)
+    index, shards = build_index(vectors, k, shard)
     return search(index, shards, vectors.where(F.col("vec_id") % every == 0), k)

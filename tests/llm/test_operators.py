@@ -136,6 +136,56 @@ def test_ann(spark):
     assert ann.neighbours(df.where("vec_id < 0")).count() == 0
 
 
+def _recall(rows, x, ids, every=20, k=20):
+    """Share of the true nearest that rows (query_id, rank, vec_id, score) hold; scores are checked."""
+    got, at = defaultdict(list), {v: n for n, v in enumerate(ids)}
+    for r in sorted(rows, key=lambda r: (r["query_id"], r["rank"])):
+        got[r["query_id"]].append((r["vec_id"], r["score"]))
+    hits, queries = 0, [v for v in ids if v % every == 0]
+    assert set(got) == set(queries)
+    for q in queries:
+        s = x @ x[at[q]]
+        true = [ids[n] for n in np.lexsort([ids, -s]) if ids[n] != q][:k]
+        assert len(got[q]) == len(true) and all(abs(s[at[v]] - y) <= 1e-9 * max(1, abs(y)) for v, y in got[q])
+        assert [y for _, y in got[q]] == sorted((y for _, y in got[q]), reverse=True)
+        hits += len({v for v, _ in got[q]} & set(true))
+    return hits / (k * len(queries))
+
+
+def test_ann_over_shards(spark):
+    """Recall against brute force over five shards, in double precision, of vectors in clusters and of unlike norms."""
+    rng = np.random.default_rng(12)
+    x = rng.normal(size=(40, 24))[rng.integers(0, 40, 4000)] + 0.3 * rng.normal(size=(4000, 24))
+    x *= rng.lognormal(0, 0.3, (4000, 1)) * 1e50
+    df = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "vec_id long, embedding array<double>")
+    rows = ann.neighbours(df, shard=800).collect()
+    scaled = [dict(r.asDict(), score=r["score"] / 1e100) for r in rows]
+    assert _recall(scaled, x / 1e50, list(range(4000))) >= 0.9
+
+
+def test_ann_on_the_test_table(spark):
+    import os
+
+    path = "/root/testdata/sf0.1/embeddings.parquet"
+    if not os.path.exists(path):
+        pytest.skip("no test data")
+    df = spark.read.parquet(path)
+    rows = df.select("vec_id", "embedding").orderBy("vec_id").collect()
+    x = np.array([r["embedding"] for r in rows], np.float64)
+    assert _recall(ann.neighbours(df, shard=400).collect(), x, [r["vec_id"] for r in rows]) >= 0.9
+
+
+def test_ann_exact_where_the_graph_ends():
+    """A point that no edge leads to is found all the same."""
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(60, 6))
+    lifted = ann._lift(x, float(np.linalg.norm(x, axis=1).max()))
+    nowhere = np.full((60, 4), -1, np.int64)
+    found = ann._points(x, lifted, nowhere, 0, x[:5], x[:5], 21)
+    for q in range(5):
+        assert set(found[q].tolist()) == set(np.argsort(-(x @ x[q]))[:21].tolist())
+
+
 def test_mix(docs, empty):
     size = {k: len(re.findall(r"[^\x20\x09-\x0D]+", t)) for k, t in texts(docs).items()}
     source = {r["doc_id"]: r["source"] for r in docs.collect()}
