@@ -6,16 +6,19 @@ threat) and a weight, and a document is scored by its matched clauses, not by is
 
 The insult transducer's arcs (words and word beginnings) and the weights of the output classes are
 learned from labels: from rows whose crc32(doc_id as text) mod 5 is not 0, at most ``max_train`` of them,
-taken by a hash of the id. Counting runs on the executors. A feature enters the lexicon by how many toxic
+taken by a hash of the id. That is the only bound: all words of those rows are counted, on the executors, and
+every one that three toxic documents hold and that is e^3 times as frequent in them may enter. A feature enters the lexicon by how many toxic
 documents it explains that few other entries explain already, so that words shared by copies of one
 document don't. Labels, language, source and id are no inputs of a score.
 
 Null and empty texts match nothing and get the score of a text without matches. Without labels of both
-classes the lexicon is empty and every score is the (smoothed) share of toxic labels.
+classes the lexicon is empty and every score is the (smoothed) share of toxic labels. Rows that repeat a doc_id or have
+none are scored, and rejected, by their own text. Columns but doc_id and text are ignored, and kept by ``reject``.
 """
 
 from __future__ import annotations
 
+import heapq
 import math
 import re
 from collections import Counter, defaultdict
@@ -64,8 +67,8 @@ THREAT = Transducer({(0, "W"): (1, 0.0), (1, "H"): (2, 0.0), (2, "T"): (3, 2.0)}
 AIM = Transducer({(0, "T"): (1, 0.0)}, frozenset({1}))
 #: A negation holds for the next three tokens up to an insult.
 NEGATE = Transducer({(0, "N"): (3, 0.0), **{(s, x): (s - 1, 0.0) for s in (1, 2, 3) for x in "oTWHRQ"}, **{(s, "N"): (3, 0.0) for s in (1, 2, 3)}, **{(s, "I"): (4, 0.0) for s in (1, 2, 3)}}, frozenset({4}))
-#: A reporting verb before the insult, or an insult inside quotation marks after one.
-REPORTED = Transducer({(0, "R"): (1, 0.0), (1, "I"): (2, 0.0)}, frozenset({2}))
+#: A reporting verb before the insult, or an insult between quotation marks.
+REPORTED = Transducer({(0, "R"): (1, 0.0), (1, "I"): (2, 0.0), (0, "Q"): (3, 0.0), (3, "Q"): (0, 0.0), (3, "R"): (1, 0.0), (3, "I"): (4, 0.0), (4, "Q"): (5, 0.0)}, frozenset({2, 5}))
 
 
 def clause_output(symbols: list[tuple[str, float]]) -> tuple[int, float]:
@@ -170,28 +173,25 @@ def _incidence(known: dict[str, int]):
 
 
 def choose_lexicon(rows: list[list[int]], names: list[str], weights: list[float], least: float = 3.0) -> dict[str, float]:
-    """Greedy multi-cover: each time the entry with the largest gain; a document's gain halves with each entry it has."""
+    """Greedy multi-cover: each time the entry with the largest gain (then the longest, then the last by name); a document's gain halves with each entry it has."""
     has = defaultdict(list)
     for d, fs in enumerate(rows):
         for f in fs:
             has[f].append(d)
     has = {f: np.array(d) for f, d in has.items()}
+    rank = {f: n for n, f in enumerate(sorted(has, key=lambda f: (len(names[f]), names[f])))}
     worth, out = np.ones(len(rows)), {}
-    gain = {f: float(len(d)) for f, d in has.items()}
-    while gain:
+    queue = [(-float(len(d)), -rank[f], f) for f, d in has.items()]
+    heapq.heapify(queue)
+    while queue and -queue[0][0] >= least:
         # gains only shrink: an old value is an upper bound
-        f = max(gain, key=lambda x: (gain[x], len(names[x]), names[x]))
+        old, place, f = heapq.heappop(queue)
         now = float(worth[has[f]].sum())
-        if now < least:
-            if gain.pop(f) < least:
-                break
-            continue
-        if now < gain[f] - 1e-9:
-            gain[f] = now
+        if now < -old - 1e-9:
+            heapq.heappush(queue, (-now, place, f))
             continue
         out[names[f]] = weights[f]
         worth[has[f]] /= 2
-        del gain[f]
     return out
 
 
@@ -239,7 +239,7 @@ def train(docs: DataFrame, labels: DataFrame, max_train: int = 20_000) -> dict:
         return {"lexicon": {}, "weights": [0.0] * len(CLASSES) + [math.log(base / (1 - base))]}
     counts = rows.mapInArrow(_count, "feature string, yes long, no long").groupBy("feature").agg(F.sum("yes").alias("yes"), F.sum("no").alias("no"))
     weight = F.log((F.col("yes") + 0.5) / (yes + 1)) - F.log((F.col("no") + 0.5) / (no + 1))
-    found = counts.where(F.col("yes") >= 3).withColumn("w", weight).where("w > 3").orderBy(F.desc(F.col("yes") * F.col("w")), "feature").limit(20_000).collect()
+    found = counts.where(F.col("yes") >= 3).withColumn("w", weight).where("w > 3").orderBy(F.desc(F.col("yes") * F.col("w")), "feature").collect()  # words of max_train rows
     names, weights = [r["feature"] for r in found], [float(r["w"]) for r in found]
     known = {x: k for k, x in enumerate(names)}
     incidence = [r["has"] for r in rows.where("toxic > 0").select("text").mapInArrow(_incidence(known), "has array<int>").collect()]
