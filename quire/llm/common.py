@@ -108,8 +108,9 @@ def text_hash(text: str = "text"):
 
 def among(docs: DataFrame, keys: DataFrame, how: str) -> DataFrame:
     """Rows of docs whose document is (how: left_semi) or is not (left_anti) in keys (a saved table: doc_id, raw). Null ids match each other."""
-    d = sized(keys.select(F.col("doc_id").alias("_key_id"), F.col("raw").alias("_key_raw")), 24)
-    return docs.join(d, docs["doc_id"].cast("long").eqNullSafe(d["_key_id"]) & (text_hash() == d["_key_raw"]), how)
+    i, h = fresh(docs, "key_id", "key_raw")
+    d = sized(keys.select(F.col("doc_id").alias(i), F.col("raw").alias(h)), 80)
+    return docs.join(d, docs["doc_id"].cast("long").eqNullSafe(d[i]) & (text_hash() == d[h]), how)
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:

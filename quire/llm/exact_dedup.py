@@ -8,8 +8,8 @@
 3. Only suspects' texts are looked up again and grouped by their bytes. The grouping combines on the map
    side, so a text crosses the shuffle at most once a map task.
 
-Rows that repeat a doc_id with an equal text are one document: one of them stays. Null text counts as
-empty; a null doc_id sorts after all others as keeper. Extra columns are ignored by ``duplicates`` and
+Of rows that repeat a doc_id with an equal text one stays: rows are known by their scan partition and place there. Null
+text counts as empty; a null doc_id sorts after all others as keeper. Extra columns are ignored by ``duplicates`` and
 kept by ``deduplicate``. An empty table gives an empty result.
 """
 
@@ -22,15 +22,15 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common
 
 SPACE = b" \t\n\x0b\x0c\r"
-_OUT = "kind int, part int, doc_id long, raw long, n_chars long, fp long, sha string, owner int, n long, blob binary"
+_OUT = "kind int, part int, row long, doc_id long, raw long, n_chars long, fp long, sha string, owner int, n long, blob binary"
 _ARROW = pa.schema(
-    [("kind", pa.int32()), ("part", pa.int32()), ("doc_id", pa.int64()), ("raw", pa.int64()), ("n_chars", pa.int64()), ("fp", pa.int64()), ("sha", pa.string()), ("owner", pa.int32()), ("n", pa.int64()), ("blob", pa.binary())]
+    [("kind", pa.int32()), ("part", pa.int32()), ("row", pa.int64()), ("doc_id", pa.int64()), ("raw", pa.int64()), ("n_chars", pa.int64()), ("fp", pa.int64()), ("sha", pa.string()), ("owner", pa.int32()), ("n", pa.int64()), ("blob", pa.binary())]
 )
 
 
@@ -68,7 +68,7 @@ def _fingerprints(owners: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        part, seen = TaskContext.get().partitionId(), []
+        part, seen, first = TaskContext.get().partitionId(), [], 0
         for b in batches:
             text = b.column(1)
             raw = [(t or b"").translate(None, SPACE) for t in text.cast(pa.binary()).to_pylist()]
@@ -77,9 +77,10 @@ def _fingerprints(owners: int):
             n = len(raw)
             nothing = {"owner": pa.nulls(n, pa.int32()), "n": pa.nulls(n, pa.int64()), "blob": pa.nulls(n, pa.binary())}
             yield pa.RecordBatch.from_pydict(
-                {"kind": np.zeros(n, np.int32), "part": np.full(n, part, np.int32), "doc_id": b.column(0), "raw": b.column(2), "n_chars": pc.fill_null(pc.utf8_length(text), 0).cast(pa.int64()), "fp": fps.view(np.int64), "sha": [hashlib.sha256(t).hexdigest() for t in raw]} | nothing,
+                {"kind": np.zeros(n, np.int32), "part": np.full(n, part, np.int32), "row": np.arange(first, first + n), "doc_id": b.column(0), "raw": b.column(2), "n_chars": pc.fill_null(pc.utf8_length(text), 0).cast(pa.int64()), "fp": fps.view(np.int64), "sha": [hashlib.sha256(t).hexdigest() for t in raw]} | nothing,
                 schema=_ARROW,
             )
+            first += n
         if not seen:
             return
         fps = np.unique(np.concatenate(seen))
@@ -104,7 +105,7 @@ def _answer(t: pa.Table) -> pa.Table:
     return pa.table({"part": parts, "owner": t.column("owner"), "bitmap": bits}, schema=_REPLY)
 
 
-_MARKED = pa.schema([("doc_id", pa.int64()), ("raw", pa.int64()), ("n_chars", pa.int64()), ("sha", pa.string()), ("suspect", pa.bool_())])
+_MARKED = pa.schema([("part", pa.int32()), ("row", pa.int64()), ("doc_id", pa.int64()), ("raw", pa.int64()), ("n_chars", pa.int64()), ("sha", pa.string()), ("suspect", pa.bool_())])
 
 
 def _mark(owners: int):
@@ -116,18 +117,15 @@ def _mark(owners: int):
         for o, bitmap in zip(replies.column("owner").to_pylist(), replies.column("bitmap").to_pylist(), strict=True):
             lo, hi = np.searchsorted(own, [o, o + 1])
             flag[lo:hi] |= np.unpackbits(np.frombuffer(bitmap, np.uint8), count=hi - lo).astype(bool)
-        return pa.table({"doc_id": rows.column("doc_id"), "raw": rows.column("raw"), "n_chars": rows.column("n_chars"), "sha": rows.column("sha"), "suspect": flag[at]}, schema=_MARKED)
+        return pa.table({c: rows.column(c) for c in ("part", "row", "doc_id", "raw", "n_chars", "sha")} | {"suspect": flag[at]}, schema=_MARKED)
 
     return run
 
 
 def _normalise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        text = b.column(1)
-        raw = [(t or b"").translate(None, SPACE) for t in text.cast(pa.binary()).to_pylist()]
-        yield pa.RecordBatch.from_arrays(
-            [b.column(0), pc.fill_null(pc.utf8_length(text), 0).cast(pa.int64()), pa.array(raw, pa.binary()), pa.array([hashlib.sha256(t).hexdigest() for t in raw])], ["doc_id", "n_chars", "norm", "sha"]
-        )
+        raw = [(t or b"").translate(None, SPACE) for t in b.column(0).cast(pa.binary()).to_pylist()]
+        yield pa.RecordBatch.from_arrays([pa.array(raw, pa.binary()), pa.array([hashlib.sha256(t).hexdigest() for t in raw])], ["norm", "sha"])
 
 
 def duplicates(docs: DataFrame) -> DataFrame:
@@ -142,28 +140,28 @@ def _judged(docs: DataFrame) -> DataFrame:
     sent = texts.withColumn("raw", common.text_hash())
     owners = max(8, texts.rdd.getNumPartitions())
     sent = common.save(sent.mapInArrow(_fingerprints(owners), _OUT), "fingerprints")
-    rows = sent.where("kind = 0").select("part", "doc_id", "raw", "n_chars", "fp", "sha")
+    rows = sent.where("kind = 0").select("part", "row", "doc_id", "raw", "n_chars", "fp", "sha")
     replies = sent.where("kind = 1").select("part", "owner", "n", "blob").groupBy("owner").applyInArrow(_answer, "part int, owner int, bitmap binary")
-    marked = common.save(rows.groupBy("part").cogroup(replies.groupBy("part")).applyInArrow(_mark(owners), "doc_id long, raw long, n_chars long, sha string, suspect boolean"), "marked")
+    marked = common.save(rows.groupBy("part").cogroup(replies.groupBy("part")).applyInArrow(_mark(owners), "part int, row long, doc_id long, raw long, n_chars long, sha string, suspect boolean"), "marked")
     common.discard(sent)
 
     ids = common.save(marked.where("suspect").select(F.col("doc_id").alias("s")).distinct(), "suspects")
-    wanted = common.sized(ids, 16)
-    again = texts.join(wanted, texts["doc_id"].eqNullSafe(wanted["s"]), "left_semi").mapInArrow(_normalise, "doc_id long, n_chars long, norm binary, sha string")
+    wanted = common.sized(ids, 64)
+    again = texts.join(wanted, texts["doc_id"].eqNullSafe(wanted["s"]), "left_semi").select("text").mapInArrow(_normalise, "norm binary, sha string")
     # one row a distinct text: the bytes themselves are the grouping key
-    classes = again.groupBy("norm", "sha").agg(F.count("*").alias("size"), F.min(F.struct((-F.col("n_chars")).alias("c"), F.col("doc_id").isNull().alias("z"), "doc_id")).alias("k"))
-    groups = classes.groupBy("sha").agg(F.count("*").alias("texts"), F.first("size").alias("size"), F.first("k.doc_id").alias("keep"))
-    groups = groups.select(F.col("sha").alias("g"), F.when(F.col("texts") > 1, F.raise_error(F.concat(F.lit("two texts share SHA-256 "), "sha"))).otherwise(F.col("size")).alias("size"), "keep")
-    groups = common.sized(common.save(groups, "groups"), 120)
-    w = Window.partitionBy("sha", "doc_id").orderBy(F.desc("n_chars"), "raw")
-    whole = marked.withColumn("turn", F.row_number().over(w)).join(groups, F.col("sha") == F.col("g"), "left")
+    twins = again.groupBy("norm", "sha").count().groupBy("sha").count().where("count > 1").limit(1).collect()
+    if twins:
+        raise ValueError(f"two texts share SHA-256 {twins[0]['sha']}")
+    first = F.min(F.struct((-F.col("n_chars")).alias("c"), F.col("doc_id").isNull().alias("z"), "doc_id", "part", "row")).alias("k")
+    groups = marked.where("suspect").groupBy("sha").agg(F.count("*").alias("size"), first).where("size > 1")
+    groups = common.sized(common.save(groups.select(F.col("sha").alias("g"), "size", F.col("k.doc_id").alias("keep"), F.col("k.part").alias("kp"), F.col("k.row").alias("kr")), "groups"), 256)
+    whole = marked.join(groups, F.col("sha") == F.col("g"), "left")
     alone = F.col("g").isNull()
-    keep = F.when(alone, F.col("doc_id")).otherwise(F.col("keep"))
     return whole.select(
         "doc_id",
-        keep.alias("keep_id"),
+        F.when(alone, F.col("doc_id")).otherwise(F.col("keep")).alias("keep_id"),
         F.when(alone, F.lit(1)).otherwise(F.col("size")).cast("long").alias("group_size"),
-        (F.col("doc_id").eqNullSafe(keep) & (F.col("turn") == 1)).alias("kept"),
+        (alone | ((F.col("part") == F.col("kp")) & (F.col("row") == F.col("kr")))).alias("kept"),
         F.col("sha").alias("text_sha256"),
         "raw",
     )
