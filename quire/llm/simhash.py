@@ -441,13 +441,15 @@ def set_fingerprints(docs: DataFrame, width: int, n_words: int) -> DataFrame:
 def fingerprint_components(docs: DataFrame, width: int = 3, radius: int = 3) -> DataFrame:
     """A row a document: doc_id, fingerprint (16 hex digits), component_id (the least doc_id reachable over links)."""
     fps = common.save(fingerprints(docs, width).select("doc_id", "w0"), "simhash")
-    nodes = common.save(fps.groupBy("w0").agg(F.min("doc_id").alias("least")), "nodes")
+    nodes = common.save(fps.groupBy("w0").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")), "nodes")
     roots = common.save(common.components(linked(nodes, radius)), "roots")
     led = roots.join(nodes, F.col("node") == F.col("w0")).groupBy("root").agg(F.min("least").alias("top"))
     named = roots.join(led.withColumnRenamed("root", "r"), F.col("root") == F.col("r")).select(F.col("node").alias("k"), "top")
-    ids = common.save(nodes.join(named, F.col("w0") == F.col("k"), "left").select(F.col("w0").alias("f"), F.coalesce("top", "least").alias("component_id")), "ids")
-    out = fps.join(common.sized(ids, 24), F.col("w0") == F.col("f"))
-    return out.select("doc_id", F.lower(F.lpad(F.hex("w0"), 16, "0")).alias("fingerprint"), "component_id")
+    # a fingerprint that one document has and no link needs no look-up: the document is its own component
+    ids = nodes.join(named, F.col("w0") == F.col("k"), "left").where("n > 1 or top is not null")
+    ids = common.save(ids.select(F.col("w0").alias("f"), F.coalesce("top", "least").alias("component_id"), F.lit(True).alias("shared")), "ids")
+    out = fps.join(common.sized(ids, 64), F.col("w0") == F.col("f"), "left")
+    return out.select("doc_id", F.lower(F.lpad(F.hex("w0"), 16, "0")).alias("fingerprint"), F.when(F.col("shared"), F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
 def _angle(similarity: float) -> float:

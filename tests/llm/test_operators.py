@@ -530,6 +530,85 @@ def test_toxicity(spark, docs, empty):
     assert none["lexicon"] == {} and toxicity.score(empty, none).count() == 0
 
 
+def test_toxicity_by_clause():
+    """The grammar's features against a reading of every clause, word by word."""
+    import random
+
+    rng = random.Random(5)
+    lexicon = {"moron": 2.0, "scum": 3.0, "idio*": 1.5, "so": 1.0}
+    words = ["moron", "scum", "idiotic", "not", "said", "you", "will", "kill", "the", "so", "some", "killer", '"', "«", "morons", "İ", "_scum", "um"]
+
+    def clause(tokens):
+        """Class and weight by the grammar's rules in words."""
+        weight = [2.0 if t == "moron" else 3.0 if t == "scum" else 1.5 if t.startswith("idio") and len(t) > 4 else 1.0 if t == "so" else 0.0 for t in tokens]
+        at = [k for k, w in enumerate(weight) if w]
+        total = sum(w if k == at[0] else w / 2 for k, w in enumerate(weight) if w)
+        stage = 0
+        for k, t in enumerate(tokens):
+            if not weight[k]:
+                stage += (stage, t) in ((0, "will"), (1, "kill"), (2, "you"))
+        if stage == 3:
+            return 4, 2.0 + total
+        if not at:
+            return 0, 0.0
+        kind = 1 if "you" in tokens else 0
+        since = None
+        for k, t in enumerate(tokens):
+            if weight[k] and since is not None and k - since <= 3:
+                kind = 2
+                break
+            if t == "not":
+                since = k
+        state = 0
+        for k, t in enumerate(tokens):
+            symbol = "I" if weight[k] else "R" if t == "said" else "Q" if t in '"«' else "o"
+            state = {(0, "R"): 1, (1, "I"): 2, (0, "Q"): 3, (3, "Q"): 0, (3, "R"): 1, (3, "I"): 4, (4, "Q"): 5}.get((state, symbol), state)
+        return (3 if state in (2, 5) else kind), total
+
+    g = toxicity.Grammar(lexicon)
+    for _ in range(2000):
+        clauses = [[rng.choice(words) for _ in range(rng.randrange(9))] for _ in range(rng.randrange(5))]
+        text = "".join(" ".join(c) + rng.choice(". ,") .strip() + rng.choice(".!?;:\n") for c in clauses)
+        want = [0.0] * 5
+        for part in re.split(r"[.!?;:\n]", text.lower()):
+            kind, weight = clause(re.findall(r"\w+|[\"“”„«»]", part))
+            want[kind] += weight
+        assert np.allclose(g.features(text), want), text
+
+
+def test_lexicon_is_greedy():
+    """The queue picks what a look at all gains picks."""
+    import random
+
+    rng = random.Random(6)
+    for _ in range(30):
+        names = ["".join(rng.choice("ab") for _ in range(rng.randrange(1, 6))) + str(k) for k in range(25)]
+        rows = [[f for f in range(25) if rng.random() < 0.15] for _ in range(40)]
+        worth, out, left = [1.0] * 40, [], set(range(25))
+        while True:
+            gain = {f: sum(worth[d] for d, r in enumerate(rows) if f in r) for f in left}
+            best = max(gain, key=lambda f: (round(gain[f], 9), len(names[f]), names[f]), default=None)
+            if best is None or gain[best] < 3:
+                break
+            out.append(names[best])
+            left.discard(best)
+            worth = [w / 2 if best in r else w for w, r in zip(worth, rows, strict=True)]
+        assert list(toxicity.choose_lexicon(rows, names, [1.0] * 25)) == out
+
+
+def test_toxicity_held_out(spark):
+    """Accuracy on labels that the training never saw."""
+    import os
+
+    path = "/root/testdata/sf0.1"
+    if not os.path.exists(path):
+        pytest.skip("no test data")
+    docs, labels = (spark.read.parquet(f"{path}/{n}.parquet") for n in ("documents", "labels"))
+    scored = toxicity.score(docs, toxicity.train(docs, labels)).where(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0)
+    row = scored.join(labels, "doc_id").agg(F.avg(((F.col("score") >= 0.5).cast("int") == F.col("toxic")).cast("int")).alias("right"), F.count("*").alias("n")).first()
+    assert row["n"] > 100 and row["right"] >= 0.97
+
+
 def test_pipeline(spark, tmp_path, docs):
     import corpus_pipeline
 
