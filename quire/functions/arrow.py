@@ -5,14 +5,16 @@ Result types are objects: this module is imported by workers, which have no sess
 
 from __future__ import annotations
 
-import html
+import re
 
 import pyarrow as pa
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
-from .codecs import HEADER, OK, Damaged, assemble_documents, assemble_text, page_spreads, read_flows, read_font, read_fragments, read_header, read_index, read_skeletons, toc_order
+from . import book
+from .codecs import HEADER, OK, Damaged, read_font, read_index
 
 
 def _struct(**fields: T.DataType) -> T.StructType:
@@ -33,47 +35,59 @@ def _each(kind: pa.DataType, run, *columns: pa.Array) -> pa.Array:
     return pa.array(rows, kind)
 
 
-def _typed(kind: T.DataType) -> pa.DataType:
-    return to_arrow_type(kind)
-
-
 _HEADER = _struct(**{name: T.LongType() for name, *_ in HEADER}, edge=T.LongType(), title=T.BinaryType(), exth=T.ArrayType(T.StructType([T.StructField("type", T.LongType()), T.StructField("data", T.BinaryType())])))
-_FLOW = T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())])
-_FRAG = T.StructType([T.StructField(n, T.BinaryType() if n == "selector" else T.LongType()) for n in ("insert_offset", "selector", "file_num", "seq", "offset", "length")])
-_DOC = T.StructType([T.StructField("content", T.BinaryType()), T.StructField("linear", T.BooleanType()), *(T.StructField(n, T.LongType()) for n in ("offset", "first_frag", "end_frag"))])
-_BODY = _struct(raw=T.BinaryType(), flows=T.ArrayType(_FLOW), docs=T.ArrayType(_DOC), frags=T.ArrayType(_FRAG))
+_LONGS = lambda *names: [T.StructField(n, T.LongType()) for n in names]
+_DOC = T.StructType([T.StructField("content", T.BinaryType()), T.StructField("linear", T.BooleanType()), *_LONGS("offset", "first_frag", "end_frag")])
+_SECTION = T.StructType(_LONGS("start", "end"))
+_FLOW = T.StructType([*_LONGS("start", "end"), T.StructField("content", T.BinaryType())])
+_PLACE = T.StructType(_LONGS("fid", "section", "at", "length", "size"))
+_TOC = T.StructType([*(T.StructField(n, T.IntegerType()) for n in ("node", "parent", "depth", "preorder")), T.StructField("label", T.BinaryType()), *_LONGS("start_byte", "length", "fid", "off", "section", "section_offset")])
+_GUIDE = T.StructType([T.StructField("label", T.BinaryType()), T.StructField("type", T.BinaryType()), T.StructField("href", T.StringType()), *_LONGS("filepos")])
 _INDEX = _struct(codepage=T.LongType(), entries=T.ArrayType(_ENTRY), phrases=T.MapType(T.LongType(), T.BinaryType()))
-
-
-@F.arrow_udf(_HEADER)
-def header_of(record: pa.Array) -> pa.Array:
-    """The header chain of record 0; a null record has a null status."""
-
-    def run(r):
-        if r is None:
-            return {"status": None}
-        out = read_header(r)
-        return out | {"exth": None if out["exth"] is None else [{"type": t, "data": d} for t, d in out["exth"]]}
-
-    return _each(_typed(_HEADER), run, record)
-
-
-@F.arrow_udf(_BODY)
-def body_of(head: pa.Array, records: pa.Array, tables: pa.Array, tables_status: pa.Array, flow_table: pa.Array, skeletons: pa.Array, fragments: pa.Array) -> pa.Array:
-    """A half's text and, of format 8, its flows, documents and fragments: all or the first stage's damage."""
-
-    def run(h, recs, tabs, tabs_status, flow_record, skel, frag):
-        if h is None:
-            return {"status": None}
-        raw = assemble_text(recs, tabs or [], tabs_status, h["compression"], h["version"], h["flags"])
-        if h["version"] < 8:
-            return {"raw": raw}
-        flows = read_flows(flow_record, h["fdst"] >= 0, len(raw))
-        skels, frags = read_skeletons(skel), read_fragments(frag)
-        docs = assemble_documents(raw, flows[0][0], skels, frags)
-        return {"raw": raw, "flows": [{"start": a, "end": b} for a, b in flows], "docs": docs, "frags": frags}
-
-    return _each(_typed(_BODY), run, head, records, tables, tables_status, flow_table, skeletons, fragments)
+#: Columns that each part of a book adds to a half's row.
+_PARTS = {
+    "status": [],
+    "raw": [T.StructField("raw", T.BinaryType())],
+    "sections": [T.StructField("sections", T.ArrayType(_SECTION))],
+    "flows": [T.StructField("flows", T.ArrayType(_FLOW))],
+    "docs": [T.StructField("docs", T.ArrayType(_DOC))],
+    "places": [T.StructField("places", T.ArrayType(_PLACE))],
+    "toc": [T.StructField("toc_status", T.StringType()), T.StructField("toc", T.ArrayType(_TOC))],
+    "guide": [T.StructField("guide_status", T.StringType()), T.StructField("guide", T.ArrayType(_GUIDE))],
+}
+_HALF = [
+    T.StructField("half", T.StringType()), T.StructField("status", T.StringType()), T.StructField("is_kf8", T.BooleanType()), T.StructField("has_mobi6_half", T.BooleanType()), T.StructField("name", T.BinaryType()), T.StructField("num_records", T.IntegerType()),
+    T.StructField("offsets", T.ArrayType(T.LongType())), T.StructField("h", T.StructType([f for f in _HEADER if f.name != "status"])), *_LONGS("start", "boundary", "m6_end"), T.StructField("num_resources", T.IntegerType()), T.StructField("spreads", T.MapType(T.IntegerType(), T.StringType())), *_LONGS("flow_count"),
+]
+
+
+def halves_of(content: Column, parts: frozenset, tag: bytes = book.PAGEBREAK) -> Column:
+    """Array of the halves of a book file (its bytes), with those parts of them (see book.PARTS) that are asked for."""
+    kind = T.ArrayType(T.StructType([*_HALF, *(f for p in book.PARTS if p in parts for f in _PARTS[p])]))
+
+    @F.arrow_udf(kind)
+    def run(files: pa.Array) -> pa.Array:
+        pattern, typed = re.compile(tag), to_arrow_type(kind)
+        rows = []
+        for x in files:
+            found = book.halves(x.as_py(), parts, pattern)
+            for half in found:
+                half["h"] = _plain(half.get("h"))
+                half["spreads"] = _pairs(half.get("spreads"))
+            rows.append(pa.array([found], typed))
+        return pa.concat_arrays(rows) if rows else pa.array([], typed)
+
+    return run(content)
+
+
+def _plain(header: dict | None) -> dict | None:
+    if header is None or header["exth"] is None or header["exth"] and isinstance(header["exth"][0], dict):
+        return header
+    return header | {"exth": [{"type": t, "data": d} for t, d in header["exth"]]}
+
+
+def _pairs(spreads: dict | None) -> list | None:
+    return None if spreads is None else list(spreads.items())
 
 
 @F.arrow_udf(_INDEX)
@@ -84,33 +98,26 @@ def index_of(records: pa.Array) -> pa.Array:
         codepage, entries, phrases = read_index(r)
         return {"codepage": codepage, "entries": [{"name": n, "values": list(v.items())} for n, v in entries], "phrases": list(phrases.items())}
 
-    return _each(_typed(_INDEX), run, records)
+    return _each(to_arrow_type(_INDEX), run, records)
 
 
-@F.arrow_udf(T.ArrayType(T.StructType([T.StructField(n, T.IntegerType()) for n in ("node", "parent", "depth")])))
-def toc_tree(nodes: pa.Array) -> pa.Array:
-    kind = pa.list_(pa.struct([("node", pa.int32()), ("parent", pa.int32()), ("depth", pa.int32())]))
-    return pa.array([None if x is None else [dict(zip(("node", "parent", "depth"), t, strict=True)) for t in toc_order(x)] for x in nodes.to_pylist()], kind)
+@F.arrow_udf(T.ArrayType(T.BinaryType()))
+def unescaped_all(texts: pa.Array) -> pa.Array:
+    """HTML character references replaced in UTF-8; bytes that are no UTF-8 stay."""
+    return pa.array([None if x is None else [book.unescaped(t) for t in x] for x in texts.to_pylist()], pa.list_(pa.binary()))
 
 
-@F.arrow_udf(T.StringType())
-def unescaped(text: pa.Array) -> pa.Array:
-    """HTML character references replaced; bytes that are no UTF-8 become replacement characters."""
-    raw = text.cast(pa.binary()).to_pylist()
-    return pa.array([None if x is None else html.unescape(x.decode("utf-8", "replace")) if b"&" in x else x.decode("utf-8", "replace") for x in raw], pa.string())
+def section_ranges(raw: Column, tag: bytes = book.PAGEBREAK) -> Column:
+    """Array of struct(start, end): gapless; a tag belongs to the section that it begins; the first starts at 0."""
 
+    @F.arrow_udf(T.ArrayType(_SECTION))
+    def run(texts: pa.Array) -> pa.Array:
+        pattern = re.compile(tag)
+        return pa.array([None if x is None else [{"start": a, "end": b} for a, b in book.section_ends(x, pattern)] for x in texts.to_pylist()], pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))
 
-@F.arrow_udf(T.ArrayType(T.StringType()))
-def unescaped_all(texts: pa.Array) -> pa.Array:
-    lists = texts.cast(pa.list_(pa.binary())).to_pylist()
-    return pa.array([None if x is None else [html.unescape(t.decode("utf-8", "replace")) for t in x] for x in lists], pa.list_(pa.string()))
+    return run(raw)
 
 
 @F.arrow_udf(_struct(data=T.BinaryType()))
 def font_of(record: pa.Array) -> pa.Array:
     return _each(pa.struct([("status", pa.string()), ("data", pa.binary())]), lambda r: {"data": None if r is None else read_font(r)}, record)
-
-
-@F.arrow_udf(T.MapType(T.IntegerType(), T.StringType()))
-def spreads_of(record: pa.Array) -> pa.Array:
-    return pa.array([None if x is None else list(page_spreads(x).items()) for x in record.to_pylist()], pa.map_(pa.int32(), pa.string()))

@@ -163,31 +163,34 @@ _RUN = re.compile(rb"[\x00\x09-\x7f]+")
 
 
 def unpack_palmdoc(data: bytes) -> bytes:
-    out, at, end = bytearray(), 0, len(data)
+    out, at, end, run = bytearray(), 0, len(data), _RUN.match
     while at < end:
-        if m := _RUN.match(data, at):
-            out += m[0]
-            at = m.end()
-            continue
         op = data[at]
-        if op < 9:
-            if at + 1 + op > end:
-                raise Damaged
-            out += data[at + 1 : at + 1 + op]
-            at += 1 + op
+        if 9 <= op < 0x80 or not op:
+            stop = run(data, at).end()
+            out += data[at:stop]
+            at = stop
         elif op >= 0xC0:
-            out += bytes((0x20, op ^ 0x80))
+            out += b" "
+            out.append(op ^ 0x80)
             at += 1
-        else:
+        elif op >= 0x80:
             if at + 2 > end:
                 raise Damaged
             pair = (op << 8 | data[at + 1]) & 0x3FFF
             back, length = pair >> 3, (pair & 7) + 3
-            if not 0 < back <= len(out):
+            first = len(out) - back
+            if not back or first < 0:
                 raise Damaged
-            seen = bytes(out[-back:])
-            out += (seen * (length // back + 1))[:length]
+            # a copy that reaches itself repeats its beginning
+            out += out[first : first + length] if back >= length else (out[first:] * (length // back + 1))[:length]
             at += 2
+        else:
+            at += 1
+            if at + op > end:
+                raise Damaged
+            out += data[at : at + op]
+            at += op
     return bytes(out)
 
 
@@ -445,25 +448,35 @@ def assemble_documents(raw: bytes, base: int, skeletons: list[dict], fragments:
         payload = at + s["length"]
         if payload > len(raw) or row + s["num_frag"] > len(fragments):
             raise Damaged
-        pieces, size = [raw[at:payload]], s["length"]
+        document = _Pieces(raw[at:payload])
         for f in fragments[row : row + s["num_frag"]]:
             place = f["insert_offset"] - at
-            if f["length"] < 0 or payload + f["length"] > len(raw) or not 0 <= place <= size:
+            if f["length"] < 0 or payload + f["length"] > len(raw) or not 0 <= place <= document.size:
                 raise Damaged
-            _insert(pieces, place, raw[payload : payload + f["length"]])
+            document.insert(place, raw[payload : payload + f["length"]])
             payload += f["length"]
-            size += f["length"]
-        docs.append({"content": b"".join(pieces), "linear": s["num_frag"] > 0, "offset": s["offset"], "first_frag": row, "end_frag": row + s["num_frag"]})
+        docs.append({"content": b"".join(document.pieces), "linear": s["num_frag"] > 0, "offset": s["offset"], "first_frag": row, "end_frag": row + s["num_frag"]})
         row += s["num_frag"]
     return docs
 
 
-def _insert(pieces: list[bytes], place: int, data: bytes) -> None:
-    for k, p in enumerate(pieces):
-        if place <= len(p):
-            pieces[k : k + 1] = [x for x in (p[:place], data, p[place:]) if x] or [b""]
-            return
-        place -= len(p)
+class _Pieces:
+    """Bytes into which others are put. The search for a place starts at the last one, as fragments mostly follow each other."""
+
+    def __init__(self, data: bytes):
+        self.pieces, self.size, self.turn, self.start = [data], len(data), 0, 0
+
+    def insert(self, place: int, data: bytes) -> None:
+        k, at = self.turn, self.start
+        while place < at:
+            k -= 1
+            at -= len(self.pieces[k])
+        while place > at + len(self.pieces[k]):
+            at += len(self.pieces[k])
+            k += 1
+        p = self.pieces[k]
+        self.pieces[k : k + 1] = [x for x in (p[: place - at], data, p[place - at :]) if x] or [b""]
+        self.turn, self.start, self.size = k, at, self.size + len(data)
 
 
 def toc_order(nodes: list[dict]) -> list[tuple[int, int, int]]:

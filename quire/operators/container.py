@@ -1,4 +1,4 @@
-"""Palm-database containers: validation, records, halves. Containers are checked natively; only record 0 goes to Python.
+"""Palm-database containers: validation and records, natively, for tables of records. Books are opened by ``functions.book``.
 
 A container is one row; ``status`` names the first rule that it breaks, in the order in which the format's readers
 check them, so a damaged file always reports the same reason.
@@ -9,7 +9,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quire.functions.arrow import header_of
 from quire.functions.columns import ascii_bytes, latin, magic, part, unlatin, unsigned
 
 TABLE, ENTRY = 78, 8
@@ -78,31 +77,3 @@ def number_of(exth: Column, kind: int) -> Column:
     """Last value of a type as an unsigned number, if it has four, two or one bytes."""
     data = last_of(exth, kind)
     return F.when(F.octet_length(data).isin(1, 2, 4), F.conv(F.hex(data), 16, 10).cast("long"))
-
-
-def halves(files: DataFrame) -> DataFrame:
-    """A row a half: path, half, status, content, offsets, num_records, name, h (header), start, boundary, m6_end.
-
-    ``main`` is the half that a book opens as: of a combined file that is the Kindle Format 8 half, which then shares the
-    other half's images; ``mobi6`` is the other. A file that is refused has one row, with the reason.
-    """
-    t = containers(files).withColumn("_h0", header_of(F.when(F.col("status") == "OK", record(F.lit(0)))))
-    t = t.withColumn("_edge", F.col("_h0.edge"))
-    t = t.withColumn("_h1", header_of(F.when(F.col("_edge").isNotNull(), record(F.col("_edge")))))
-    status = (
-        F.when(F.col("status") != "OK", F.col("status"))
-        .when(F.col("_h0.status") != "OK", F.col("_h0.status"))
-        .when(F.col("_edge").isNotNull() & F.col("_h1.status").isNull(), "RecordRange")
-        .when(F.col("_h1.status") != "OK", F.col("_h1.status"))
-        .when(F.col("_edge").isNotNull() & (F.col("_h1.version") < 8), "Corrupt")
-        .otherwise("OK")
-    )
-    shared = F.col("_h1").withField("first_image", F.when(F.col("_h0.first_image") >= 0, F.col("_h0.first_image")).otherwise(F.col("_h1.first_image")))
-    combo = F.col("_edge").isNotNull() & (F.col("status") == "OK")
-    t = t.withColumn("status", status)
-    zero, none = F.lit(0).cast("long"), F.lit(-1).cast("long")
-    main = F.struct(F.lit("main").alias("half"), F.when(combo, shared).otherwise(F.col("_h0")).alias("h"), F.when(combo, F.col("_edge")).otherwise(zero).alias("start"), F.when(combo, F.col("_edge")).otherwise(none).alias("boundary"), none.alias("m6_end"))
-    other = F.struct(F.lit("mobi6").alias("half"), F.col("_h0").alias("h"), zero.alias("start"), none.alias("boundary"), (F.col("_edge") - 1).alias("m6_end"))
-    t = t.withColumn("_half", F.explode(F.when(combo, F.array(main, other)).otherwise(F.array(main))))
-    keep = [c for c in t.columns if c not in ("_h0", "_h1", "_edge", "_half")]
-    return t.select(*keep, "_half.*")

@@ -2,46 +2,32 @@
 
 from __future__ import annotations
 
-from functools import cached_property
-
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.functions.arrow import body_of
-from quire.functions.columns import decoded
+from quire.functions.arrow import halves_of
+from quire.functions.book import PAGEBREAK, PARTS
+from quire.functions.columns import decoded, part
 from quire.functions.uri import parse_uri
 from quire.sources.files import read_files, tune
 
 from . import container, kf8, metadata, resources, text, toc
-from .index import index_records
 
 
-def open_books(files: DataFrame) -> DataFrame:
-    """A row a half of each file (path, content): path, half, status, is_kf8, has_mobi6_half, h, raw, flows, docs, frags, ...
+def open_books(files: DataFrame, parts: tuple[str, ...] = PARTS, tag: bytes = PAGEBREAK) -> DataFrame:
+    """A row a half of each file (path, content): files' columns, half, status, is_kf8, has_mobi6_half, h, ..., and the parts asked for.
 
-    One narrow pipeline: nothing is shuffled. A file is opened whole or refused whole: its status is that of the
-    first stage that fails. Records are cut natively, and only those of text and structure go to the decoders.
+    One pass of one Arrow function; nothing is shuffled. A file is opened whole or refused whole: its status is that of the
+    first stage that fails. Without parts only headers are read, and damage behind them doesn't show.
     """
-    t = open_headers(files)
-    h = lambda name: F.col(f"h.{name}")
-    good = F.col("status") == "OK"
-    recs = container.record_run(F.col("start") + 1, h("text_records"))
-    first = F.col("start") + h("huffcdic")
-    packed = h("compression") == 17480
-    tables_status = F.when((h("huffcdic") < 0) | (h("num_huffcdic") < 1), "Corrupt").when(first + h("num_huffcdic") > F.col("num_records"), "RecordRange").otherwise("OK")
-    tables = F.when(packed & (tables_status == "OK"), container.record_run(first, h("num_huffcdic")))
-    on = lambda c: F.when(F.col("is_kf8"), c)
-    head = F.when(good, F.struct(*(h(n).alias(n) for n in ("compression", "version", "flags", "fdst"))))
-    flow_table = on(container.record(F.when(h("fdst") >= 0, F.col("start") + h("fdst"))))
-    t = t.withColumn("_b", body_of(head, recs, tables, tables_status, flow_table, on(index_records(h("skel"))), on(index_records(h("frag")))))
-    t = t.withColumns({"status": F.when(good, F.col("_b.status")).otherwise(F.col("status")), "raw": F.col("_b.raw"), "flows": F.col("_b.flows"), "docs": F.col("_b.docs"), "frags": F.col("_b.frags")})
-    return resources.with_resources(t.withColumn("flow_base", F.get("flows", F.lit(0))["start"]).drop("_b"))
+    t = files.withColumn("_b", F.explode(halves_of(F.col("content"), frozenset(parts), tag)))
+    return t.select(*files.columns, "_b.*")
 
 
 def open_headers(files: DataFrame) -> DataFrame:
-    """As open_books, of the header alone: for metadata over many files. Damage behind the header doesn't show."""
-    t = container.halves(files)
-    return t.withColumn("is_kf8", F.coalesce(F.col("h.version") >= 8, F.lit(False))).withColumn("has_mobi6_half", F.col("boundary") >= 0)
+    """As open_books, of the headers alone: for metadata over many files."""
+    return open_books(files, ())
 
 
 class Refused(ValueError):
@@ -49,14 +35,17 @@ class Refused(ValueError):
 
 
 class Library:
-    """``Library.open(spark, path)`` or ``Library(files)``; mode PERMISSIVE keeps refused files as rows with a status, FAILFAST raises."""
+    """``Library.open(spark, path)`` or ``Library(files)``; mode PERMISSIVE keeps refused files as rows with a status, FAILFAST raises.
+
+    Each table opens the files anew and decodes no more than it needs; after ``keep()`` all of them share one opening.
+    """
 
     VIEWS = ("status", "records", "exth", "metadata", "raw_text", "sections", "filepos", "toc", "guide", "resources", "cover", "kf8_sections", "flows")
 
     def __init__(self, files: DataFrame, mode: str = "PERMISSIVE"):
         if mode not in ("PERMISSIVE", "FAILFAST"):
             raise ValueError(f"mode {mode}")
-        self.files, self.mode = files, mode
+        self.files, self.mode, self._kept, self._checked = files, mode, None, False
         tune(files.sparkSession)
 
     @classmethod
@@ -67,20 +56,42 @@ class Library:
     def from_bytes(cls, spark: SparkSession, books: dict[str, bytes], mode: str = "PERMISSIVE") -> Library:
         return cls(spark.createDataFrame([(k, bytearray(v)) for k, v in books.items()], "path string, content binary"), mode)
 
-    @cached_property
+    def keep(self) -> Library:
+        """Opens the books once for all tables, and holds them (on disk where memory is short) until release()."""
+        if self._kept is None:
+            self._kept = self._opened(PARTS).persist(StorageLevel.MEMORY_AND_DISK)
+        return self
+
+    def release(self) -> None:
+        if self._kept is not None:
+            self._kept.unpersist()
+            self._kept = None
+
+    def _opened(self, parts: tuple[str, ...]) -> DataFrame:
+        if self._kept is not None:
+            return self._kept
+        if self.mode == "FAILFAST" and not self._checked:
+            if bad := open_books(self.files, ("status",)).where("status <> 'OK'").select("path", "status").first():
+                raise Refused(f"{bad['path']}: {bad['status']}")
+            self._checked = True
+        return open_books(self.files, parts)
+
+    @property
     def books(self) -> DataFrame:
-        out = open_books(self.files)
-        if self.mode == "FAILFAST" and (bad := out.where("status <> 'OK'").select("path", "status").first()):
-            raise Refused(f"{bad['path']}: {bad['status']}")
-        return out
+        return self._opened(PARTS)
 
     @property
     def headers(self) -> DataFrame:
-        return open_headers(self.files)
+        return self._kept if self._kept is not None else open_headers(self.files)
 
     @property
     def status(self) -> DataFrame:
-        return self.books.select("path", "half", "status", "is_kf8", "has_mobi6_half", "num_resources")
+        return self._opened(("status",)).select("path", "half", "status", "is_kf8", "has_mobi6_half", "num_resources")
+
+    @property
+    def names(self) -> DataFrame:
+        """path, name (bytes): the container's own name, also of files that are refused later."""
+        return container.containers(self.files).select("path", "name")
 
     @property
     def records(self) -> DataFrame:
@@ -97,48 +108,56 @@ class Library:
     @property
     def raw_text(self) -> DataFrame:
         """path, half, raw (bytes), text: halves before format 8."""
-        t = self.books.where("status = 'OK' and not is_kf8")
+        t = self._opened(("raw",)).where("status = 'OK' and not is_kf8")
         return t.select("path", "half", "raw", decoded(F.col("raw"), F.col("h.codepage")).alias("text"))
 
     @property
     def sections(self) -> DataFrame:
         """path, half, ord, start, end, text: sections of any half; of format 8 each is a document of its own and starts at 0."""
-        old = text.text_sections(self.books).withColumn("text", text.load(F.col("content"), F.col("codepage"))).select("path", "half", "ord", "start", "end", "text")
-        new = kf8.kf8_sections(self.books).select("path", "half", "ord", F.lit(0).cast("long").alias("start"), F.col("size_bytes").alias("end"), F.col("xhtml").alias("text"))
-        return old.unionByName(new)
+        none = F.lit(0).cast("long")
+        old = F.transform("sections", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), part(F.col("raw"), s["start"], s["end"] - s["start"]).alias("content")))
+        new = F.transform("docs", lambda d: F.struct(none.alias("start"), F.octet_length(d["content"]).cast("long").alias("end"), d["content"].alias("content")))
+        t = self._opened(("raw", "sections", "docs")).where("status = 'OK'")
+        t = t.select("path", "half", F.col("h.codepage").alias("_c"), F.posexplode(F.when(F.col("is_kf8"), new).otherwise(old)).alias("ord", "s"))
+        return t.select("path", "half", "ord", "s.start", "s.end", decoded(F.col("s.content"), F.col("_c")).alias("text"))
 
     @property
     def filepos(self) -> DataFrame:
-        t = self.books.where("status = 'OK' and not is_kf8")
+        t = self._opened(("raw",)).where("status = 'OK' and not is_kf8")
         return t.select("path", "half", F.explode(text.filepos_targets(F.col("raw"))).alias("filepos"))
 
     @property
     def toc(self) -> DataFrame:
-        return toc.toc(self.books)
+        return toc.toc(self._opened(("toc",)))
 
     @property
     def guide(self) -> DataFrame:
-        return toc.guide(self.books)
+        return toc.guide(self._opened(("guide",)))
 
     @property
     def resources(self) -> DataFrame:
-        return resources.resources(self.books)
+        return resources.resources(self._opened(("status",)))
 
     @property
     def cover(self) -> DataFrame:
-        return resources.covers(self.books)
+        return resources.covers(self._opened(("status",)))
 
     @property
     def kf8_sections(self) -> DataFrame:
-        return kf8.kf8_sections(self.books)
+        return kf8.kf8_sections(self._opened(("docs",)))
 
     @property
     def flows(self) -> DataFrame:
-        return kf8.flows(self.books)
+        return kf8.flows(self._opened(("flows",)))
 
     def resolve_uris(self, uris: DataFrame) -> DataFrame:
         """uris (path, uri) with status, kind, flow, embed, fid, off, section, offset, mime, against each path's main half."""
-        return resolve_uris(self.books, uris)
+        return resolve_uris(self._opened(("places",)), uris)
+
+    @property
+    def num_resources(self) -> DataFrame:
+        """path, half, num_resources."""
+        return self.status.where("status = 'OK'").select("path", "half", "num_resources")
 
     def resolve_recindex(self, references: DataFrame) -> DataFrame:
         """references (path, recindex) with the resource; numbers count from 1, and those out of range have RecordRange."""
@@ -152,14 +171,14 @@ class Library:
 
 
 def resolve_uris(books: DataFrame, uris: DataFrame) -> DataFrame:
-    b = books.where("half = 'main' and status = 'OK'").select(F.col("path").alias("_p"), "is_kf8", "flows", "docs", "frags", "flow_base", "num_resources")
+    b = books.where("half = 'main' and status = 'OK'").select(F.col("path").alias("_p"), "is_kf8", "flow_count", "places", "num_resources")
     t = uris.join(b, uris["path"] == F.col("_p")).withColumn("u", parse_uri(F.col("uri")))
     t = t.withColumn("at", F.when(F.col("is_kf8") & (F.col("u.kind") == "pos"), kf8.locate(F.col("u.fid"), F.col("u.off"))))
     u = lambda name: F.col(f"u.{name}")
     status = (
         F.when(~F.col("is_kf8"), "Corrupt")
         .when(u("status") != "OK", u("status"))
-        .when((u("kind") == "flow") & (u("flow") >= F.size("flows")), "RecordRange")
+        .when((u("kind") == "flow") & (u("flow") >= F.col("flow_count")), "RecordRange")
         .when((u("kind") == "embed") & ((u("embed") < 1) | (u("embed") > F.col("num_resources"))), "RecordRange")
         .when((u("kind") == "pos") & F.col("at").isNull(), "Corrupt")
         .otherwise("OK")

@@ -5,33 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quire.functions.arrow import font_of, spreads_of
+from quire.functions.arrow import font_of
 from quire.functions.columns import ABSENT, ascii_bytes, magic, part
 
 from .container import number_of, record
 
 
-def resource_end(book: DataFrame) -> DataFrame:
-    """book with _end, the first record after the run of resources: the contents index if it lies in the run, else the first index record, else the half's end."""
-    first = F.col("h.first_image")
-    end = F.least(F.col("num_records").cast("long"), F.when(F.col("boundary") >= 0, F.col("boundary") - 1), F.when(F.col("m6_end") > 0, F.col("m6_end")))
-    t = book.withColumn("_last", end)
-    indx = F.when(F.col("h.indx") >= 0, F.col("start") + F.col("h.indx"))
-    probe = F.filter(F.when((first >= 0) & (first < F.col("_last")), F.sequence(first, F.col("_last") - 1)), lambda i: magic(record(i)) == ascii_bytes("INDX"))
-    found = F.when((indx > first) & (indx < F.col("_last")), indx).otherwise(F.coalesce(F.get(probe, F.lit(0)), F.col("_last")))
-    return t.withColumn("_end", found).drop("_last")
-
-
-def with_resources(books: DataFrame) -> DataFrame:
-    """books with num_resources and spreads (section to page side)."""
-    t = resource_end(books)
-    first = F.col("h.first_image")
-    t = t.withColumn("num_resources", F.when(first < 0, 0).otherwise(F.greatest(F.col("_end") - first, F.lit(0))).cast("int"))
-    run = F.when(F.col("is_kf8") & (F.col("num_resources") > 0), F.sequence(first, F.col("_end") - 1))
-    spine = F.get(F.filter(run, lambda i: magic(record(i)) == ascii_bytes("RESC")), F.lit(0))
-    return t.withColumn("spreads", spreads_of(F.when(spine.isNotNull(), record(spine)))).drop("_end")
-
-
 def image_type(data: Column) -> Column:
     """MIME type by the first bytes."""
     starts = lambda head: F.startswith(data, F.lit(head))

@@ -5,25 +5,22 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quire.functions.arrow import section_ranges
+from quire.functions.book import PAGEBREAK
 from quire.functions.columns import decoded, latin, part
 
-PAGEBREAK = r"(?i)<[\t\n\f\r ]*(?:mbp:)?pagebreak[^>]*>"
+#: Fixed by the format: links to byte positions; of several in a tag the last counts.
 _FILEPOS = r"(?i)<[^<>]+filepos=['\"]?([0-9]+)[^<>]*>"
-#: A character that no byte decodes to, so it can mark cuts.
-_MARK = "\ue000"
 
 
-def cut_sections(raw: Column, tag: str = PAGEBREAK) -> Column:
+def cut_sections(raw: Column, tag: bytes = PAGEBREAK) -> Column:
     """Array of struct(start, end): gapless; a tag belongs to the section that it begins; the first starts at 0."""
-    pieces = F.split(F.regexp_replace(latin(raw), f"({tag})", f"{_MARK}$1"), _MARK, -1)
-    ends = F.aggregate(pieces, F.array().cast("array<bigint>"), lambda acc, p: F.concat(acc, F.array(F.coalesce(F.try_element_at(acc, F.lit(-1)), F.lit(0).cast("bigint")) + F.length(p))))
-    return F.transform(ends, lambda e, i: F.struct(F.when(i == 0, 0).otherwise(F.get(ends, i - 1)).cast("long").alias("start"), e.alias("end")))
+    return section_ranges(raw, tag)
 
 
-def text_sections(books: DataFrame, tag: str = PAGEBREAK) -> DataFrame:
-    """path, half, ord, start, end, content (bytes), codepage: sections of the halves before format 8."""
-    t = books.where("status = 'OK' and not is_kf8").withColumn("_s", cut_sections(F.col("raw"), tag))
-    t = t.select("path", "half", "raw", F.col("h.codepage").alias("codepage"), F.posexplode("_s").alias("ord", "s"))
+def text_sections(books: DataFrame) -> DataFrame:
+    """path, half, ord, start, end, content (bytes), codepage: sections of the halves before format 8 (books opened with parts raw and sections)."""
+    t = books.where("status = 'OK' and not is_kf8").select("path", "half", "raw", F.col("h.codepage").alias("codepage"), F.posexplode("sections").alias("ord", "s"))
     return t.select("path", "half", "ord", "s.start", "s.end", part(F.col("raw"), F.col("s.start"), F.col("s.end") - F.col("s.start")).alias("content"), "codepage")
 
 

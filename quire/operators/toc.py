@@ -2,130 +2,27 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.functions.arrow import toc_tree, unescaped
-from quire.functions.columns import decoded, latin, unlatin
-from quire.functions.uri import place_uri
-
-from .index import phrase, value, with_index
-from .kf8 import locate
-
-_WS = r"[\t\n\f\r ]*"
-_TOC = r"(?is)<toc>(.*?)</toc>"
-_POINT = r"(?is)<tocpoint(?![0-9A-Za-z_])([^>]*)>([^<]*)"
-_GUIDE = r"(?is)<guide>(.*?)</guide>"
-_REFERENCE = r"(?is)<reference(?![0-9A-Za-z_])([^>]*?)/?>"
-_FILEPOS = rf"(?i)filepos{_WS}={_WS}['\"]?0*([0-9]+)"
-_DEPTH = rf"(?i)tocdepth{_WS}={_WS}['\"]?([0-9]+)"
-_TYPE = rf"(?i)type{_WS}={_WS}['\"]([^'\"]*)['\"]"
-_TITLE = rf"(?i)title{_WS}={_WS}['\"]([^'\"]*)['\"]"
-
-
-def with_toc_index(books: DataFrame) -> DataFrame:
-    return with_index(books, F.col("h.indx"), "_ncx")
-
-
-def with_guide_index(books: DataFrame) -> DataFrame:
-    return with_index(books, F.when(F.col("is_kf8"), F.col("h.guide")), "_guide")
-
-
-def indexed_toc(books: DataFrame) -> DataFrame:
-    """Rows of the contents from the index: reading order, parents by number (-1: a root), positions -1 where there is none."""
-    none = F.lit(-1).cast("long")
-    flat = F.transform(
-        "_ncx.entries",
-        lambda e: F.struct(
-            F.coalesce(value(e, 1), none).alias("start_byte"),
-            F.coalesce(value(e, 2), none).alias("length"),
-            F.coalesce(phrase(F.col("_ncx"), value(e, 3)), F.lit("")).alias("label"),
-            F.coalesce(value(e, 4), none).alias("level"),
-            F.coalesce(value(e, 6), none).alias("fid"),
-            F.coalesce(value(e, 6, 1), none).alias("off"),
-            F.coalesce(value(e, 21), none).alias("parent"),
-            F.coalesce(value(e, 22), none).alias("first"),
-            F.coalesce(value(e, 23), none).alias("last"),
-        ),
-    )
-    t = with_toc_index(books).where("_ncx.status = 'OK'").withColumn("_flat", flat)
-    t = t.withColumn("_tree", toc_tree(F.transform("_flat", lambda f: F.struct(f["level"].alias("level"), f["parent"].alias("parent"), f["first"].alias("first"), f["last"].alias("last")))))
-    t = t.select("path", "half", "is_kf8", "docs", "frags", "flow_base", "_flat", F.posexplode("_tree").alias("preorder", "n"))
-    t = t.withColumn("f", F.get("_flat", F.col("n.node")))
-    t = t.withColumn("at", F.when(F.col("is_kf8") & (F.col("f.fid") >= 0), locate(F.col("f.fid"), F.col("f.off"))))
-    return t.select(
-        "path", "half", F.col("n.node").alias("node"), F.col("n.parent").alias("parent"), F.col("n.depth").alias("depth"), "preorder", unescaped(F.col("f.label")).alias("label"), "f.start_byte", "f.length", "f.fid", "f.off",
-        F.coalesce("at.section", none).alias("section"), F.coalesce("at.offset", none).alias("section_offset"),
-    )
-
-
-def _attribute(attrs: Column, pattern: str) -> Column:
-    return F.when(attrs.rlike(pattern), F.regexp_extract(attrs, pattern, 1))
-
-
-def marked_points(raw: Column) -> Column:
-    """Entries of the first contents block: struct(start_byte, depth, label as bytes); those without a position are left out."""
-    block = F.regexp_extract(latin(raw), _TOC, 1)
-    points = F.arrays_zip(F.regexp_extract_all(block, F.lit(_POINT), F.lit(1)).alias("a"), F.regexp_extract_all(block, F.lit(_POINT), F.lit(2)).alias("l"))
-    read = F.transform(
-        points,
-        lambda p: F.struct(
-            _attribute(p["a"], _FILEPOS).try_cast("bigint").alias("start_byte"),
-            F.coalesce(_attribute(p["a"], _DEPTH).try_cast("bigint"), F.lit(0).cast("long")).alias("depth"),
-            unlatin(p["l"]).alias("label"),
-        ),
-    )
-    return F.filter(read, lambda p: p["start_byte"].isNotNull())
-
-
-def marked_toc(books: DataFrame) -> DataFrame:
-    """Contents from the text's own markup. An entry's parent is the nearest one before it of a lesser depth."""
-    none = F.lit(-1).cast("long")
-    t = books.where("status = 'OK' and not is_kf8 and h.indx < 0").withColumn("_p", marked_points(F.col("raw")))
-    nearest = F.transform(
-        "_p",
-        lambda p, i: F.coalesce(F.array_max(F.filter(F.transform("_p", lambda q, j: F.when((j < i) & (q["depth"] < p["depth"]), j)), lambda j: j.isNotNull())), F.lit(-1)),
-    )
-    t = t.withColumn("_up", nearest)
-    levels = F.aggregate("_up", F.array().cast("array<int>"), lambda acc, up: F.concat(acc, F.array(F.when(up < 0, 0).otherwise(F.coalesce(F.get(acc, up), F.lit(0)) + 1))))
-    t = t.withColumn("_lv", levels).select("path", "half", F.col("h.codepage").alias("_c"), "_up", "_lv", F.posexplode("_p").alias("node", "p"))
-    return t.select(
-        "path", "half", "node", F.get("_up", F.col("node")).alias("parent"), F.get("_lv", F.col("node")).alias("depth"), F.col("node").alias("preorder"), unescaped(decoded(F.col("p.label"), F.col("_c"))).alias("label"),
-        "p.start_byte", none.alias("length"), none.alias("fid"), none.alias("off"), none.alias("section"), none.alias("section_offset"),
-    )
+COLUMNS = ("node", "parent", "depth", "preorder", "label", "start_byte", "length", "fid", "off", "section", "section_offset")
 
 
 def toc(books: DataFrame) -> DataFrame:
-    """A row an entry: path, half, node, parent, depth, preorder, label, start_byte, length, fid, off, section, section_offset."""
-    return indexed_toc(books.where("status = 'OK'")).unionByName(marked_toc(books))
-
+    """A row an entry, in reading order: path, half, node, parent (-1: a root), depth, preorder, label, start_byte, length, fid, off, section, section_offset.
 
-def toc_status(books: DataFrame) -> DataFrame:
-    """path, half, toc_status, guide_status: damage of an index, which refuses no book, shows here."""
-    t = with_guide_index(with_toc_index(books.where("status = 'OK'")))
-    return t.select("path", "half", F.coalesce("_ncx.status", F.lit("OK")).alias("toc_status"), F.coalesce("_guide.status", F.lit("OK")).alias("guide_status"))
+    Numbers that an entry lacks are -1 (books opened with part toc).
+    """
+    t = books.where("status = 'OK'").select("path", "half", F.explode("toc").alias("e"))
+    return t.select("path", "half", *(F.col(f"e.{c}").cast("string").alias(c) if c == "label" else F.col(f"e.{c}") for c in COLUMNS))
 
 
-def first_token(text: Column) -> Column:
-    return F.regexp_extract(text, r"\A\s*(\S*)", 1)
+def toc_status(books: DataFrame) -> DataFrame:
+    """path, half, toc_status, guide_status: damage of an index, which refuses no book, shows here (books opened with parts toc and guide)."""
+    return books.where("status = 'OK'").select("path", "half", "toc_status", "guide_status")
 
 
 def guide(books: DataFrame) -> DataFrame:
-    """path, half, ord, label, type, href, filepos: places of note; href of format 8, filepos of the older one (else -1)."""
-    good = books.where("status = 'OK'")
-    t = with_guide_index(good).where("_guide.status = 'OK'").select("path", "half", "_guide", F.posexplode("_guide.entries").alias("ord", "e"))
-    e = F.col("e")
-    fid = F.coalesce(value(e, 6), value(e, 3), F.lit(-1))
-    off = F.when(value(e, 6).isNotNull(), F.coalesce(value(e, 6, 1), F.lit(0))).otherwise(F.lit(0).cast("long"))
-    listed = t.select(
-        "path", "half", "ord", unescaped(F.coalesce(phrase(F.col("_guide"), value(e, 1)), F.lit(""))).alias("label"), first_token(F.col("e.name").cast("string")).alias("type"),
-        F.when(fid >= 0, place_uri(fid, off)).otherwise("").alias("href"), F.lit(-1).cast("long").alias("filepos"),
-    )
-    marked = good.where("not is_kf8").select("path", "half", F.col("h.codepage").alias("_c"), F.regexp_extract_all(F.regexp_extract(latin(F.col("raw")), _GUIDE, 1), F.lit(_REFERENCE), F.lit(1)).alias("_a"))
-    marked = marked.withColumn("_a", F.filter("_a", lambda a: _attribute(a, _FILEPOS).try_cast("bigint").isNotNull())).select("path", "half", "_c", F.posexplode("_a").alias("ord", "a"))
-    a = F.col("a")
-    marked = marked.select(
-        "path", "half", "ord", unescaped(F.coalesce(decoded(unlatin(_attribute(a, _TITLE)), F.col("_c")), F.lit(""))).alias("label"), F.coalesce(unlatin(_attribute(a, _TYPE)).cast("string"), F.lit("")).alias("type"),
-        F.lit("").alias("href"), _attribute(a, _FILEPOS).try_cast("bigint").alias("filepos"),
-    )
-    return listed.unionByName(marked)
+    """path, half, ord, label, type, href, filepos: places of note; href of format 8, filepos of the older one, else -1 (books opened with part guide)."""
+    t = books.where("status = 'OK'").select("path", "half", F.posexplode("guide").alias("ord", "e"))
+    return t.select("path", "half", "ord", F.col("e.label").cast("string").alias("label"), F.col("e.type").cast("string").alias("type"), "e.href", "e.filepos")

@@ -54,21 +54,16 @@ def record0(text_length: int, text_records: int, compression: int = NONE, codepa
 
 
 def palmdoc(data: bytes) -> bytes:
-    """Greedy: the longest match of three to ten bytes among the last 2,047, then literals."""
-    out, seen, at, n = bytearray(), {}, 0, len(data)
+    """Greedy: the longest match of three to ten bytes among the last 2,047 (of several the nearest), then literals."""
+    out, at, n = bytearray(), 0, len(data)
     while at < n:
-        best, back = 0, 0
-        for prior in reversed(seen.get(data[at : at + 3], ())):
-            if at - prior > 2047:
-                break
-            size = 3
-            while size < 10 and at + size < n and data[prior + size] == data[at + size]:
-                size += 1
-            if size > best:
-                best, back = size, at - prior
-                if best == 10:
-                    break
-        if best >= 3 and at + best <= n:
+        best, back, low = 2, 0, max(0, at - 2047)
+        # each search asks for a match longer than the last one's, that begins before this place
+        while best < 10 and at + best < n and (prior := data.rfind(data[at : at + best + 1], low, at + best)) >= 0:
+            best, back = best + 1, at - prior
+            while best < 10 and at + best < n and data[prior + best] == data[at + best]:
+                best += 1
+        if back:
             out += struct.pack(">H", 0x8000 | back << 3 | best - 3)
             step = best
         elif data[at] == 0x20 and at + 1 < n and 0x40 <= data[at + 1] < 0x80:
@@ -83,8 +78,6 @@ def palmdoc(data: bytes) -> bytes:
                 step += 1
             out.append(step)
             out += data[at : at + step]
-        for k in range(at, min(at + step, n - 2)):
-            seen.setdefault(data[k : k + 3], []).append(k)
         at += step
     return bytes(out)
 

@@ -37,7 +37,7 @@ def _id(df: DataFrame) -> DataFrame:
 
 
 def _digest(files: DataFrame) -> DataFrame:
-    return _id(open_books(files)).select("doc_id", "status", F.octet_length("raw").cast("long").alias("raw_len"), F.sha2("raw", 256).alias("raw_sha256"))
+    return _id(open_books(files, ("raw",))).select("doc_id", "status", F.octet_length("raw").cast("long").alias("raw_len"), F.sha2("raw", 256).alias("raw_sha256"))
 
 
 _DIGEST = "SELECT doc_id, 'OK' AS status, strlen(coalesce(text, '')) AS raw_len, sha256(coalesce(text, '')) AS raw_sha256 FROM documents"
@@ -45,7 +45,7 @@ _DIGEST = "SELECT doc_id, 'OK' AS status, strlen(coalesce(text, '')) AS raw_len,
 
 def records_scan(spark, sf_dir):
     """Uncompressed books; how many records, which text."""
-    books = _id(open_books(packed(_docs(spark, sf_dir), lambda r: e.mobi6(_raw(r)), "doc_id")))
+    books = _id(open_books(packed(_docs(spark, sf_dir), lambda r: e.mobi6(_raw(r)), "doc_id"), ("raw",)))
     return books.select("doc_id", F.col("h.text_records").alias("text_records"), (F.col("num_records") - 2).cast("long").alias("body_records"), F.sha2("raw", 256).alias("raw_sha256"))
 
 
@@ -74,18 +74,25 @@ def trailing_strip(spark, sf_dir):
     return _digest(packed(_docs(spark, sf_dir), lambda r: e.mobi6(_raw(r), e.PALMDOC if r["doc_id"] % 2 else e.NONE, _FLAGS[r["doc_id"] % 6]), "doc_id"))
 
 
+#: The 27 characters of bytes 80 to 9F, in byte order, and what stands for characters that the code page lacks.
+_SPECIAL = "".join(c for c in columns.CP1252_HIGH if ord(c) > 0x9F)
+
+
 def cp1252_text(spark, sf_dir):
-    """Text through the older code page; characters outside it were replaced when packing"""
-    docs = _docs(spark, sf_dir).withColumn("text", F.regexp_replace(F.coalesce("text", F.lit("")), "[^\\x00-\\x7E\\u00A0-\\u00FF]", "~"))
-    books = _id(open_books(packed(docs, lambda r: e.mobi6(r["text"].encode("cp1252"), e.PALMDOC, codepage=1252), "doc_id")))
+    """Text through the older code page; every vowel becomes one of the characters of bytes 80 to 9F, and those outside the page a tilde"""
+    letters = "aeiouAEIOUnrstlNRSTLdhmcgDH"
+    t = F.translate(F.coalesce("text", F.lit("")), letters, _SPECIAL)
+    docs = _docs(spark, sf_dir).withColumn("text", F.regexp_replace(t, f"[^\\x00-\\x7E\\u00A0-\\u00FF{_SPECIAL}]", "~"))
+    books = _id(open_books(packed(docs, lambda r: e.mobi6(r["text"].encode("cp1252"), e.PALMDOC, codepage=1252), "doc_id"), ("raw",)))
     return books.select("doc_id", F.sha2(columns.decoded(F.col("raw"), F.col("h.codepage")), 256).alias("text_sha256"))
 
 
 def sections_split(spark, sf_dir):
-    """Pages cut at their paragraph tags"""
-    pages = _t(spark, sf_dir, "pages").select("page_id", "html")
-    books = open_books(packed(pages, lambda r: e.mobi6((r["html"] or "").encode(), e.PALMDOC), "page_id"))
-    s = text.text_sections(books, r"(?i)<p>")
+    """Pages cut at page breaks, which stand before their paragraphs in four spellings, one with white space"""
+    pages = _t(spark, sf_dir, "pages").select("page_id", F.regexp_replace(F.coalesce("html", F.lit("")), "(?i)<p>", "<mbp:pagebreak/><p>").alias("html"))
+    pages = pages.withColumn("html", F.regexp_replace("html", "(?i)<h1>", "< \t\nPageBreak class='x'><h1>"))
+    books = open_books(packed(pages, lambda r: e.mobi6(r["html"].encode(), e.PALMDOC), "page_id"), ("raw", "sections"))
+    s = text.text_sections(books)
     return s.select(F.col("path").cast("long").alias("page_id"), F.col("ord").cast("long").alias("ord"), "start", "end", F.sha2("content", 256).alias("sha256"))
 
 
@@ -147,16 +154,16 @@ def metadata_fallback(spark, sf_dir):
 
 
 def locale_lookup(spark, sf_dir):
-    """Language and region bytes to tags"""
-    orders = _t(spark, sf_dir, "orders").select("o_orderkey", F.pmod("o_orderkey", F.lit(14)).cast("int").alias("language"), F.pmod("o_custkey", F.lit(256)).cast("int").alias("region"))
+    """Language and region bytes to tags, of all languages"""
+    orders = _t(spark, sf_dir, "orders").select("o_orderkey", F.pmod("o_orderkey", F.lit(256)).cast("int").alias("language"), F.pmod("o_custkey", F.lit(256)).cast("int").alias("region"))
     return metadata.with_locale(orders, F.col("language"), F.col("region")).select("o_orderkey", "locale")
 
 
 def base32_uri(spark, sf_dir):
     """Positions to references and back"""
-    lines = _t(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", (F.col("l_partkey") * 1000 + F.col("l_linenumber")).alias("off")).where("l_linenumber = 1")
+    lines = _t(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", (F.col("l_partkey") * 1000 + F.col("l_linenumber")).alias("off"))
     t = lines.withColumn("uri", uri.place_uri(F.col("l_orderkey"), F.col("off"))).withColumn("u", uri.parse_uri(F.col("uri")))
-    return t.select("l_orderkey", "uri", "u.kind", "u.fid", "u.off")
+    return t.select("l_orderkey", "l_linenumber", "uri", "u.kind", "u.fid", "u.off")
 
 
 def _cut(doc: bytes) -> list[tuple[int, int]]:
@@ -170,7 +177,7 @@ def _kf8_books(spark, sf_dir) -> DataFrame:
         raw = _raw(r)
         half = len(raw) // 2
         docs = [(raw[:half], _cut(raw[:half])), (raw[half:], _cut(raw[half:]))]
-        return e.kf8(docs, [b"p{}", raw[:10]], compression=e.PALMDOC, resources=[b"\x89PNG\r\n\x1a\n" + raw[:4]], spreads={1: "page-spread-right"})
+        return e.kf8(docs, [b"p{}", raw], compression=e.PALMDOC, resources=[b"\x89PNG\r\n\x1a\n" + raw[:4]], spreads={1: "page-spread-right"})
 
     return packed(_docs(spark, sf_dir), build, "doc_id")
 
@@ -182,14 +189,14 @@ def kf8_assembly(spark, sf_dir):
 
 
 def kf8_flows(spark, sf_dir):
-    """K2, K3"""
+    """K2, K3: flows behind the text, one of them as long as the text"""
     f = Library(_kf8_books(spark, sf_dir)).flows
     return _id(f).where("ord > 0").select("doc_id", F.col("ord").cast("long").alias("ord"), F.sha2("content", 256).alias("sha256"))
 
 
 def pos_resolve(spark, sf_dir):
     """References into fragments and beyond"""
-    books = open_books(_kf8_books(spark, sf_dir))
+    books = open_books(_kf8_books(spark, sf_dir), ("places",))
     asked = _docs(spark, sf_dir).select(F.col("doc_id").cast("string").alias("path"), F.explode(F.array(F.lit("kindle:pos:fid:0001:off:0000000001"), F.lit("kindle:flow:0002"), F.lit("kindle:flow:0003"), F.lit("kindle:embed:0001?mime=image/png"), F.lit("kindle:embed:0009"))).alias("uri"))
     got = resolve_uris(books, asked)
     return _id(got).select("doc_id", "uri", "status", "section", "offset")
@@ -213,6 +220,58 @@ def toc_tree(spark, sf_dir):
     return t.join(up, F.col("parent") == F.col("p"), "left").select("label", F.coalesce("parent_label", F.lit("")).alias("parent_label"), F.col("depth").cast("long").alias("depth"), "start_byte")
 
 
+def toc_ranges(spark, sf_dir):
+    """N3, mode 2: orders and their lines as contents whose entries name ranges of children"""
+    lines = _t(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.sort_array(F.collect_list(F.struct("l_linenumber", "l_partkey"))).alias("l"))
+
+    def build(r):
+        n = len(r["l"])
+        # the order, then its lines; the last line is a chapter of its own
+        nodes = [{"label": f"order {r['l_orderkey']}", "start": 0, "level": 0, "first": 1, "last": n - 1}] if n > 1 else [{"label": f"order {r['l_orderkey']}", "start": 0, "level": 0}]
+        nodes += [{"label": f"line {x['l_linenumber']}", "start": x["l_partkey"], "level": 1 if k < n - 1 else 0} for k, x in enumerate(r["l"])]
+        return e.mobi6(b"text", ncx=e.ncx(nodes))
+
+    t = Library(packed(lines, build, "l_orderkey")).toc
+    return t.select(F.col("path").cast("long").alias("l_orderkey"), F.col("preorder").cast("long").alias("preorder"), F.col("parent").cast("long").alias("parent"), F.col("depth").cast("long").alias("depth"), "label", "start_byte")
+
+
+def toc_flat(spark, sf_dir):
+    """N3, mode 3: parts of a supplier's nation as contents without parents or ranges"""
+    nations = _t(spark, sf_dir, "supplier").groupBy("s_nationkey").agg(F.sort_array(F.collect_list("s_suppkey")).alias("l"))
+    files = packed(nations, lambda r: e.mobi6(b"text", ncx=e.ncx([{"label": f"supplier &#{48 + x % 10};", "start": x} for x in r["l"]])), "s_nationkey")
+    return Library(files).toc.select(F.col("path").cast("long").alias("s_nationkey"), F.col("node").cast("long").alias("node"), F.col("depth").cast("long").alias("depth"), "label", "start_byte")
+
+
+def book_name(spark, sf_dir):
+    """Names of containers that are given as bytes: cut at a zero byte, spaces at the end left out"""
+    customers = _t(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_mktsegment")
+    files = packed(customers, lambda r: e.container([b"x"], f"{r['c_name']} {r['c_mktsegment'][:4]}  ".encode() + (b"\0junk" if r["c_custkey"] % 2 else b"")), "c_custkey")
+    return Library(files).names.select(F.col("path").cast("long").alias("c_custkey"), F.col("name").cast("string").alias("name"))
+
+
+def recindex(spark, sf_dir):
+    """Every text's two halves as resources, asked for by number, 0 and 3 among them"""
+
+    def build(r):
+        raw = _raw(r)
+        return e.mobi6(b"t", resources=[b"GIF89a" + raw[: len(raw) // 2], b"BM" + raw[len(raw) // 2 :]], ncx=e.ncx([{"label": "x", "start": 0}]))
+
+    lib = Library(packed(_docs(spark, sf_dir), build, "doc_id"))
+    asked = _docs(spark, sf_dir).select(F.col("doc_id").cast("string").alias("path"), F.explode(F.array(*map(F.lit, range(4)))).alias("recindex"))
+    got = _id(lib.resolve_recindex(asked))
+    return got.select("doc_id", "recindex", "status", F.coalesce("mime", F.lit("")).alias("mime"), F.coalesce(F.sha2("data", 256), F.lit("")).alias("sha256"))
+
+
+def num_resources(spark, sf_dir):
+    """A resource a word of the text's first line, however many"""
+
+    def build(r):
+        words = (r["text"] or "").split("\n", 1)[0].split(" ")
+        return e.mobi6(b"t", resources=[b"GIF89a" + w.encode() for w in words], ncx=e.ncx([{"label": "x", "start": 0}]))
+
+    return _id(Library(packed(_docs(spark, sf_dir), build, "doc_id")).num_resources).select("doc_id", "num_resources")
+
+
 def legacy_toc(spark, sf_dir):
     """Turns of a conversation as marked-up contents, each below the one before it"""
     turns = _t(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", "role"))).alias("l"))
@@ -249,22 +308,22 @@ _HEADS = (b"GIF87a", b"GIF89a", b"\xff\xd8\xff", b"\x89PNG\r\n\x1a\n", b"BM", b"
 
 
 def resource_sniff(spark, sf_dir):
-    """Three resources a book"""
-    files = packed(_docs(spark, sf_dir), lambda r: e.mobi6(b"t", resources=[_HEADS[(r["doc_id"] + k) % 7] + bytes(12) for k in range(3)], ncx=e.ncx([{"label": "x", "start": 0}])), "doc_id")
+    """Three resources a book, each a magic number and the text"""
+    files = packed(_docs(spark, sf_dir), lambda r: e.mobi6(b"t", resources=[_HEADS[(r["doc_id"] + k) % 7] + bytes(12) + _raw(r) for k in range(3)], ncx=e.ncx([{"label": "x", "start": 0}])), "doc_id")
     got = Library(files).resources
-    return _id(got).select("doc_id", F.col("ord").cast("long").alias("ord"), "mime", F.octet_length("data").cast("long").alias("bytes"))
+    return _id(got).select("doc_id", F.col("ord").cast("long").alias("ord"), "mime", F.octet_length("data").cast("long").alias("bytes"), F.sha2("data", 256).alias("sha256"))
 
 
 def cover_pick(spark, sf_dir):
-    """Cover, thumbnail, neither, or a number out of range"""
+    """Cover, thumbnail, neither, or a number out of range; pictures hold the text"""
 
     def build(r):
         k, none = r["doc_id"] % 5, struct.pack(">I", e.ABSENT)
         entries = [[(201, b"\0\0\0\1")], [(202, b"\0\0\0\0")], [(201, none), (202, b"\0\0\0\1")], [(100, b"A")], [(201, b"\0\0\0\x63")]][k]
-        return e.mobi6(b"t", exth=entries, resources=[b"GIF89a0", b"BM1"])
+        return e.mobi6(b"t", exth=entries, resources=[b"GIF89a0" + _raw(r), b"BM1" + _raw(r)])
 
     got = Library(packed(_docs(spark, sf_dir), build, "doc_id")).cover
-    return _id(got).select("doc_id", "status", F.coalesce("mime", F.lit("")).alias("mime"))
+    return _id(got).select("doc_id", "status", F.coalesce("mime", F.lit("")).alias("mime"), F.coalesce(F.sha2("data", 256), F.lit("")).alias("sha256"))
 
 
 def font_decode(spark, sf_dir):
@@ -278,7 +337,7 @@ def open_status(spark, sf_dir):
     """H1-H8, S3: the first broken rule of damaged files"""
 
     def build(r):
-        k, raw = r["doc_id"] % 10, b"some text of a book"
+        k, raw = r["doc_id"] % 10, b"some text of a book " + _raw(r)
         whole = e.mobi6(raw)
         return [
             whole,
@@ -293,8 +352,8 @@ def open_status(spark, sf_dir):
             e.kf8([(b"<p/>", [])], drop=("skel",)),
         ][k]
 
-    got = open_books(packed(_docs(spark, sf_dir), build, "doc_id"))
-    return _id(got).select("doc_id", "status")
+    got = open_books(packed(_docs(spark, sf_dir), build, "doc_id"), ("raw",))
+    return _id(got).select("doc_id", "status", F.coalesce(F.sha2("raw", 256), F.lit("")).alias("sha256"))
 
 
 def combo_halves(spark, sf_dir):
@@ -311,13 +370,22 @@ def combo_halves(spark, sf_dir):
 
 
 def half_relative_position(spark, sf_dir):
-    """Positions joined to the sections that hold them"""
-    files = packed(_docs(spark, sf_dir), lambda r: e.mobi6(b"<a filepos=3><mbp:pagebreak/>" + _raw(r).replace(b"<", b"(")), "doc_id")
-    lib = Library(files)
+    """Positions joined to the sections that hold them: links to the start, the middle and the end of each text behind a page break"""
+
+    def build(r):
+        raw = _raw(r).replace(b"<", b"(")
+        places = (0, 120 + len(raw) // 2, 119 + len(raw))
+        head = b"".join(b"<a filepos=%010d>" % p for p in places).ljust(100)
+        return e.mobi6(head + b"<mbp:pagebreak />   " + raw)
+
+    lib = Library(packed(_docs(spark, sf_dir), build, "doc_id"))
     got = section_at(lib.sections, lib.filepos.drop("half"))
     return _id(got).select("doc_id", "filepos", F.col("ord").cast("long").alias("ord"))
 
 
+def _tags(of) -> str:
+    return ", ".join(f"({n}, {k}, '{tag}')" for n, tags in metadata.LANGUAGES.items() for k, tag in enumerate(tags) if tag and of(k))
+
 
 SQL = {
     "records_scan": "SELECT doc_id, ceil(strlen(coalesce(text, '')) / 4096.0)::BIGINT AS text_records, ceil(strlen(coalesce(text, '')) / 4096.0)::BIGINT AS body_records, sha256(coalesce(text, '')) AS raw_sha256 FROM documents",
@@ -325,9 +393,10 @@ SQL = {
     "palmdoc_roundtrip": _DIGEST,
     "huffcdic_roundtrip": _DIGEST,
     "trailing_strip": _DIGEST,
-    "cp1252_text": "SELECT doc_id, sha256(regexp_replace(coalesce(text, ''), '[^\\x{00}-\\x{7E}\\x{A0}-\\x{FF}]', '~', 'g')) AS text_sha256 FROM documents",
+    "cp1252_text": f"SELECT doc_id, sha256(regexp_replace(translate(coalesce(text, ''), 'aeiouAEIOUnrstlNRSTLdhmcgDH', '{_SPECIAL}'), '[^\\x{{00}}-\\x{{7E}}\\x{{A0}}-\\x{{FF}}{_SPECIAL}]', '~', 'g')) AS text_sha256 FROM documents",
     "sections_split": """
-WITH p AS (SELECT page_id, string_split(regexp_replace(coalesce(html, ''), '(<p>)', chr(57344) || '\\1', 'gi'), chr(57344)) AS parts FROM pages),
+WITH h AS (SELECT page_id, regexp_replace(regexp_replace(coalesce(html, ''), '<p>', '<mbp:pagebreak/><p>', 'gi'), '<h1>', '< ' || chr(9) || chr(10) || 'PageBreak class=''x''><h1>', 'gi') AS html FROM pages),
+p AS (SELECT page_id, string_split(regexp_replace(html, '(<[\\t\\n\\f\\r ]*(?:mbp:)?pagebreak[^>]*>)', chr(57344) || '\\1', 'gi'), chr(57344)) AS parts FROM h),
 s AS (SELECT page_id, unnest(parts) AS part, generate_subscripts(parts, 1) - 1 AS ord FROM p)
 SELECT page_id, ord::BIGINT AS ord, (sum(strlen(part)) OVER w - strlen(part))::BIGINT AS start, (sum(strlen(part)) OVER w)::BIGINT AS "end", sha256(part) AS sha256
 FROM s WINDOW w AS (PARTITION BY page_id ORDER BY ord)""",
@@ -343,19 +412,30 @@ FROM s WINDOW w AS (PARTITION BY doc_id ORDER BY ord)""",
 SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 AND c_custkey % 5 <> 0 THEN '<' || c_name || '>' ELSE c_name END AS title,
        CASE WHEN c_custkey % 5 <> 0 THEN c_mktsegment || '|B & C' ELSE '' END AS authors, CASE WHEN c_custkey % 5 <> 0 THEN c_mktsegment ELSE '' END AS publisher, 'en-US' AS language
 FROM customer""",
-    "locale_lookup": "SELECT o_orderkey, coalesce(v.tag, b.tag, '') AS locale FROM orders LEFT JOIN (VALUES " + ", ".join(f"({n}, {k}, '{t}')" for n, words in metadata.LANGUAGES.items() if n < 14 for k, t in enumerate([w if i == 0 or w.islower() else f"{words.split()[0]}-{w}" for i, w in enumerate(words.split())]) if not t.endswith("-")) + ") v(l, r, tag) ON v.l = o_orderkey % 14 AND v.r = (o_custkey % 256) // 4 LEFT JOIN (VALUES " + ", ".join(f"({n}, '{words.split()[0]}')" for n, words in metadata.LANGUAGES.items() if n < 14) + ") b(l, tag) ON b.l = o_orderkey % 14",
+    "locale_lookup": "SELECT o_orderkey, coalesce(v.tag, b.tag, '') AS locale FROM orders LEFT JOIN (VALUES " + _tags(lambda k: k > 0) + ") v(l, r, tag) ON v.l = o_orderkey % 256 AND v.r = (o_custkey % 256) // 4 LEFT JOIN (VALUES " + _tags(lambda k: k == 0) + ") b(l, r, tag) ON b.l = o_orderkey % 256",
     "base32_uri": """
-WITH t AS (SELECT l_orderkey, l_partkey * 1000 + l_linenumber AS off, '0123456789ABCDEFGHIJKLMNOPQRSTUV' AS d FROM lineitem WHERE l_linenumber = 1)
-SELECT l_orderkey, 'kindle:pos:fid:' || (SELECT string_agg(substr(d, (l_orderkey // (32 ** (greatest(4, floor(ln(l_orderkey) / ln(32) + 1e-12)::INT + 1) - 1 - i))::BIGINT % 32)::INT + 1, 1), '' ORDER BY i) FROM range(0, greatest(4, floor(ln(l_orderkey) / ln(32) + 1e-12)::INT + 1)) r(i))
-       || ':off:' || (SELECT string_agg(substr(d, (off // (32 ** (9 - i))::BIGINT % 32)::INT + 1, 1), '' ORDER BY i) FROM range(0, 10) r(i)) AS uri,
+WITH t AS (SELECT l_orderkey, l_linenumber, l_partkey * 1000 + l_linenumber AS off, '0123456789ABCDEFGHIJKLMNOPQRSTUV' AS d, greatest(4, floor(ln(greatest(l_orderkey, 1)) / ln(32) + 1e-12)::INT + 1) AS n FROM lineitem)
+SELECT l_orderkey, l_linenumber, 'kindle:pos:fid:' || list_aggregate(list_transform(range(0, n), lambda i: substr(d, (l_orderkey // (32 ** (n - 1 - i))::BIGINT % 32)::INT + 1, 1)), 'string_agg', '')
+       || ':off:' || list_aggregate(list_transform(range(0, 10), lambda i: substr(d, (off // (32 ** (9 - i))::BIGINT % 32)::INT + 1, 1)), 'string_agg', '') AS uri,
        'pos' AS kind, l_orderkey AS fid, off
 FROM t""",
     "kf8_assembly": """
 WITH d AS (SELECT doc_id, encode(coalesce(text, '')) AS b FROM documents),
 h AS (SELECT doc_id, unnest([0, 1]) AS ord, unnest([b[1:octet_length(b) // 2], b[octet_length(b) // 2 + 1:]]) AS part FROM d)
 SELECT doc_id, ord::BIGINT AS ord, octet_length(part)::BIGINT AS size_bytes, octet_length(part) >= 16 AS linear, CASE ord WHEN 1 THEN 'right' ELSE '' END AS page_spread, sha256(part) AS sha256 FROM h""",
-    "kf8_flows": "SELECT doc_id, unnest([1, 2])::BIGINT AS ord, unnest([sha256('p{}'), sha256(encode(coalesce(text, ''))[1:10])]) AS sha256 FROM documents",
+    "kf8_flows": "SELECT doc_id, unnest([1, 2])::BIGINT AS ord, unnest([sha256('p{}'), sha256(coalesce(text, ''))]) AS sha256 FROM documents",
     "toc_tree": "SELECT r_name AS label, '' AS parent_label, 0::BIGINT AS depth, r_regionkey::BIGINT * 1000 AS start_byte FROM region WHERE r_regionkey IN (SELECT n_regionkey FROM nation) UNION ALL SELECT n_name, r_name, 1, n_nationkey FROM nation JOIN region ON n_regionkey = r_regionkey",
+    "toc_ranges": """
+WITH t AS (SELECT l_orderkey, l_linenumber, l_partkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey) AS k, count(*) OVER (PARTITION BY l_orderkey) AS n FROM lineitem)
+SELECT DISTINCT l_orderkey, 0::BIGINT AS preorder, -1::BIGINT AS parent, 0::BIGINT AS depth, 'order ' || l_orderkey AS label, 0::BIGINT AS start_byte FROM t
+UNION ALL SELECT l_orderkey, k, CASE WHEN k < n THEN 0 ELSE -1 END, CASE WHEN k < n THEN 1 ELSE 0 END, 'line ' || l_linenumber, l_partkey FROM t""",
+    "toc_flat": "SELECT s_nationkey::BIGINT AS s_nationkey, row_number() OVER (PARTITION BY s_nationkey ORDER BY s_suppkey) - 1 AS node, 0::BIGINT AS depth, 'supplier ' || s_suppkey % 10 AS label, s_suppkey AS start_byte FROM supplier",
+    "book_name": "SELECT c_custkey, substr(c_name || ' ' || c_mktsegment[:4], 1, 31) AS name FROM customer",
+    "recindex": """
+SELECT doc_id, k::INT AS recindex, CASE WHEN k IN (1, 2) THEN 'OK' ELSE 'RecordRange' END AS status, CASE k WHEN 1 THEN 'image/gif' WHEN 2 THEN 'image/bmp' ELSE '' END AS mime,
+       CASE k WHEN 1 THEN sha256('GIF89a'::BLOB || b[1:octet_length(b) // 2]) WHEN 2 THEN sha256('BM'::BLOB || b[octet_length(b) // 2 + 1:]) ELSE '' END AS sha256
+FROM (SELECT doc_id, encode(coalesce(text, '')) AS b FROM documents), range(0, 4) r(k)""",
+    "num_resources": "SELECT doc_id, len(string_split(string_split(coalesce(text, ''), chr(10))[1], ' '))::INT AS num_resources FROM documents",
     "legacy_toc": """
 WITH t AS (SELECT conv_id, role, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role) - 1 AS k FROM conversations)
 SELECT conv_id, k AS node, CASE WHEN k = 0 THEN -1 WHEN k <= 3 THEN k - 1 ELSE 2 END AS parent, least(k, 3) AS depth, role || ' & ' || k AS label, 10 * k AS start_byte FROM t""",
@@ -365,16 +445,20 @@ WITH t AS (SELECT p_partkey, p_name, '0123456789ABCDEFGHIJKLMNOPQRSTUV' AS d FRO
 SELECT p_partkey, 0::BIGINT AS ord, p_name AS label, 'toc' AS type, 'kindle:pos:fid:' || substr(d, (p_partkey // 32768 % 32)::INT + 1, 1) || substr(d, (p_partkey // 1024 % 32)::INT + 1, 1) || substr(d, (p_partkey // 32 % 32)::INT + 1, 1) || substr(d, (p_partkey % 32)::INT + 1, 1) || ':off:0000000080' AS href, -1::BIGINT AS filepos FROM t
 UNION ALL SELECT p_partkey, 1, 'C', 'cover', 'kindle:pos:fid:0001:off:0000000000', -1 FROM t""",
     "resource_sniff": """
-SELECT doc_id, k::BIGINT AS ord, ['image/gif', 'image/gif', 'image/jpeg', 'image/png', 'image/bmp', 'application/octet-stream', 'application/octet-stream'][(doc_id + k) % 7 + 1] AS mime,
-       [18, 18, 15, 20, 14, 4, 17][(doc_id + k) % 7 + 1]::BIGINT AS bytes
-FROM documents, range(0, 3) r(k)""",
-    "cover_pick": "SELECT doc_id, ['OK', 'OK', 'OK', 'NoCover', 'RecordRange'][doc_id % 5 + 1] AS status, ['image/bmp', 'image/gif', 'image/bmp', '', ''][doc_id % 5 + 1] AS mime FROM documents",
+WITH d AS (SELECT doc_id, from_hex(repeat('00', 12)) || encode(coalesce(text, '')) AS b FROM documents),
+r AS (SELECT doc_id, k, (doc_id + k) % 7 + 1 AS m, CASE WHEN (doc_id + k) % 7 = 5 THEN encode('VIDE') || b ELSE from_hex(['474946383761', '474946383961', 'FFD8FF', '89504E470D0A1A0A', '424D', '', '6F74686572'][(doc_id + k) % 7 + 1]) || b END AS whole FROM d, range(0, 3) t(k)),
+x AS (SELECT doc_id, k, m, CASE WHEN m = 6 THEN whole[13:] ELSE whole END AS data FROM r)
+SELECT doc_id, k::BIGINT AS ord, ['image/gif', 'image/gif', 'image/jpeg', 'image/png', 'image/bmp', 'application/octet-stream', 'application/octet-stream'][m] AS mime, octet_length(data)::BIGINT AS bytes,
+       sha256(data) AS sha256 FROM x""",
+    "cover_pick": """
+SELECT doc_id, ['OK', 'OK', 'OK', 'NoCover', 'RecordRange'][doc_id % 5 + 1] AS status, ['image/bmp', 'image/gif', 'image/bmp', '', ''][doc_id % 5 + 1] AS mime,
+       CASE WHEN doc_id % 5 IN (0, 2) THEN sha256('BM1' || coalesce(text, '')) WHEN doc_id % 5 = 1 THEN sha256('GIF89a0' || coalesce(text, '')) ELSE '' END AS sha256 FROM documents""",
     "font_decode": "SELECT doc_id, 'OK' AS status, sha256(coalesce(text, '')) AS sha256 FROM documents",
-    "open_status": "SELECT doc_id, ['OK', 'DRM', 'DRM', 'Corrupt', 'UnsupportedCompression', 'NotPalmDB', 'NotPalmDB', 'Corrupt', 'RecordRange', 'Corrupt'][doc_id % 10 + 1] AS status FROM documents",
+    "open_status": "SELECT doc_id, ['OK', 'DRM', 'DRM', 'Corrupt', 'UnsupportedCompression', 'NotPalmDB', 'NotPalmDB', 'Corrupt', 'RecordRange', 'Corrupt'][doc_id % 10 + 1] AS status, CASE WHEN doc_id % 10 = 0 THEN sha256('some text of a book ' || coalesce(text, '')) ELSE '' END AS sha256 FROM documents",
     "combo_halves": """
 SELECT doc_id, 'mobi6' AS half, 1::BIGINT AS sections, strlen(coalesce(text, '')) + 4 AS last_end, sha256('old ' || coalesce(text, '')) AS first_sha256 FROM documents
 UNION ALL SELECT doc_id, 'main', 1, strlen(coalesce(text, '')), sha256(coalesce(text, '')) FROM documents""",
-    "half_relative_position": "SELECT doc_id, 3::BIGINT AS filepos, 0::BIGINT AS ord FROM documents",
+    "half_relative_position": "WITH d AS (SELECT doc_id, strlen(coalesce(text, '')) AS n FROM documents) SELECT doc_id, 0::BIGINT AS filepos, 0::BIGINT AS ord FROM d UNION SELECT doc_id, 120 + n // 2, 1 FROM d WHERE n > 0 UNION SELECT doc_id, 119 + n, 1 FROM d",
     "pos_resolve": """
 WITH d AS (SELECT doc_id, strlen(coalesce(text, '')) // 2 AS a, strlen(coalesce(text, '')) - strlen(coalesce(text, '')) // 2 AS b FROM documents),
 r AS (SELECT *, CASE WHEN a >= 16 THEN 0 WHEN b >= 16 THEN 1 END AS first FROM d),

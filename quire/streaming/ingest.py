@@ -12,11 +12,14 @@ TABLES = ("status", "metadata", "sections", "toc", "guide")
 
 
 def ingest(spark: SparkSession, source: str, target: str, checkpoint: str, tables: tuple[str, ...] = TABLES, glob: str | None = None) -> StreamingQuery:
-    """Starts a query that ends once all files present are in. A batch that is run again overwrites what it wrote before."""
+    """Starts a query that ends once all files present are in. Books are opened once a batch. A batch that is run again overwrites what it wrote before."""
 
     def batch(files: DataFrame, number: int) -> None:
-        library = Library(files)
-        for name in tables:
-            getattr(library, name).write.mode("overwrite").parquet(f"{target}/{name}/batch={number}")
+        library = Library(files).keep()
+        try:
+            for name in tables:
+                getattr(library, name).write.mode("overwrite").parquet(f"{target}/{name}/batch={number}")
+        finally:
+            library.release()
 
     return stream_files(spark, source, glob).writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
