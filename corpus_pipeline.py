@@ -3,7 +3,11 @@
 Toxic documents go; of equal texts one document stays, of near-duplicates (five-word shingles, similarity 0.8
 or more) the least doc_id. Mixing then gives whole documents, some of them more than once, so that sources come
 near their target weights, and packing gives a row a piece of a 1024-token sequence. Each stage's result
-is written to the shared folder and read again, so a lost executor costs at most the stage that runs.
+is written to the shared folder and read again, so a lost executor costs at most the stage that runs; the result of the
+stage before is deleted once the next one is written.
+
+Null texts are empty texts, rows of a null or repeated doc_id are documents by their own text, extra columns stay up to
+the mixing, and an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -42,5 +46,6 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
-        docs = common.save(stage(spark, docs, sf_dir), name)
+        before, docs = docs, common.save(stage(spark, docs, sf_dir), name)
+        common.discard(before)
     return docs

@@ -8,7 +8,8 @@ lower bound of its host's posterior, mean - z * sd, reaches the threshold.
 
 A suffix is the host's last label, a registered domain its last two labels, or three where the last label
 but one is a short generic one under a two-letter suffix (``co.uk``). Null urls and urls without ``://``
-have empty host and path; an empty host is a host like any other. Repeated rows each count.
+have empty host and path; an empty host is a host like any other. Repeated rows each count. Columns but page_id and url are
+ignored. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -16,6 +17,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import common
+
 #: (host, path, verdict): a rule fits its host and all subdomains, if the path starts with the rule's.
 RULES = (("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block"))
 THRESHOLD, Z, LEAST, MOST = 0.5, 1.0, 2.0, 1000.0
@@ -54,7 +57,7 @@ def _shrink(level: DataFrame, key: str, parent: DataFrame, parent_key: str | Non
     if parent_key is None:
         up = level.crossJoin(F.broadcast(parent))  # one row: the overall share
     else:
-        up = level.join(parent.select(F.col(parent_key).alias("_p"), "mean"), F.col(parent_key) == F.col("_p")).drop("_p")
+        up = level.join(common.sized(parent.select(F.col(parent_key).alias("_p"), "mean"), 96), F.col(parent_key) == F.col("_p")).drop("_p")
     share, m = F.col("good") / F.col("n"), F.col("mean")
     # Var(share) = m (1 - m) (1 / n + (1 - 1 / n) / (s + 1)) for a prior of strength s
     sums = up.where("n > 0").agg(F.sum(F.col("n") * (share - m) * (share - m)).alias("q"), F.sum(m * (1 - m)).alias("v1"), F.sum((F.col("n") - 1) * m * (1 - m)).alias("v2"))
@@ -71,12 +74,14 @@ def reputation(outcomes: DataFrame) -> DataFrame:
     The counts are combined before the shuffle, so a host with a third of all pages is a row a task.
     """
     per = outcomes.groupBy("host").agg(F.count("good").alias("n"), F.coalesce(F.sum("good"), F.lit(0)).alias("good"))
-    hosts = per.select("host", domain_of(F.col("host")).alias("domain"), "n", "good")
+    # each level is counted once: pages are read for the hosts alone
+    hosts = common.save(per.select("host", domain_of(F.col("host")).alias("domain"), "n", "good"), "hosts")
     domains = hosts.groupBy("domain").agg(F.sum("n").alias("n"), F.sum("good").alias("good")).withColumn("suffix", F.substring_index("domain", ".", -1))
-    suffixes = domains.groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("good").alias("good"))
+    domains = common.save(domains, "domains")
+    suffixes = common.save(domains.groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("good").alias("good")), "suffixes")
     root = suffixes.agg(((F.coalesce(F.sum("good"), F.lit(0)) + 1) / (F.coalesce(F.sum("n"), F.lit(0)) + 2)).alias("mean"))
-    s = _shrink(suffixes, "suffix", root, None)
-    d = _shrink(domains, "domain", s, "suffix")
+    s = common.save(_shrink(suffixes, "suffix", root, None), "suffix-posteriors")
+    d = common.save(_shrink(domains, "domain", s, "suffix"), "domain-posteriors")
     h = _shrink(hosts, "host", d, "domain")
     sd = F.sqrt(F.col("a") * F.col("b") / ((F.col("a") + F.col("b")) * (F.col("a") + F.col("b")) * (F.col("a") + F.col("b") + 1)))
     return h.select("host", "mean", sd.alias("sd"))
@@ -88,8 +93,8 @@ def judge(pages: DataFrame, rules=RULES, threshold: float = THRESHOLD, z: float
     name, verdict = match(F.col("host"), F.col("path"), rules)
     seen = seen.select("*", name.alias("rule"), verdict.alias("ruled"))
     good = F.when(F.col("ruled") == "allow", 1).when(F.col("ruled") == "block", 0)
-    rep = reputation(seen.select("host", good.alias("good"))).withColumnRenamed("host", "_h")
-    out = seen.join(rep, F.col("host") == F.col("_h"))
+    rep = common.save(reputation(seen.select("host", good.alias("good"))).withColumnRenamed("host", "_h"), "reputation")
+    out = seen.join(common.sized(rep, 160), F.col("host") == F.col("_h"))
     lower = F.round(F.col("mean") - z * F.col("sd"), 9)
     own = F.when(lower >= threshold, "allow").otherwise("block")
     return out.select("page_id", "host", "path", "rule", F.coalesce("ruled", own).alias("verdict"), lower.alias("lower"))

@@ -441,6 +441,42 @@ def test_near_templated_group(spark):
     assert got <= want and len(got) >= 0.9 * len(want)
 
 
+def test_near_on_the_test_table(spark):
+    """The documents that stay, against an exact join over all texts of the table."""
+    import os
+
+    path = "/root/testdata/sf0.01/documents.parquet"
+    if not os.path.exists(path):
+        pytest.skip("no test data")
+    df = spark.read.parquet(path)
+    sets, holders = {}, defaultdict(list)
+    for r in df.select("doc_id", "text").collect():
+        w = re.sub("[A-Z]", lambda m: m[0].lower(), r["text"] or "").encode().split()
+        if w:
+            sets[r["doc_id"]] = {b" ".join(w[p : p + 5]) for p in range(max(1, len(w) - 4))}
+    for k, x in sets.items():
+        for sh in x:
+            holders[sh].append(k)
+    root = {k: k for k in sets}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for k, x in sets.items():
+        # a partner shares four fifths of the shingles, so one that is not among the commonest fifth
+        rare = sorted(x, key=lambda sh: len(holders[sh]))[: len(x) - int(0.8 * len(x)) + 1]
+        for other in {o for sh in rare for o in holders[sh] if o < k}:
+            y = sets[other]
+            if len(x & y) >= 0.8 * len(x | y):
+                a, b = find(k), find(other)
+                root[max(a, b)] = min(a, b)
+    want = {k for k in sets if find(k) == k}
+    got = {r["doc_id"] for r in simhash.deduplicate(df).select("doc_id").collect()}
+    assert want <= got and len(got & set(sets)) - len(want) <= 0.02 * (len(sets) - len(want))
+
+
 def test_near_repeats(spark):
     """Texts that differ in how often a passage repeats, and near copies among texts that one repeated passage rules."""
     from quire.llm import common
@@ -609,13 +645,89 @@ def test_toxicity_held_out(spark):
     assert row["n"] > 100 and row["right"] >= 0.97
 
 
+def _near_classes(rows):
+    """Least id of each class of texts whose distinct five-word shingles reach 0.8, over all pairs."""
+    sets = {}
+    for k, t in rows:
+        w = re.sub("[A-Z]", lambda m: m[0].lower(), t or "").split()
+        sets[k] = {" ".join(w[p : p + 5]) for p in range(max(1, len(w) - 4))} if w else set()
+    root = {k: k for k in sets}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a in sets:
+        for b in sets:
+            if a < b and sets[a] and sets[b] and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]):
+                x, y = find(a), find(b)
+                root[max(x, y)] = min(x, y)
+    return {k: find(k) for k in sets}
+
+
 def test_pipeline(spark, tmp_path, docs):
+    """Every stage on all that its predecessor kept, each against a plain version."""
     import corpus_pipeline
+    from tokenizers import Tokenizer
 
-    docs.select("doc_id", "text", "lang", "source", "n_chars").write.parquet(str(tmp_path / "documents.parquet"))
-    spark.createDataFrame([(k, 1, 0) for k in range(20)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
-    rows = corpus_pipeline.run(spark, str(tmp_path))
-    assert rows.count() > 0 and {"doc_id", "sequence_id"} <= set(rows.columns)
-    ids = {r[0] for r in rows.select("doc_id").collect()}
-    kept = {r[0] for r in simhash.deduplicate(exact_dedup.deduplicate(spark.read.parquet(str(tmp_path / "documents.parquet")))).select("doc_id").collect()}
-    assert ids <= kept
+    rng = __import__("random").Random(31)
+    words = ["".join(rng.choice("klmnopqrst") for _ in range(rng.randrange(2, 7))) for _ in range(300)]
+    say = lambda n: " ".join(rng.choice(words) for _ in range(n))
+    more, marks = [], {}
+    for k in range(400):
+        bad = k % 4 == 0
+        marks[5000 + k] = int(bad)
+        more.append((5000 + k, say(20) + (" you moron" if bad else " you friend") + " " + say(8), "en", f"s{k % 3}", 7))
+    more += [(9000 + k, say(120), "de", None, 7) for k in range(20)]
+    more += [(9100 + k, more[-1 - k][1].replace(" ", "  "), "de", "s1", 7) for k in range(5)] + [(9200 + k, more[400 + k][1] + " tail", "de", "s2", 7) for k in range(5)]
+    table = docs.select("doc_id", "text", "lang", "source", "n_chars").unionByName(spark.createDataFrame(more, "doc_id long, text string, lang string, source string, n_chars long"))
+    table.write.parquet(str(tmp_path / "documents.parquet"))
+    labels = spark.createDataFrame([(k, 1, v) for k, v in marks.items()], "doc_id long, quality int, toxic int")
+    labels.write.parquet(str(tmp_path / "labels.parquet"))
+    now, kept = spark.read.parquet(str(tmp_path / "documents.parquet")), []
+    for name, stage in corpus_pipeline.STAGES:
+        before, source = {r["doc_id"]: r["text"] for r in now.collect()}, {r["doc_id"]: r["source"] for r in now.collect()}
+        out = stage(spark, now, str(tmp_path))
+        assert name == "packing" or out.columns == table.columns
+        out.write.parquet(str(tmp_path / name))
+        after = spark.read.parquet(str(tmp_path / name))
+        ids = [r["doc_id"] for r in after.collect()]
+        kept.append((name, len(before), len(set(ids))))
+        if name == "toxicity":
+            model = toxicity.train(now, spark.read.parquet(str(tmp_path / "labels.parquet")))
+            g, w = toxicity.Grammar(model["lexicon"]), model["weights"]
+            score = {k: 1 / (1 + np.exp(-(np.log1p(g.features(t or "")) @ np.array(w[:-1]) + w[-1]))) for k, t in before.items()}
+            assert sorted(ids) == sorted(k for k in before if score[k] < 0.5)
+            assert not {k for k, bad in marks.items() if bad} & set(ids) and {k for k, bad in marks.items() if not bad} <= set(ids)
+        elif name == "exact_dedup":
+            best = {}
+            for k, t in before.items():
+                key = re.sub(r"[\x20\x09-\x0D]", "", t or "")
+                best[key] = min(best.get(key, (0, 1 << 60)), (-len(t or ""), k))
+            assert sorted(ids) == sorted(k for _, k in best.values())
+        elif name == "simhash_near_dedup":
+            classes = _near_classes(before.items())
+            assert sorted(ids) == sorted(set(classes.values())) and len(ids) < len(before)
+        elif name == "mixing":
+            size = {k: len((t or "").split()) for k, t in before.items()}
+            total, given = Counter(), Counter()
+            for k, n in size.items():
+                total[source[k]] += n
+            for k in ids:
+                given[source[k]] += size[k]
+            longest = max(size.values())
+            assert max(Counter(ids).values()) <= 3
+            assert all(abs(given[s] - t) <= longest for s, t in mixing.targets(list(total.items())).items())
+        else:
+            t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+            rows = after.collect()
+            want = Counter({k: n * len([*t.encode(before[k] or "", add_special_tokens=False).ids, 2]) for k, n in Counter(r["doc_id"] for r in now.collect()).items()})
+            got = Counter()
+            for r in rows:
+                got[r["doc_id"]] += r["length"]
+            assert got == want and len({r["sequence_id"] for r in rows}) <= -(-sum(want.values()) // 1024) + 2
+        now = after
+    assert [n for n, _, _ in kept] == ["toxicity", "exact_dedup", "simhash_near_dedup", "mixing", "packing"]
+    whole = corpus_pipeline.run(spark, str(tmp_path))
+    assert sorted(r["ids"] for r in whole.collect()) == sorted(r["ids"] for r in now.collect())
