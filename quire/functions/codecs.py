@@ -231,43 +231,46 @@ class Phrases:
             self.phrases.append(data[first : first + (head & 0x7FFF)])
             self.plain.append(head >= 0x8000)
 
-    def codes(self, data: bytes):
+    def codes(self, data: bytes) -> list[int]:
         """Phrase numbers of a bit string."""
-        length, window, at = 8 * len(data), int.from_bytes(data + b"\0" * 5, "big"), 0
-        top = length + 40 - 32
+        length, padded, at, out = 8 * len(data), data + bytes(8), 0, []
+        quick, low, high, known, word = self.quick, self.low, self.high, len(self.phrases), struct.Struct(">Q").unpack_from
         while at < length:
-            bits = window >> (top - at) & 0xFFFFFFFF
-            size, final, value = self.quick[bits >> 24]
+            # the 32 bits from this place on
+            bits = word(padded, at >> 3)[0] >> (32 - (at & 7)) & 0xFFFFFFFF
+            size, final, value = quick[bits >> 24]
             if not size:
                 raise Damaged
             if not final:
-                while size <= 32 and bits >> (32 - size) < self.low[size]:
+                while size <= 32 and bits >> (32 - size) < low[size]:
                     size += 1
                 if size > 32:
                     raise Damaged
-                value = self.high[size]
+                value = high[size]
             at += size
             if at > length:
-                return
+                break
             # numbers wrap at 32 bits, as the tables are unsigned
             number = value - (bits >> (32 - size)) & 0xFFFFFFFF
-            if number >= len(self.phrases):
+            if number >= known:
                 raise Damaged
-            yield number
+            out.append(number)
+        return out
 
     def unpack(self, data: bytes) -> bytes:
         """Expansion with a stack of our own: phrases nest deeper than Python's calls may."""
-        stack, busy = [(None, self.codes(data), bytearray())], set()
+        phrases, plain = self.phrases, self.plain
+        stack, busy = [(None, iter(self.codes(data)), bytearray())], set()
         while True:
             number, codes, out = stack[-1]
             for code in codes:
-                if not self.plain[code]:
+                if not plain[code]:
                     if code in busy or len(stack) > MOST_NESTED:
                         raise Damaged
                     busy.add(code)
-                    stack.append((code, self.codes(self.phrases[code]), bytearray()))
+                    stack.append((code, iter(self.codes(phrases[code])), bytearray()))
                     break
-                out += self.phrases[code]
+                out += phrases[code]
                 if len(out) > MOST_OUTPUT:
                     raise Damaged
             else:
@@ -275,7 +278,7 @@ class Phrases:
                 if not stack:
                     return bytes(out)
                 busy.discard(number)
-                self.phrases[number], self.plain[number] = bytes(out), True
+                phrases[number], plain[number] = bytes(out), True
                 stack[-1][2].extend(out)
                 if len(stack[-1][2]) > MOST_OUTPUT:
                     raise Damaged

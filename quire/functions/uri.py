@@ -1,4 +1,8 @@
-"""kindle: references: parsing and rendering, native."""
+"""kindle: references: parsing and rendering, native.
+
+Fixed by the format: ``kindle:flow:N`` and ``kindle:embed:N``, both with ``?mime=TYPE`` or without, and
+``kindle:pos:fid:N:off:N``; numbers are base 32.
+"""
 
 from __future__ import annotations
 
@@ -7,29 +11,34 @@ from pyspark.sql import functions as F
 
 from .columns import base32, from_base32
 
-_RESOURCE = r"\Akindle:(flow|embed):([0-9A-Za-z_]+)(?:\?mime=([0-9A-Za-z_/+.-]+))?\z"
-_PLACE = r"\Akindle:pos:fid:([0-9A-Za-z_]+):off:([0-9A-Za-z_]+)\z"
+SCHEME, TYPED = "kindle", "?mime="
 
 
 def parse_uri(uri: Column) -> Column:
     """struct(status, kind, flow, embed, fid, off, mime); fields of another kind are 0 or empty."""
-    resource, place = uri.rlike(_RESOURCE), uri.rlike(_PLACE)
-    kind = F.when(resource, F.regexp_extract(uri, _RESOURCE, 1)).when(place, F.lit("pos"))
-    number = F.when(resource, from_base32(F.regexp_extract(uri, _RESOURCE, 2)))
-    fid, off = (F.when(place, from_base32(F.regexp_extract(uri, _PLACE, g))) for g in (1, 2))
-    good = F.coalesce((resource & number.isNotNull()) | (place & fid.isNotNull() & off.isNotNull()), F.lit(False))
-    zero = F.lit(0).cast("long")
+    words = F.split(uri, ":", -1)
+    word = lambda k: F.get(words, F.lit(k))
+    ours, size, kind = word(0) == SCHEME, F.size(words), word(1)
+    # what stands before and behind the type's mark
+    cut = F.instr(word(2), TYPED)
+    value = F.when(cut > 0, F.substring(word(2), F.lit(1), cut - 1)).otherwise(word(2))
+    mime = F.when(cut > 0, F.substring(word(2), cut + len(TYPED), F.length(word(2)))).otherwise("")
+    number, fid, off = from_base32(value), from_base32(word(3)), from_base32(word(5))
+    resource = ours & (size == 3) & kind.isin("flow", "embed") & number.isNotNull() & ((cut == 0) | mime.rlike(r"\A[0-9A-Za-z_/+.-]+\z"))
+    place = ours & (size == 6) & (kind == "pos") & (word(2) == "fid") & (word(4) == "off") & fid.isNotNull() & off.isNotNull()
+    resource, place = F.coalesce(resource, F.lit(False)), F.coalesce(place, F.lit(False))
+    none = F.lit(0).cast("long")
     return F.struct(
-        F.when(good, "OK").otherwise("NotKindleURI").alias("status"),
-        F.when(good, kind).otherwise("").alias("kind"),
-        F.when(good & (kind == "flow"), number).otherwise(zero).alias("flow"),
-        F.when(good & (kind == "embed"), number).otherwise(zero).alias("embed"),
-        F.when(good & place, fid).otherwise(zero).alias("fid"),
-        F.when(good & place, off).otherwise(zero).alias("off"),
-        F.when(good & resource, F.regexp_extract(uri, _RESOURCE, 3)).otherwise("").alias("mime"),
+        F.when(resource | place, "OK").otherwise("NotKindleURI").alias("status"),
+        F.when(resource | place, kind).otherwise("").alias("kind"),
+        F.when(resource & (kind == "flow"), number).otherwise(none).alias("flow"),
+        F.when(resource & (kind == "embed"), number).otherwise(none).alias("embed"),
+        F.when(place, fid).otherwise(none).alias("fid"),
+        F.when(place, off).otherwise(none).alias("off"),
+        F.when(resource, mime).otherwise("").alias("mime"),
     )
 
 
 def place_uri(fid: Column, off: Column) -> Column:
     """The reference to a byte of a fragment."""
-    return F.concat(F.lit("kindle:pos:fid:"), base32(fid, 4), F.lit(":off:"), base32(off, 10))
+    return F.concat(F.lit(f"{SCHEME}:pos:fid:"), base32(fid, 4), F.lit(":off:"), base32(off, 10))

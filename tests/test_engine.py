@@ -128,7 +128,7 @@ def test_uri_parsing(spark):
     from pyspark.sql import functions as F
 
     cases = {"kindle:flow:0010?mime=text/css": ("flow", 32, 0, 0, 0, "text/css"), "kindle:embed:000B?mime=image/gif": ("embed", 0, 11, 0, 0, "image/gif"), "kindle:pos:fid:000A:off:0000000010": ("pos", 0, 0, 10, 32, "")}
-    bad = ["kindle:flow:", "kindle:embed:00W1", "kindle:pos:fid:1", "filepos:123", "", "kindle:flow:0001\n", "kindle:flow:" + "V" * 14]
+    bad = ["kindle:flow:", "kindle:embed:00W1", "kindle:pos:fid:1", "filepos:123", "", "kindle:flow:0001\n", "kindle:flow:" + "V" * 14, "kindle:embed:0001?mime=", "kindle:embed:0001?mime=a?mime=b", "kindle:embed:0001?x", "kindle:flow:0001?mime=a:b", "kindle:pos:fid:0001:off:0001:", "Kindle:flow:0001", "kindle:flow:0001 ", "kindle:pos:fid:0001?mime=a:off:0"]
     got = {r["uri"]: r["u"] for r in spark.createDataFrame([(u,) for u in [*cases, *bad]], "uri string").withColumn("u", parse_uri(F.col("uri"))).collect()}
     for u, want in cases.items():
         assert tuple(got[u])[1:] == want and got[u]["status"] == "OK"
@@ -184,6 +184,74 @@ def test_container_rules(spark):
     assert {r["path"]: r["status"] for r in got} == {k: v[1] for k, v in cases.items()}
 
 
+def test_native_containers_agree(spark):
+    """The native table rules and those of opening give the same status, records and name, also of damaged files."""
+    from quire.functions import book
+    from quire.functions.codecs import Damaged
+    from quire.operators.container import containers
+
+    rng, cases = random.Random(8), {}
+    for n, (name, whole) in enumerate(books().items()):
+        cases[name] = whole
+        for k in range(25):
+            data = bytearray(whole)
+            for _ in range(3):
+                data[rng.randrange(min(len(data), 120))] = rng.randrange(256)
+            cases[f"{name}-{k}"] = bytes(data)
+    got = containers(spark.createDataFrame([(k, bytearray(v)) for k, v in cases.items()], "path string, content binary")).select("path", "status", "offsets", "name").collect()
+    assert len(got) == len(cases)
+    for r in got:
+        try:
+            c = book.Container(cases[r["path"]])
+            assert (r["status"], list(r["offsets"]), bytes(r["name"])) == ("OK", c.offsets, c.name)
+        except Damaged as e:
+            assert r["status"] == e.status
+
+
+def test_bytes_that_are_no_text_stay(spark):
+    """Labels, titles and text in UTF-8 are taken over unchecked."""
+    bad = b"a\xff&amp;\xc3"
+    raw = b'<toc><tocpoint filepos="1">' + bad + b'</tocpoint></toc><guide><reference type="\xfe" title="' + bad + b'" filepos=3></guide>'
+    lib = Library.from_bytes(spark, {"x": e.mobi6(raw, exth=[(503, bad), (100, bad)])})
+    want = b"a\xff&\xc3"
+    from pyspark.sql import functions as F
+
+    assert bytes(lib.toc.select(F.col("label").cast("binary")).first()[0]) == want
+    assert [bytes(x) for x in lib.guide.select(F.col("label").cast("binary"), F.col("type").cast("binary")).first()] == [want, b"\xfe"]
+    assert [bytes(x) for x in lib.metadata.select(F.col("title").cast("binary"), F.col("authors")[0].cast("binary")).first()] == [want, want]
+
+
+def test_kept_books_give_the_same_tables(spark, lib):
+    kept = Library.from_bytes(spark, books()).keep()
+    try:
+        for view in Library.VIEWS:
+            a, b = getattr(lib, view), getattr(kept, view)
+            assert a.schema == b.schema and sorted(map(str, a.collect())) == sorted(map(str, b.collect())), view
+    finally:
+        kept.release()
+    assert {r["path"]: bytes(r["name"]) for r in lib.names.where("path in ('none', 'drm')").collect()} == {"none": b"book", "drm": b"book"}
+    assert {(r["path"], r["half"]): r["num_resources"] for r in lib.num_resources.collect()}["pd", "main"] == 4
+
+
+def test_long_contents_and_sections(spark):
+    """Thousands of entries, sections and fragments in one book take time in proportion."""
+    import time
+
+    from quire.functions import book
+    from quire.functions.codecs import assemble_documents
+
+    n, start = 60_000, time.time()
+    raw = b"<toc>" + b"".join(b'<tocpoint filepos="%d" tocdepth=%d>x</tocpoint>' % (k, k % 7) for k in range(n)) + b"</toc>" + b"<mbp:pagebreak/>ab" * n
+    got = book.marked_toc(raw, 65001)
+    assert len(got) == n and got[13]["parent"] == 12 and got[14]["parent"] == -1 and got[13]["depth"] == 6
+    import re
+
+    assert len(book.section_ends(raw, re.compile(book.PAGEBREAK))) == n + 1
+    frags = [{"insert_offset": 3 + 2 * k, "length": 2, "seq": k} for k in range(n)]
+    doc = assemble_documents(b"<b></b>" + b"xy" * n, 0, [{"offset": 0, "length": 7, "num_frag": n}], frags)[0]
+    assert doc["content"] == b"<b>" + b"xy" * n + b"</b>" and time.time() - start < 10
+
+
 def test_files_and_stream(spark, tmp_path):
     from quire.streaming.ingest import ingest
 
