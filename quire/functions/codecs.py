@@ -8,6 +8,8 @@ import zlib
 from itertools import accumulate
 from xml.etree import ElementTree
 
+import numpy as np
+
 OK, CORRUPT, RANGE = "OK", "Corrupt", "RecordRange"
 #: Fixed limits of the format's readers: depth of nested phrases, bytes that one record may expand to.
 MOST_NESTED, MOST_OUTPUT = 4096, 32 << 20
@@ -163,34 +165,37 @@ _RUN = re.compile(rb"[\x00\x09-\x7f]+")
 
 
 def unpack_palmdoc(data: bytes) -> bytes:
-    out, at, end, run = bytearray(), 0, len(data), _RUN.match
+    out, at, end, size, run = bytearray(), 0, len(data), 0, _RUN.match
     while at < end:
         op = data[at]
-        if 9 <= op < 0x80 or not op:
-            stop = run(data, at).end()
-            out += data[at:stop]
-            at = stop
-        elif op >= 0xC0:
-            out += b" "
+        if op >= 0xC0:
+            out.append(0x20)
             out.append(op ^ 0x80)
             at += 1
+            size += 2
         elif op >= 0x80:
             if at + 2 > end:
                 raise Damaged
-            pair = (op << 8 | data[at + 1]) & 0x3FFF
-            back, length = pair >> 3, (pair & 7) + 3
-            first = len(out) - back
+            back, length = (op & 0x3F) << 5 | data[at + 1] >> 3, (data[at + 1] & 7) + 3
+            first = size - back
             if not back or first < 0:
                 raise Damaged
             # a copy that reaches itself repeats its beginning
             out += out[first : first + length] if back >= length else (out[first:] * (length // back + 1))[:length]
             at += 2
+            size += length
+        elif op >= 9 or not op:
+            stop = run(data, at).end()
+            out += data[at:stop]
+            size += stop - at
+            at = stop
         else:
             at += 1
             if at + op > end:
                 raise Damaged
             out += data[at : at + op]
             at += op
+            size += op
     return bytes(out)
 
 
@@ -221,15 +226,17 @@ class Phrases:
         n = min(n, 1 << min(bits, 40))
         if area + 2 * n > len(data):
             raise Damaged
-        for (at,) in struct.iter_unpack(">H", data[area : area + 2 * n]):
-            if area + at + 2 > len(data):
-                raise Damaged
-            (head,) = struct.unpack_from(">H", data, area + at)
-            first = area + at + 2
-            if first + (head & 0x7FFF) > len(data):
-                raise Damaged
-            self.phrases.append(data[first : first + (head & 0x7FFF)])
-            self.plain.append(head >= 0x8000)
+        # places of the phrases' heads, and the heads: length, and whether the phrase is text as it stands
+        at = np.frombuffer(data, ">u2", n, area).astype(np.int64) + area
+        if n and int(at.max()) + 2 > len(data):
+            raise Damaged
+        raw = np.frombuffer(data, np.uint8)
+        head = raw[at].astype(np.int64) << 8 | raw[at + 1]
+        end = at + 2 + (head & 0x7FFF)
+        if n and int(end.max()) > len(data):
+            raise Damaged
+        self.phrases += [data[a:b] for a, b in zip((at + 2).tolist(), end.tolist(), strict=True)]
+        self.plain += (head >= 0x8000).tolist()
 
     def codes(self, data: bytes) -> list[int]:
         """Phrase numbers of a bit string."""
