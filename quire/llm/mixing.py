@@ -195,6 +195,6 @@ def mixed_documents(docs: DataFrame) -> DataFrame:
     texts = docs.withColumn(own, common.text_hash()).withColumn(key, F.col("source").cast("string"))
     if not rows.where("m > 1").isEmpty():
         texts = texts.dropDuplicates(["doc_id", own, key])
-    asked = common.sized(placed, 96)
+    asked = common.sized(placed, 192)
     same = F.col("doc_id").cast("long").eqNullSafe(asked[d]) & (F.col(own) == asked[h]) & F.col(key).eqNullSafe(asked[s])
     return texts.join(asked, same).orderBy(F.asc_nulls_last(slot), middle).select(*(F.col(f"`{c}`") for c in columns))
