@@ -6,7 +6,8 @@
 2. Each owner decodes its blobs, counts the partitions that sent a fingerprint, and answers each of them
    with a bitmap. A row is a suspect if its bit is set or its fingerprint is repeated in its partition.
 3. Only suspects' texts are looked up again and grouped by their bytes. The grouping combines on the map
-   side, so a text crosses the shuffle at most once a map task.
+   side, so a text crosses the shuffle at most once a map task. The look-up joins the suspects' ids by broadcast; where they are
+   too many for that, a Bloom filter of 32 MB over them keeps other texts from the join's shuffle.
 
 Of rows that repeat a doc_id with an equal text one stays: rows are known by their scan partition and place there. Null
 text counts as empty; a null doc_id sorts after all others as keeper. Extra columns are ignored by ``duplicates`` and
@@ -16,17 +17,20 @@ kept by ``deduplicate``. An empty table gives an empty result.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import common
 
+#: Slices of the filter that stands before the shuffle of many suspects.
+SLICES = 64
 SPACE = b" \t\n\x0b\x0c\r"
 _OUT = "kind int, part int, row long, doc_id long, raw long, n_chars long, fp long, sha string, owner int, n long, blob binary"
 _ARROW = pa.schema(
@@ -128,12 +132,57 @@ def _normalise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(raw, pa.binary()), pa.array([hashlib.sha256(t).hexdigest() for t in raw])], ["norm", "sha"])
 
 
-def duplicates(docs: DataFrame) -> DataFrame:
-    """A row a document: doc_id, keep_id, group_size, kept, text_sha256."""
-    return _judged(docs).drop("raw")
+def _places(h: np.ndarray, bits: int, probes: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(slice, bit) of each probe of 64-bit hashes in a Bloom filter of SLICES slices of 2 ** bits bits."""
+    step, at = (h >> np.uint64(34)) | np.uint64(1), h >> np.uint64(6)
+    for k in range(probes):
+        yield (h % np.uint64(SLICES)).astype(np.int64), ((at + np.uint64(k) * step) & np.uint64((1 << bits) - 1)).astype(np.int64)
 
 
-def _judged(docs: DataFrame) -> DataFrame:
+def _slices(bits: int, probes: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, np.ndarray] = {}
+        for b in batches:
+            for s, at in _places(b.column(0).to_numpy().view(np.uint64), bits, probes):
+                for k in np.unique(s).tolist():
+                    held.setdefault(k, np.zeros(1 << bits, bool))[at[s == k]] = True
+        for k, x in held.items():
+            yield pa.RecordBatch.from_pydict({"slice": pa.array([k], pa.int32()), "filled": pa.array([np.packbits(x, bitorder="little").tobytes()], pa.binary())})
+
+    return run
+
+
+def bloom(keys: DataFrame, count: int, bits: int = 22) -> Callable[[Column], Column]:
+    """A filter over hashes (keys: one column of longs): true for all of keys, and for few others while keys are few for its
+    SLICES * 2 ** bits bits. Its size is fixed; each slice is filled by one task."""
+    probes = max(1, min(8, round(0.7 * SLICES * (1 << bits) / max(1, count))))
+    key = keys.columns[0]
+    rows = keys.repartition(SLICES, F.pmod(F.col(key).bitwiseAND(F.lit(SLICES - 1)), F.lit(SLICES))).mapInArrow(_slices(bits, probes), "slice int, filled binary")
+    found = keys.sparkSession.sparkContext.broadcast({r["slice"]: bytes(r["filled"]) for r in rows.collect()})  # 32 MB
+
+    @F.arrow_udf(T.BooleanType())
+    def maybe(hashes: pa.Array) -> pa.Array:
+        h = hashes.to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
+        out = np.ones(len(h), bool)
+        for s, at in _places(h, bits, probes):
+            for k in np.unique(s).tolist():
+                mine = s == k
+                if k not in found.value:
+                    out[mine] = False
+                    continue
+                filled = np.frombuffer(found.value[k], np.uint8)
+                out[mine] &= (filled[at[mine] >> 3] >> (at[mine] & 7)) & 1 == 1
+        return pa.array(out)
+
+    return maybe
+
+
+def duplicates(docs: DataFrame, limit: int = common.BROADCAST_BYTES) -> DataFrame:
+    """A row a document: doc_id, keep_id, group_size, kept, text_sha256. limit: bytes of suspects' ids that are broadcast."""
+    return _judged(docs, limit).drop("raw")
+
+
+def _judged(docs: DataFrame, limit: int = common.BROADCAST_BYTES) -> DataFrame:
     """duplicates, and raw, the text's hash as common.text_hash gives it."""
     spark = docs.sparkSession
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
@@ -146,8 +195,14 @@ def _judged(docs: DataFrame) -> DataFrame:
     common.discard(sent)
 
     ids = common.save(marked.where("suspect").select(F.col("doc_id").alias("s")).distinct(), "suspects")
-    wanted = common.sized(ids, 64)
-    again = texts.join(wanted, texts["doc_id"].eqNullSafe(wanted["s"]), "left_semi").select("text").mapInArrow(_normalise, "norm binary, sha string")
+    count = ids.count()
+    wanted, asked = ids, texts
+    if count * 64 <= limit:
+        wanted = F.broadcast(ids)
+    else:
+        # suspects are too many to send to every executor: a filter of fixed size keeps most other texts out of the shuffle
+        asked = texts.where(bloom(ids.select(F.xxhash64("s").alias("h")), count)(F.xxhash64("doc_id")))
+    again = asked.join(wanted, asked["doc_id"].eqNullSafe(wanted["s"]), "left_semi").select("text").mapInArrow(_normalise, "norm binary, sha string")
     # one row a distinct text: the bytes themselves are the grouping key
     twins = again.groupBy("norm", "sha").count().groupBy("sha").count().where("count > 1").limit(1).collect()
     if twins:

@@ -85,11 +85,24 @@ def test_exact(docs, empty):
     for r in got:
         t = norm[r["doc_id"]]
         assert tuple(r) == (r["doc_id"], keep[t], len(groups[t]), keep[t] == r["doc_id"], hashlib.sha256(t.encode()).hexdigest())
+    assert sorted(map(tuple, exact_dedup.duplicates(docs, limit=0).collect())) == sorted(map(tuple, got))
     left = exact_dedup.deduplicate(docs)
     assert left.columns == docs.columns and sorted(r[0] for r in left.select("doc_id").collect()) == sorted(keep.values())
     assert exact_dedup.duplicates(empty).count() == 0
 
 
+def test_bloom_filter(spark):
+    """All keys pass, few others do, and a filter that is too full lets everything through."""
+    keys = spark.range(0, 40_000, 2).select(F.xxhash64("id").alias("h"))
+    for bits, most in ((12, 0.05), (1, 1.0)):
+        ask = exact_dedup.bloom(keys, 20_000, bits)
+        got = spark.range(0, 40_000).select("id", ask(F.xxhash64("id")).alias("maybe")).groupBy((F.col("id") % 2).alias("odd")).agg(F.avg(F.col("maybe").cast("int")).alias("share")).collect()
+        share = {r["odd"]: r["share"] for r in got}
+        assert share[0] == 1.0 and share[1] <= most
+    none = exact_dedup.bloom(keys.limit(0), 0)
+    assert not spark.range(5).where(none(F.xxhash64("id"))).count()
+
+
 def test_exact_repeated_rows(spark):
     df = spark.createDataFrame([(1, "x"), (1, "x"), (2, "x "), (None, "x"), (3, "y")], "doc_id long, text string")
     got = exact_dedup.duplicates(df).collect()
