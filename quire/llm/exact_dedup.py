@@ -207,6 +207,7 @@ def _judged(docs: DataFrame, limit: int = common.BROADCAST_BYTES) -> DataFrame:
     twins = again.groupBy("norm", "sha").count().groupBy("sha").count().where("count > 1").limit(1).collect()
     if twins:
         raise ValueError(f"two texts share SHA-256 {twins[0]['sha']}")
+    common.discard(ids)
     first = F.min(F.struct((-F.col("n_chars")).alias("c"), F.col("doc_id").isNull().alias("z"), "doc_id", "part", "row")).alias("k")
     groups = marked.where("suspect").groupBy("sha").agg(F.count("*").alias("size"), first).where("size > 1")
     groups = common.sized(common.save(groups.select(F.col("sha").alias("g"), "size", F.col("k.doc_id").alias("keep"), F.col("k.part").alias("kp"), F.col("k.row").alias("kr")), "groups"), 256)

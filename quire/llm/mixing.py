@@ -115,7 +115,9 @@ def schedule(spark: SparkSession, plan: list[dict], block: int = BLOCK_TOKENS) -
     more = [(slots + i, k, held.get(k, 0) + t) for i, (k, t) in enumerate((k, t) for k in numbers if held.get(k, 0) < FEW for t in range(FEW))]
     if more:
         out = out.unionByName(spark.createDataFrame(more, "slot long, k int, r long"))
-    return common.save(out, "schedule"), {k: held.get(k, 0) + (FEW if held.get(k, 0) < FEW else 0) for k in numbers}
+    out = common.save(out, "schedule")
+    common.discard(drawn, counts, base)
+    return out, {k: held.get(k, 0) + (FEW if held.get(k, 0) < FEW else 0) for k in numbers}
 
 
 def _line(rows: DataFrame, plan: list[dict], slots: dict[int, int]) -> DataFrame:
@@ -132,7 +134,9 @@ def _line(rows: DataFrame, plan: list[dict], slots: dict[int, int]) -> DataFrame
     rows = rows.withColumn("inside", F.coalesce(F.sum("size").over(inside), F.lit(0)))
     rows = rows.join(common.sized(start, 32), (F.col("k") == F.col("bk")) & (F.col("bucket") == F.col("bb")))
     rows = rows.select(F.monotonically_increasing_id().alias("row"), "k", "source", "doc_id", "h", "size", "source_size", "target", "slots", (F.col("start") + F.col("inside")).alias("pos"))
-    return common.save(rows, "line")
+    out = common.save(rows, "line")
+    common.discard(sums, start)
+    return out
 
 
 def _edge(r, whole):
@@ -157,7 +161,9 @@ def blocks(docs: DataFrame) -> DataFrame:
     """The mix in order: slot, doc_id, first (word of the document), words."""
     rows, plan = _entries(docs)
     slots, counts = schedule(docs.sparkSession, plan)
-    return _blocks(_line(rows, plan, counts), slots).orderBy("slot", "row", "first").drop("row")
+    line = _line(rows, plan, counts)
+    common.discard(rows)
+    return _blocks(line, slots).orderBy("slot", "row", "first").drop("row")
 
 
 def mix(docs: DataFrame) -> DataFrame:
@@ -165,6 +171,7 @@ def mix(docs: DataFrame) -> DataFrame:
     rows, plan = _entries(docs)
     slots, counts = schedule(docs.sparkSession, plan)
     line = _line(rows, plan, counts)
+    common.discard(rows)
     got = _blocks(line, slots).groupBy(F.col("row").alias("g")).agg(F.sum("words").alias("taken"))
     return line.join(got, F.col("row") == F.col("g"), "left").select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
 
@@ -180,7 +187,8 @@ def mixed_documents(docs: DataFrame) -> DataFrame:
     columns = docs.columns
     rows, plan = _entries(docs)
     slots, counts = schedule(docs.sparkSession, plan)
-    line = _line(rows, plan, counts).withColumn("c", F.explode(F.sequence(F.lit(0), F.lit(REPEATS - 1))))
+    laid = _line(rows, plan, counts)
+    line = laid.withColumn("c", F.explode(F.sequence(F.lit(0), F.lit(REPEATS - 1))))
     line = line.withColumn("middle", F.col("c") * F.col("source_size") + F.col("pos") + F.col("size") / 2)
     least = (F.col("c") == 0) & (F.col("pos") == 0) & (F.col("size") > 0) & (F.col("target") > 0)
     line = line.where((F.col("middle") < F.col("target")) | least)
@@ -195,6 +203,7 @@ def mixed_documents(docs: DataFrame) -> DataFrame:
     texts = docs.withColumn(own, common.text_hash()).withColumn(key, F.col("source").cast("string"))
     if not rows.where("m > 1").isEmpty():
         texts = texts.dropDuplicates(["doc_id", own, key])
+    common.discard(rows, laid, slots)
     asked = common.sized(placed, 192)
     same = F.col("doc_id").cast("long").eqNullSafe(asked[d]) & (F.col(own) == asked[h]) & F.col(key).eqNullSafe(asked[s])
     return texts.join(asked, same).orderBy(F.asc_nulls_last(slot), middle).select(*(F.col(f"`{c}`") for c in columns))

@@ -152,6 +152,7 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = 1024, end_id: int = 2,
     table = spark.sparkContext.broadcast(places(pack_counts(counts, capacity)))  # at most ITEMS places a level
     before = F.sum("n").over(Window.partitionBy("length").orderBy("part")) - F.col("n")
     base = common.save(per.select(F.col("part").alias("p"), F.col("length").alias("l"), before.alias("before")), "ranks")
+    common.discard(per)
 
     def placed(low: int, high: int) -> DataFrame:
         # a piece file has one part, so the range reads its own files alone; at most WAVE * capacity rows are broadcast

@@ -238,9 +238,11 @@ def anonymise(docs: DataFrame, key: str = KEY) -> DataFrame:
     found = parts.join(common.sized(settled, 256), (F.col("kind") == F.col("sk")) & (F.col("canon") == F.col("sn")))
     found = found.select("form", "at", F.concat("before", rendered(F.col("kind"), F.col("piece"), F.col("sc"))).alias("s"))
     table = common.save(found.groupBy("form").agg(F.array_join(F.sort_array(F.collect_list(F.struct("at", "s")))["s"], "").alias("s")), "table")
+    common.discard(forms, parts, entities, settled)
     spread = hits.select("t", F.posexplode("e").alias("at", "entity")).join(common.sized(table, 256), F.col("entity") == F.col("form"))
     lists = spread.groupBy("t").agg(F.sort_array(F.collect_list(F.struct("at", "s"))).alias("s"))
     lists = common.save(lists.select(F.col("t").alias(t_), F.col("s.s").alias(s_)), "lists")
+    common.discard(hits, table)
     gaps = F.split(text, PATTERN, -1)
     swapped = F.zip_with(F.slice(gaps, 1, F.size(s_)), F.col(s_), lambda g, s: F.concat(g, s))
     whole = F.concat(F.array_join(swapped, ""), F.element_at(gaps, -1))

@@ -448,6 +448,7 @@ def fingerprint_components(docs: DataFrame, width: int = 3, radius: int = 3) ->
     # a fingerprint that one document has and no link needs no look-up: the document is its own component
     ids = nodes.join(named, F.col("w0") == F.col("k"), "left").where("n > 1 or top is not null")
     ids = common.save(ids.select(F.col("w0").alias("f"), F.coalesce("top", "least").alias("component_id"), F.lit(True).alias("shared")), "ids")
+    common.discard(nodes, roots)
     out = fps.join(common.sized(ids, 64), F.col("w0") == F.col("f"), "left")
     return out.select("doc_id", F.lower(F.lpad(F.hex("w0"), 16, "0")).alias("fingerprint"), F.when(F.col("shared"), F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
