@@ -82,7 +82,8 @@ class Library:
 
     @property
     def headers(self) -> DataFrame:
-        return self._kept if self._kept is not None else open_headers(self.files)
+        """Of headers alone: also of books whose damage lies behind them, kept or not."""
+        return open_headers(self.files)
 
     @property
     def status(self) -> DataFrame:
