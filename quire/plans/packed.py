@@ -14,7 +14,7 @@ _FILE = pa.schema([("path", pa.string()), ("content", pa.binary())])
 def packed(rows: DataFrame, build: Callable[[dict], bytes | None], key: str) -> DataFrame:
     """(path, content): a file a row of rows, named by the key column; rows that build gives None for are left out.
 
-    Where the setting ``quire.books`` names a folder, files are written there once and read from then on.
+    Where the setting ``quire.books`` names a folder, files are written there once, over several tasks, and read from then on.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -26,9 +26,10 @@ def packed(rows: DataFrame, build: Callable[[dict], bytes | None], key: str) ->
                     out.append((str(r[key]), content))
             yield pa.RecordBatch.from_pydict({"path": [p for p, _ in out], "content": [c for _, c in out]}, schema=_FILE)
 
-    files, folder = rows.mapInArrow(run, "path string, content binary"), rows.sparkSession.conf.get("quire.books", None)
+    folder = rows.sparkSession.conf.get("quire.books", None)
     if not folder:
-        return files
+        return rows.mapInArrow(run, "path string, content binary")
+    files = rows.repartition(4 * rows.sparkSession.sparkContext.defaultParallelism).mapInArrow(run, "path string, content binary")
     path = f"{folder}/{re.sub(r'[^A-Za-z0-9]+', '_', build.__qualname__)}"
     files.write.mode("ignore").option("compression", "none").parquet(path)
     return rows.sparkSession.read.parquet(path)
