@@ -39,6 +39,18 @@ SHARD_IDS, LEAST, STEP = 1 << 20, 8, 0.7
 _MAGIC, _HEAD = b"QRP2", struct.Struct("<4s4I")
 
 
+def _sorted(key: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """(order, sorted keys) of keys of so many bits. A key and its place share a word where they fit: words sort much faster than places by keys."""
+    place = len(key).bit_length()
+    if bits + place > 64:
+        order = np.argsort(key)
+        return order, key[order]
+    word = key << np.uint64(place)
+    word |= np.arange(len(key), dtype=np.uint64)
+    word.sort()
+    return (word & np.uint64((1 << place) - 1)).astype(np.int64), word >> np.uint64(place)
+
+
 class _Pairs:
     """The frequent pairs: how often each occurs, and where it stood when it came up. Counts only fall from then on."""
 
@@ -50,22 +62,25 @@ class _Pairs:
     def add(self, a: np.ndarray, b: np.ndarray, places: np.ndarray) -> np.ndarray:
         """Pair numbers of the places (-1: not frequent); none of these pairs was seen before."""
         number = np.full(len(a), -1, np.int32)
-        key = (a.astype(np.uint64) << np.uint64(32)) | b.astype(np.uint64)
+        low = int(b.max()).bit_length()
+        key = a.astype(np.uint64)
+        key <<= np.uint64(low)
+        key |= b.astype(np.uint64)
         # only places whose hash is frequent can hold a frequent pair
-        bits = max(8, len(a).bit_length() + 1)
-        bucket = ((key * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - bits)).astype(np.int32)
-        maybe = np.flatnonzero(np.bincount(bucket, minlength=1 << bits)[bucket] >= self.least)
+        bits = max(8, len(a).bit_length())
+        bucket = key * np.uint64(0x9E3779B97F4A7C15)
+        bucket >>= np.uint64(64 - bits)
+        bucket = bucket.view(np.int64)
+        maybe = np.flatnonzero((np.bincount(bucket, minlength=1 << bits) >= self.least)[bucket])
         if not len(maybe):
             return number
-        key = key[maybe]
-        order = np.argsort(key)
-        key = key[order]
+        order, key = _sorted(key[maybe], int(a.max()).bit_length() + low)
         lead = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
         size = np.diff(lead, append=len(key))
         often = size >= self.least
         keep, size, key = maybe[order[np.repeat(often, size)]], size[often], key[lead[often]]
         number[keep] = np.repeat(len(self.count) + np.arange(len(size), dtype=np.int32), size)
-        new = {"left": (key >> np.uint64(32)).astype(np.int64), "right": (key & np.uint64(0xFFFFFFFF)).astype(np.int64), "count": size, "size": size, "begin": len(self.at) + np.cumsum(size) - size, "live": len(self.count) + np.arange(len(size)), "at": places[keep]}
+        new = {"left": (key >> np.uint64(low)).astype(np.int64), "right": (key & np.uint64((1 << low) - 1)).astype(np.int64), "count": size, "size": size, "begin": len(self.at) + np.cumsum(size) - size, "live": len(self.count) + np.arange(len(size)), "at": places[keep]}
         for name, more in new.items():
             setattr(self, name, np.concatenate([getattr(self, name), more]))
         return number
@@ -99,9 +114,8 @@ def repair(ids: np.ndarray, terminals: int, least: int = LEAST, step: float = ST
     while len(top := pairs.take(step)):
         at, which = pairs.places(top)
         ok = pair[at] == top[which]
-        at, which = at[ok], which[ok]
-        order = np.argsort(at)
-        at, which = at[order], which[order]
+        word = np.sort((at[ok].astype(np.int64) << 32) | which[ok])
+        at, which = (word >> 32).astype(np.int32), (word & 0xFFFFFFFF).astype(np.int32)
         # of places that overlap, every other one from the left
         lead = np.flatnonzero(np.concatenate([[True], after[at[:-1]] != at[1:]]))
         turn = np.arange(len(at)) - np.repeat(lead, np.diff(lead, append=len(at)))
@@ -177,12 +191,10 @@ class Shard:
         self.reach = np.cumsum(self.size[self.symbols])
         # the expansions of all symbols, one after another; a rule's halves stand before it
         self.begin = np.cumsum(self.size) - self.size
-        text = np.concatenate([distinct.astype(np.uint32), np.zeros(int(lengths.sum()), np.uint32)])
-        begin, size = self.begin.tolist(), self.size.tolist()
-        for k, (a, b) in enumerate(self.rules.tolist(), n):
-            p, q = begin[k], size[a]
-            text[p : p + q] = text[begin[a] : begin[a] + q]
-            text[p + q : p + size[k]] = text[begin[b] : begin[b] + size[b]]
+        parts = [distinct[k : k + 1].tobytes() for k in range(n)]
+        for a, b in self.rules.tolist():
+            parts.append(parts[a] + parts[b])
+        text = np.frombuffer(b"".join(parts), "<u4")
         self.text = text
 
     def read(self, start: int, end: int) -> np.ndarray:

@@ -106,6 +106,20 @@ def test_repair_round_trip():
     assert len(shard.symbols) < 0.7 * n
 
 
+def test_repair_sorts_words_not_places(monkeypatch):
+    """Pairs are sorted together with their places; only the few pairs of a step are ranked by an order of places."""
+    rng = np.random.default_rng(17)
+    for bits in (30, 60):  # 60 bits leave no room for the place
+        key = rng.integers(0, 1 << bits, 5000).astype(np.uint64)
+        order, ranked = token_output._sorted(key, bits)
+        assert np.array_equal(ranked, np.sort(key)) and np.array_equal(key[order], ranked)
+    ranked, argsort = [], np.argsort
+    monkeypatch.setattr(np, "argsort", lambda x, *a, **k: ranked.append(len(x)) or argsort(x, *a, **k))
+    ids = rng.zipf(1.3, 100_000) % 500
+    token_output.repair(ids, 500)
+    assert sum(ranked) < len(ids) / 4
+
+
 def test_repair_leaves_no_frequent_pair():
     """Round trip, rules of lower symbols, right lengths; and no pair is left as often as a rule asks for."""
     rng = np.random.default_rng(16)
