@@ -32,8 +32,8 @@ from . import common
 REPEATS, BLOCK_TOKENS, BUCKET_ROWS, FEW, SEED = 3, 1024, 2_000, 4, 11
 #: The golden ratio's fraction times 2 ** 64.
 GOLDEN = 0x9E3779B97F4A7C15
-#: Slots that a task draws.
-_DRAWS = 1 << 20
+#: Slots that a task draws, and those of a stretch of whole documents at most.
+_DRAWS, PART_SLOTS = 1 << 20, 4096
 
 
 def targets(sizes: list[tuple[str | None, int]], repeats: int = REPEATS) -> dict[str | None, float]:
@@ -120,13 +120,27 @@ def schedule(spark: SparkSession, plan: list[dict], block: int = BLOCK_TOKENS) -
     return out, {k: held.get(k, 0) + (FEW if held.get(k, 0) < FEW else 0) for k in numbers}
 
 
+def _buckets(rows: int) -> int:
+    """Buckets of a source's line."""
+    return max(1, -(-rows // BUCKET_ROWS))
+
+
+def _at(doc_id, h, turn):
+    """A row's place in its source's shuffle."""
+    return F.xxhash64(doc_id, h, turn, F.lit(SEED))
+
+
+def _bucket(at, buckets):
+    return F.pmod(F.shiftright(at, 20), buckets)
+
+
 def _line(rows: DataFrame, plan: list[dict], slots: dict[int, int]) -> DataFrame:
     """A saved row a document: row, k, source, doc_id, h, size, source_size, target, slots, and pos, the words before it in its source's shuffled line."""
     spark = rows.sparkSession
-    about = _small(spark, [(k, p["source"], max(1, -(-p["rows"] // BUCKET_ROWS)), int(p["size"]), float(p["target"]), slots.get(k, 0)) for k, p in enumerate(plan)], "k int, s string, buckets long, source_size long, target double, slots long", 256)
+    about = _small(spark, [(k, p["source"], _buckets(p["rows"]), int(p["size"]), float(p["target"]), slots.get(k, 0)) for k, p in enumerate(plan)], "k int, s string, buckets long, source_size long, target double, slots long", 256)
     rows = rows.join(about, F.col("source").eqNullSafe(F.col("s"))).withColumn("turn", F.explode(F.sequence(F.lit(1).cast("long"), F.col("m"))))
     # buckets split a hot source; their order and that inside them are the shuffle
-    rows = rows.withColumn("at", F.xxhash64("doc_id", "h", "turn", F.lit(SEED))).withColumn("bucket", F.pmod(F.shiftright("at", 20), F.col("buckets")))
+    rows = rows.withColumn("at", _at(F.col("doc_id"), F.col("h"), F.col("turn"))).withColumn("bucket", _bucket(F.col("at"), F.col("buckets")))
     sums = common.save(rows.groupBy("k", "bucket").agg(F.sum("size").alias("w")), "buckets")
     first = F.sum("w").over(Window.partitionBy("k").orderBy("bucket")) - F.col("w")
     start = common.save(sums.select(F.col("k").alias("bk"), F.col("bucket").alias("bb"), first.alias("start")), "starts")
@@ -176,17 +190,22 @@ def mix(docs: DataFrame) -> DataFrame:
     return line.join(got, F.col("row") == F.col("g"), "left").select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
 
 
-def mixed_documents(docs: DataFrame) -> DataFrame:
-    """Whole documents in mix order, in docs' own columns.
+def mixed_documents(docs: DataFrame, limit: int = common.BROADCAST_BYTES) -> DataFrame:
+    """Whole documents in mix order, in docs' own columns. limit: bytes of steps that are broadcast.
 
     A document goes to the block that holds its middle word, once for each pass over its source in which there is
     one; blocks stand in the order of their slots. The first document of a source whose target ends before that
     document's middle is given once, so that no source with a target is lost. Rows of one doc_id, text and source are
     alike here: each of them that is given has the other columns of one of them.
+
+    Texts are moved once, to the stretch of slots they are given in. Along a source's line slots only rise, so a
+    bucket's rows of one stretch and pass are a range of hashes; these few ranges tell a text its stretches without a
+    shuffle, and there it meets its own places. Where rows are alike or sources too many for such a table, texts are
+    joined by id and hash first and sorted after, which moves them twice.
     """
-    columns = docs.columns
+    spark, columns = docs.sparkSession, docs.columns
     rows, plan = _entries(docs)
-    slots, counts = schedule(docs.sparkSession, plan)
+    slots, counts = schedule(spark, plan)
     laid = _line(rows, plan, counts)
     line = laid.withColumn("c", F.explode(F.sequence(F.lit(0), F.lit(REPEATS - 1))))
     line = line.withColumn("middle", F.col("c") * F.col("source_size") + F.col("pos") + F.col("size") / 2)
@@ -198,12 +217,35 @@ def mixed_documents(docs: DataFrame) -> DataFrame:
     block = F.col("near") + (_edge(F.col("near") + 1, whole) <= word).cast("long") - (_edge(F.col("near"), whole) > word).cast("long")
     line = line.withColumn("b", F.greatest(F.lit(0), F.least(F.col("slots") - 1, block))).withColumnRenamed("k", "lk")
     placed = line.join(slots, (F.col("lk") == F.col("k")) & (F.col("b") == F.col("r")), "left")
-    d, h, s, slot, middle, own, key = common.fresh(docs, "d", "h", "s", "slot", "middle", "own", "key")
-    placed = common.save(placed.select(F.col("doc_id").alias(d), F.col("h").alias(h), F.col("source").alias(s), F.col("slot").alias(slot), F.col("middle").alias(middle)), "placed")
+    n = max(1, sum(counts.values()))
+    parts = min(n, max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n // PART_SLOTS)))
+    part = F.least(F.lit(parts - 1), F.floor(F.coalesce("slot", F.lit(n - 1)) * parts / n)).cast("int")
+    d, h, s, slot, middle, own, key, lk, c, p = common.fresh(docs, "d", "h", "s", "slot", "middle", "own", "key", "lk", "c", "p")
+    placed = placed.select(F.col("doc_id").alias(d), F.col("h").alias(h), F.col("source").alias(s), F.col("slot").alias(slot), F.col("middle").alias(middle), F.col("lk").alias(lk), F.col("c").alias(c), part.alias(p))
+    placed = common.save(placed, "placed")
+    alike = not rows.where("m > 1").isEmpty()
+    common.discard(rows, laid, slots)
     texts = docs.withColumn(own, common.text_hash()).withColumn(key, F.col("source").cast("string"))
-    if not rows.where("m > 1").isEmpty():
+    id_ = F.col("doc_id").cast("long")
+    order, out = [F.asc_nulls_last(slot), F.col(middle)], [F.col(f"`{x}`") for x in columns]
+
+    if not alike and len(plan) * 256 <= limit:
+        src, buckets, k, at, bucket, sk, sc, sp, sb, lo, hi = common.fresh(docs, "src", "buckets", "k", "at", "bucket", "sk", "sc", "sp", "sb", "lo", "hi")
+        about = F.broadcast(spark.createDataFrame([(i, x["source"], _buckets(x["rows"])) for i, x in enumerate(plan)], f"{k} int, {src} string, {buckets} long"))
+        spots = placed.join(about, F.col(lk) == F.col(k)).withColumn(at, _at(F.col(d), F.col(h), F.lit(1).cast("long")))
+        steps = spots.groupBy(F.col(lk).alias(sk), _bucket(F.col(at), F.col(buckets)).alias(sb), F.col(c).alias(sc), F.col(p).alias(sp)).agg(F.min(at).alias(lo), F.max(at).alias(hi))
+        steps = common.save(steps, "steps")
+        if steps.count() * 128 <= limit:
+            known = texts.join(about, F.col(key).eqNullSafe(F.col(src))).withColumn(at, _at(id_, F.col(own), F.lit(1).cast("long"))).withColumn(bucket, _bucket(F.col(at), F.col(buckets)))
+            sent = known.join(F.broadcast(steps), (F.col(k) == F.col(sk)) & (F.col(bucket) == F.col(sb)) & F.col(at).between(F.col(lo), F.col(hi)))
+            sent = sent.select(*out, own, k, sc, sp).repartitionById(parts, F.col(sp))
+            same = (F.col(sp) == F.col(p)) & (F.col(sc) == F.col(c)) & (F.col(k) == F.col(lk)) & id_.eqNullSafe(F.col(d)) & (F.col(own) == F.col(h))
+            # both sides lie by stretch already, so neither is moved again
+            return sent.join(placed.drop(s).repartitionById(parts, F.col(p)).hint("merge"), same).sortWithinPartitions(*order).select(*out)
+        common.discard(steps)
+
+    if alike:
         texts = texts.dropDuplicates(["doc_id", own, key])
-    common.discard(rows, laid, slots)
-    asked = common.sized(placed, 192)
-    same = F.col("doc_id").cast("long").eqNullSafe(asked[d]) & (F.col(own) == asked[h]) & F.col(key).eqNullSafe(asked[s])
-    return texts.join(asked, same).orderBy(F.asc_nulls_last(slot), middle).select(*(F.col(f"`{c}`") for c in columns))
+    asked = common.sized(placed, 192, limit)
+    same = id_.eqNullSafe(asked[d]) & (F.col(own) == asked[h]) & F.col(key).eqNullSafe(asked[s])
+    return texts.join(asked, same).orderBy(*order).select(*out)

@@ -258,6 +258,28 @@ def test_mixed_documents_follow_the_schedule(spark):
     assert abs(len(rest) - 333) <= 2 and all(abs(rest[:n].count("b") - 0.4 * n) <= 30 for n in range(len(rest)))
 
 
+def test_mixed_documents_move_texts_once(spark, monkeypatch):
+    """However many places there are, no text crosses a second shuffle, and the mix is that of a join and a sort."""
+    rows = [(k, "w " * (1 + k * 37 % 90) + f"v{k}", [None, "a", "b", "c"][k % 4] if k % 5 else "d", k) for k in range(6000)]
+    rows += [(None, f"no id {k}", "c", k) for k in range(50)] + [(7, f"other {k}", "a", k) for k in range(50)] + [(9000, None, "d", 0)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, _h long").repartition(3)
+    # places beyond the limit of a broadcast
+    monkeypatch.setattr(mixing.common, "sized", lambda d, *a: d)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        mixed = mixing.mixed_documents(df)
+        plan = mixed._jdf.queryExecution().explainString(spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
+        moved = re.findall(r"\) Exchange\nInput \[\d+\]: \[([^\]]*)\]", plan)
+        got = [tuple(r) for r in mixed.collect()]
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    # the first is df's own
+    assert sum("text#" in x for x in moved) <= 2, plan
+    monkeypatch.undo()
+    plain = [tuple(r) for r in mixing.mixed_documents(df, limit=0).collect()]
+    assert got == plain and max(Counter(got).values()) > 1 and len(set(got)) > 5000
+
+
 def test_urls(spark):
     urls = ["https://a.b.org/x", "http://EXAMPLE.org/es/1", "http://www.example.org/en/12?q", "x://example.org/en/2#f", "http://s.com/fr/1", "http://s.com/de/1", "http://s.com", "http://n.net/fr/", None, "no scheme", "a://b?c/d", "http://notexample.org/es/", "http://t.com/it/"]
     df = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
