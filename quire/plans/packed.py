@@ -11,9 +11,16 @@ from pyspark.sql import DataFrame
 _FILE = pa.schema([("path", pa.string()), ("content", pa.binary())])
 
 
-def packed(rows: DataFrame, build: Callable[[dict], bytes | None], key: str) -> DataFrame:
+def deal(rows: DataFrame) -> DataFrame:
+    """Rows dealt over all cores: a table's file may be one row group, which one task would read, pack and open alone."""
+    return rows.repartition(4 * rows.sparkSession.sparkContext.defaultParallelism)
+
+
+def packed(rows: DataFrame, build: Callable[[dict], bytes | None], key: str, dealt: bool = False) -> DataFrame:
     """(path, content): a file a row of rows, named by the key column; rows that build gives None for are left out.
 
+    dealt: whether rows are dealt over all cores already, by ``deal`` or a grouping.
+
     Where the setting ``quire.books`` names a folder, files are written there once, over several tasks, and read from then on.
     """
 
@@ -27,9 +34,9 @@ def packed(rows: DataFrame, build: Callable[[dict], bytes | None], key: str) ->
             yield pa.RecordBatch.from_pydict({"path": [p for p, _ in out], "content": [c for _, c in out]}, schema=_FILE)
 
     folder = rows.sparkSession.conf.get("quire.books", None)
+    files = (rows if dealt and not folder else deal(rows)).mapInArrow(run, "path string, content binary")
     if not folder:
-        return rows.mapInArrow(run, "path string, content binary")
-    files = rows.repartition(4 * rows.sparkSession.sparkContext.defaultParallelism).mapInArrow(run, "path string, content binary")
+        return files
     path = f"{folder}/{re.sub(r'[^A-Za-z0-9]+', '_', build.__qualname__)}"
     files.write.mode("ignore").option("compression", "none").parquet(path)
     return rows.sparkSession.read.parquet(path)
