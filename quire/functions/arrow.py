@@ -61,21 +61,30 @@ _HALF = [
 ]
 
 
-def halves_of(content: Column, parts: frozenset, tag: bytes = book.PAGEBREAK) -> Column:
-    """Array of the halves of a book file (its bytes), with those parts of them (see book.PARTS) that are asked for."""
-    kind = T.ArrayType(T.StructType([*_HALF, *(f for p in book.PARTS if p in parts for f in _PARTS[p])]))
+#: Bytes of files whose halves become one Arrow array.
+_TOGETHER = 8 << 20
+
+
+def halves_of(content: Column, parts: frozenset, tag: bytes = book.PAGEBREAK, fields: frozenset | None = None) -> Column:
+    """Array of the halves of a book file (its bytes), with those parts of them (see book.PARTS) that are asked for; fields: of the others, those that are wanted."""
+    kind = T.ArrayType(T.StructType([*(f for f in _HALF if fields is None or f.name in fields), *(f for p in book.PARTS if p in parts for f in _PARTS[p])]))
 
     @F.arrow_udf(kind)
     def run(files: pa.Array) -> pa.Array:
         pattern, typed = re.compile(tag), to_arrow_type(kind)
-        rows = []
+        arrays, rows, size = [], [], 0
         for x in files:
-            found = book.halves(x.as_py(), parts, pattern)
+            x = x.as_py()
+            found = book.halves(x, parts, pattern)
             for half in found:
                 half["h"] = _plain(half.get("h"))
                 half["spreads"] = _pairs(half.get("spreads"))
-            rows.append(pa.array([found], typed))
-        return pa.concat_arrays(rows) if rows else pa.array([], typed)
+            rows.append(found)
+            size += len(x or b"")
+            if size > _TOGETHER:
+                arrays.append(pa.array(rows, typed))
+                rows, size = [], 0
+        return pa.concat_arrays([*arrays, pa.array(rows, typed)])
 
     return run(content)
 

@@ -15,13 +15,14 @@ from quire.sources.files import read_files, tune
 from . import container, kf8, metadata, resources, text, toc
 
 
-def open_books(files: DataFrame, parts: tuple[str, ...] = PARTS, tag: bytes = PAGEBREAK) -> DataFrame:
+def open_books(files: DataFrame, parts: tuple[str, ...] = PARTS, tag: bytes = PAGEBREAK, fields: tuple[str, ...] | None = None) -> DataFrame:
     """A row a half of each file (path, content): files' columns, half, status, is_kf8, has_mobi6_half, h, ..., and the parts asked for.
 
     One pass of one Arrow function; nothing is shuffled. A file is opened whole or refused whole: its status is that of the
-    first stage that fails. Without parts only headers are read, and damage behind them doesn't show.
+    first stage that fails. Without parts only headers are read, and damage behind them doesn't show. fields: the columns
+    besides parts that a table needs; over many small books all of them cost more than the opening.
     """
-    t = files.withColumn("_b", F.explode(halves_of(F.col("content"), frozenset(parts), tag)))
+    t = files.withColumn("_b", F.explode(halves_of(F.col("content"), frozenset(parts), tag, None if fields is None else frozenset(fields))))
     return t.select(*files.columns, "_b.*")
 
 
@@ -30,6 +31,10 @@ def open_headers(files: DataFrame) -> DataFrame:
     return open_books(files, ())
 
 
+#: Which half a row is, and whether it can be read.
+_KIND = ("half", "status", "is_kf8")
+
+
 class Refused(ValueError):
     """A file that a library opened in mode FAILFAST does not accept."""
 
@@ -67,14 +72,14 @@ class Library:
             self._kept.unpersist()
             self._kept = None
 
-    def _opened(self, parts: tuple[str, ...]) -> DataFrame:
+    def _opened(self, parts: tuple[str, ...], fields: tuple[str, ...] | None = None) -> DataFrame:
         if self._kept is not None:
             return self._kept
         if self.mode == "FAILFAST" and not self._checked:
             if bad := open_books(self.files, ("status",)).where("status <> 'OK'").select("path", "status").first():
                 raise Refused(f"{bad['path']}: {bad['status']}")
             self._checked = True
-        return open_books(self.files, parts)
+        return open_books(self.files, parts, fields=fields)
 
     @property
     def books(self) -> DataFrame:
@@ -124,16 +129,16 @@ class Library:
 
     @property
     def filepos(self) -> DataFrame:
-        t = self._opened(("raw",)).where("status = 'OK' and not is_kf8")
+        t = self._opened(("raw",), _KIND).where("status = 'OK' and not is_kf8")
         return t.select("path", "half", F.explode(text.filepos_targets(F.col("raw"))).alias("filepos"))
 
     @property
     def toc(self) -> DataFrame:
-        return toc.toc(self._opened(("toc",)))
+        return toc.toc(self._opened(("toc",), _KIND))
 
     @property
     def guide(self) -> DataFrame:
-        return toc.guide(self._opened(("guide",)))
+        return toc.guide(self._opened(("guide",), _KIND))
 
     @property
     def resources(self) -> DataFrame:
@@ -149,7 +154,7 @@ class Library:
 
     @property
     def flows(self) -> DataFrame:
-        return kf8.flows(self._opened(("flows",)))
+        return kf8.flows(self._opened(("flows",), _KIND))
 
     def resolve_uris(self, uris: DataFrame) -> DataFrame:
         """uris (path, uri) with status, kind, flow, embed, fid, off, section, offset, mime, against each path's main half."""
